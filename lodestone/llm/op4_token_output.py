@@ -96,8 +96,11 @@ def decode_blocks(data: bytes, places: np.ndarray, block: int = BLOCK) -> np.nda
     widths = np.array([h[2] for h in heads], int)
     for width in np.unique(widths):
         at = np.flatnonzero(widths == width)
-        words = np.stack([np.frombuffer(data, "<u8", width * block // 64, places[k] + struct.calcsize(_BLOCK)).reshape(width, -1) for k in at])
-        values = _unpack(words, int(width)) if width else np.zeros((len(at), block), np.uint64)
+        if width:
+            words = [np.frombuffer(data, "<u8", width * block // 64, places[k] + struct.calcsize(_BLOCK)) for k in at]
+            values = _unpack(np.stack(words).reshape(len(at), width, -1), int(width))
+        else:
+            values = np.zeros((len(at), block), np.uint64)
         for row, k in enumerate(at.tolist()):
             if odd := heads[k][3]:
                 place = places[k] + struct.calcsize(_BLOCK) + int(width) * block // 8
