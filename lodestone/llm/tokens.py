@@ -27,6 +27,9 @@ _WHOLE = r"[ \n][ \n]|\A[ \n]|[ \n]\z|[\x00-\x09\x0b-\x1f\x7f-\xa0]|[^\x00-\x{24
 #: The splitting pattern of this family of vocabularies (a fixed value), for texts with lone whitespace.
 _PIECE = r"('s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^ \n\p{L}\p{N}]+|\n)"
 
+#: A chunk that is one piece.
+_SINGLE = r"\A ?\p{L}+\z"
+
 
 def _byte_alphabet() -> str:
     """Character for each byte: printable Latin-1 stands for itself, the rest follow from U+0100 on."""
@@ -57,14 +60,13 @@ def _numbered(lists: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     return coded.dictionary, coded.indices.to_numpy(), np.cumsum(pc.list_value_length(lists).to_numpy())
 
 
-def _gathered(found: list[bytes], of: np.ndarray, stops: np.ndarray) -> list[np.ndarray]:
-    """Ids of each list whose k-th string has the ids ``found[of[k]]``."""
+def _gathered(found: list[bytes], of: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, list[int]]:
+    """Ids of all lists whose k-th string has the ids ``found[of[k]]``, and where each list's ids end."""
     store, size = np.frombuffer(b"".join(found), "<u4"), np.fromiter(map(len, found), np.int64, len(found)) // 4
     own = size[of]
     ends = np.cumsum(own)
     ids = store[np.repeat((np.cumsum(size) - size)[of] - ends + own, own) + np.arange(ends[-1] if len(ends) else 0)]
-    bounds = np.append(0, ends)[stops].tolist()
-    return [ids[a:b] for a, b in zip([0, *bounds[:-1]], bounds)]
+    return ids, np.append(0, ends)[stops].tolist()
 
 
 class PieceEncoder:
@@ -83,8 +85,11 @@ class PieceEncoder:
         self.model = Tokenizer(self.whole.model)
         self.alphabet = _byte_alphabet()
         self.memo = memo
-        self.chunks: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.line_feed = self.alphabet[10]
+        (self.line_feed_id,) = self.model.encode(self.line_feed, add_special_tokens=False).ids
+        self.always = {"": b"", "\n": struct.pack("<I", self.line_feed_id)}
+        self.chunks: dict[str, bytes] = dict(self.always)
+        self.pieces: dict[str, bytes] = dict(self.always)
 
     def _remembered(self, strings: pa.Array, known: dict[str, bytes], learn) -> list[bytes]:
         names = strings.to_pylist()
@@ -92,22 +97,38 @@ class PieceEncoder:
         if missing := [k for k, x in enumerate(found) if x is None]:
             if len(known) + len(missing) > self.memo:
                 known.clear()
+                known.update(self.always)
             for k, ids in zip(missing, learn(strings.take(pa.array(missing)))):
                 known[names[k]] = found[k] = ids
         return found
 
     def _piece_ids(self, pieces: pa.Array):
-        mapped = [x.encode().decode("latin-1").translate(self.alphabet) for x in pieces.to_pylist()]
-        return [struct.pack(f"<{len(ids)}I", *ids) for ids in [e.ids for e in self.model.encode_batch_fast(mapped, add_special_tokens=False)]]
+        """Ids of each piece; in the library's input every piece is followed by a line feed, which no other piece holds."""
+        names = pieces.to_pylist()
+        split = [self.line_feed] * (2 * len(names))
+        split[::2] = [x.encode().decode("latin-1").translate(self.alphabet) for x in names]
+        ids = np.asarray(self.model.encode_batch_fast([split], is_pretokenized=True, add_special_tokens=False)[0].ids, "<u4")
+        ends = np.flatnonzero(ids == self.line_feed_id)
+        raw = ids.tobytes()
+        return [raw[4 * a : 4 * b] for a, b in zip([0, *(ends[:-1] + 1).tolist()], ends.tolist())]
 
     def _chunk_ids(self, chunks: pa.Array):
+        single = pc.match_substring_regex(chunks, _SINGLE)
+        whole = iter(self._remembered(chunks.filter(single), self.pieces, self._piece_ids))
+        cut = iter(self._cut_ids(chunks.filter(pc.invert(single))))
+        return [next(whole if x else cut) for x in single.to_pylist()]
+
+    def _cut_ids(self, chunks: pa.Array) -> list[bytes]:
         pieces, of, stops = _numbered(pc.split_pattern(pc.replace_substring_regex(chunks, _PIECE, "\\1" + _CUT), _CUT))
-        return [x.tobytes() for x in _gathered(self._remembered(pieces, self.pieces, self._piece_ids), of, stops)]
+        ids, ends = _gathered(self._remembered(pieces, self.pieces, self._piece_ids), of, stops)
+        raw = ids.tobytes()
+        return [raw[4 * a : 4 * b] for a, b in zip([0, *ends[:-1]], ends)]
 
     def _text_ids(self, texts: pa.Array) -> list[np.ndarray]:
         marked = pc.replace_substring(pc.replace_substring(texts, " ", _CUT + " "), "\n", _CUT + "\n")
         chunks, of, stops = _numbered(pc.split_pattern(marked, _CUT))
-        return _gathered(self._remembered(chunks, self.chunks, self._chunk_ids), of, stops)
+        ids, ends = _gathered(self._remembered(chunks, self.chunks, self._chunk_ids), of, stops)
+        return [ids[a:b] for a, b in zip([0, *ends[:-1]], ends)]
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         texts = pc.fill_null(texts, "")
