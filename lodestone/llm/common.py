@@ -19,3 +19,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def held_out(doc_id: Column) -> Column:
     """True for the fold whose labels no model may see: crc32 of the id as text is divisible by 5."""
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: dict[int, int]) -> DataFrame:
+    """A bounded training sample: documents of the training fold with the label's value in column ``label``.
+
+    Of each value at most ``most[value]`` doc_ids are taken, those with the smallest hashes; a doc_id labelled
+    more than once has its largest label, and a null id or label does not count. The ids of the sample are
+    the only side that is broadcast, so it is bounded by the sum of ``most``.
+    """
+    known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias(label))
+    picked = None
+    for value, n in most.items():
+        part = known.where(F.col(label) == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
+        picked = part if picked is None else picked.unionByName(part)
+    return docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id")
+
+
+def adam(params: list, gradient, steps: int, rate: float) -> list:
+    """Adam on numpy arrays; ``gradient(params, step)`` gives one gradient per array."""
+    import numpy as np
+
+    first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
+    for t in range(1, steps + 1):
+        for k, g in enumerate(gradient(params, t)):
+            first[k] = 0.9 * first[k] + 0.1 * g
+            second[k] = 0.999 * second[k] + 0.001 * g * g
+            params[k] = params[k] - rate * (first[k] / (1 - 0.9**t)) / (np.sqrt(second[k] / (1 - 0.999**t)) + 1e-8)
+    return params
