@@ -14,8 +14,8 @@ Shard file, little-endian (a line feed follows each section; places count it)::
     footer  documents x (i64 doc_id), documents x (u8 1 if doc_id is null), (documents + 1) x u64 first ids,
             blocks x u64 places, u64 documents, u64 blocks, u64 footer place, "PFOREND."
 
-Within a block, id 64 * k + j of the block lies in word group k; value j of each group starts at bit
-j * width of the group's bits, group k taking word k of each row of block / 64 words.
+A block has block / 64 groups: ids k, k + block / 64, k + 2 * block / 64 ... are group k, whose 64 values
+of ``width`` bits fill word k of each row of block / 64 words, the j-th from bit j * width on.
 
 Shards are written by Spark's text writer, whose commit protocol makes a retried or lost task harmless;
 memory is bounded by a batch of texts and a shard's footer.
@@ -45,47 +45,50 @@ _HEADER, _BLOCK, _TAIL = "<4sIQII", "<4I", "<3Q8s"
 
 def _pack(values: np.ndarray, width: int) -> np.ndarray:
     """Low ``width`` bits of (blocks, block) values as (blocks, width, block / 64) words."""
-    lanes = values.reshape(len(values), -1, 64) & np.uint64((1 << width) - 1)
-    words = np.zeros((len(values), width, lanes.shape[1]), np.uint64)
+    lanes = (values.reshape(len(values), 64, -1) & np.uint32((1 << width) - 1)).astype(np.uint64)
+    words = np.zeros((len(values), width, lanes.shape[2]), np.uint64)
     for j in range(64):
         word, bit = divmod(j * width, 64)
-        words[:, word] |= lanes[:, :, j] << np.uint64(bit)
+        words[:, word] |= lanes[:, j] << np.uint64(bit)
         if bit + width > 64:
-            words[:, word + 1] |= lanes[:, :, j] >> np.uint64(64 - bit)
+            words[:, word + 1] |= lanes[:, j] >> np.uint64(64 - bit)
     return words
 
 
 def _unpack(words: np.ndarray, width: int) -> np.ndarray:
     """(blocks, width, groups) words back to (blocks, 64 * groups) values."""
-    values = np.empty((len(words), words.shape[2], 64), np.uint64)
+    values, mask = np.empty((len(words), 64, words.shape[2]), np.uint32), np.uint64((1 << width) - 1)
     for j in range(64):
         word, bit = divmod(j * width, 64)
-        values[:, :, j] = words[:, word] >> np.uint64(bit)
+        lane = words[:, word] >> np.uint64(bit)
         if bit + width > 64:
-            values[:, :, j] |= words[:, word + 1] << np.uint64(64 - bit)
-    return (values & np.uint64((1 << width) - 1)).reshape(len(words), -1)
+            lane |= words[:, word + 1] << np.uint64(64 - bit)
+        values[:, j] = lane & mask
+    return values.reshape(len(words), -1)
 
 
-def encode_blocks(ids: np.ndarray, block: int = BLOCK, percentile: float = PERCENTILE) -> list[bytes]:
+def encode_blocks(ids: np.ndarray, block: int = BLOCK, percentile: float = PERCENTILE, most_blocks: int = 128) -> list[bytes]:
     """Blocks of a run of ids; only the last may hold fewer than ``block`` ids."""
-    count = -(-len(ids) // block)
-    if not count:
-        return []
-    full = np.full(count * block, ids[-1], np.uint64)
-    full[: len(ids)] = ids
-    full = full.reshape(count, block)
-    least = full.min(1)
-    rest = full - least[:, None]
-    chosen = np.partition(rest, max(0, int(np.ceil(percentile * block)) - 1), 1)[:, max(0, int(np.ceil(percentile * block)) - 1)]
-    widths = np.ceil(np.log2(chosen.astype(np.float64) + 1)).astype(int)
-    out: list[bytes] = [b""] * count
-    for width in np.unique(widths):
-        at = np.flatnonzero(widths == width)
-        words = _pack(rest[at], int(width)) if width else np.zeros((len(at), 0, block // 64), np.uint64)
-        for k, own in zip(at.tolist(), words):
-            size = min(block, len(ids) - k * block)
-            odd = np.flatnonzero(rest[k, :size] >> np.uint64(width))
-            out[k] = struct.pack(_BLOCK, int(least[k]), size, int(width), len(odd)) + own.tobytes() + odd.astype("<u2").tobytes() + rest[k][odd].astype("<u4").tobytes()
+    out: list[bytes] = []
+    kth = max(0, int(np.ceil(percentile * block)) - 1)
+    for start in range(0, len(ids), most_blocks * block):
+        part = ids[start : start + most_blocks * block]
+        count = -(-len(part) // block)
+        full = np.full(count * block, part[-1], np.uint32)
+        full[: len(part)] = part
+        full = full.reshape(count, block)
+        least = full.min(1)
+        rest = full - least[:, None]
+        widths = np.ceil(np.log2(np.partition(rest, kth, 1)[:, kth].astype(np.float64) + 1)).astype(int)
+        own: list[bytes] = [b""] * count
+        for width in np.unique(widths).tolist():
+            at = np.flatnonzero(widths == width)
+            words = _pack(rest[at], width) if width else np.zeros((len(at), 0, block // 64), np.uint64)
+            for k, packed in zip(at.tolist(), words):
+                size = min(block, len(part) - k * block)
+                odd = np.flatnonzero(rest[k, :size] >> np.uint32(width)) if width < 32 else np.empty(0, int)
+                own[k] = struct.pack(_BLOCK, int(least[k]), size, width, len(odd)) + packed.tobytes() + odd.astype("<u2").tobytes() + rest[k][odd].astype("<u4").tobytes()
+        out += own
     return out
 
 
@@ -100,12 +103,12 @@ def decode_blocks(data: bytes, places: np.ndarray, block: int = BLOCK) -> np.nda
             words = [np.frombuffer(data, "<u8", width * block // 64, places[k] + struct.calcsize(_BLOCK)) for k in at]
             values = _unpack(np.stack(words).reshape(len(at), width, -1), int(width))
         else:
-            values = np.zeros((len(at), block), np.uint64)
+            values = np.zeros((len(at), block), np.uint32)
         for row, k in enumerate(at.tolist()):
             if odd := heads[k][3]:
                 place = places[k] + struct.calcsize(_BLOCK) + int(width) * block // 8
                 values[row, np.frombuffer(data, "<u2", odd, place)] = np.frombuffer(data, "<u4", odd, place + 2 * odd)
-        ids[at] = values + np.array([heads[k][0] for k in at], np.uint64)[:, None]
+        ids[at] = values + np.array([heads[k][0] for k in at], np.uint32)[:, None]
     return ids.reshape(-1)[: sum(h[1] for h in heads)] if len(heads) else ids.reshape(-1)
 
 
@@ -155,7 +158,7 @@ def write_token_shards(docs: DataFrame, path: str, vocabulary: str | None = None
     sections.select(F.col("value").cast("string").alias("value")).write.mode("overwrite").text(path)
 
 
-def parse_shard(data: bytes, most_blocks: int = 256):
+def parse_shard(data: bytes, most_blocks: int = 128):
     """(shard number, doc_ids with None for null, first ids, iterator of runs of decoded ids)."""
     magic, _, shard, block, _ = struct.unpack_from(_HEADER, data, 0)
     documents, blocks, footer, end = struct.unpack_from(_TAIL, data, len(data) - 1 - struct.calcsize(_TAIL))
