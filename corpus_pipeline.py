@@ -1,10 +1,63 @@
-"""A training corpus from documents: filter, label lines, deduplicate, mix and pack."""
+"""A training corpus from documents: filter by quality, label lines, deduplicate, mix sources and pack.
+
+Every stage works on all documents that the stage before kept. Stages 1 to 4 return the columns of
+documents; packing returns one row per piece. Models are trained on labels of the training fold only.
+
+Defined cases are those of the operators. A document repeated as a row (one doc_id, one text) stays once
+after near-duplicate removal.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lodestone.llm import op2_line_crf, op3_near_dedup, op5_mixing, op7_quality, op9_packing
+from lodestone.llm.common import table
+from lodestone.scratch import Scratch
+
+
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the positive-unlabelled classifier takes for good."""
+    model = op7_quality.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    scored = op7_quality.score(docs, model, docs.columns, "_quality")
+    return scored.where(F.col("_quality") >= op7_quality.THRESHOLD).select(*docs.columns)
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and whose words lie in content lines."""
+    field = op2_line_crf.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    labelled = op2_line_crf.label_documents(docs, field, docs.columns, "_line_")
+    return labelled.where("_line_kept").select(*docs.columns)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
+    kept = op3_near_dedup.near_duplicates(docs).where("kept").select(F.col("row_hash").alias("_row")).distinct()
+    keyed = docs.withColumn("_row", F.xxhash64(F.col("doc_id").cast("long"), F.col("text")))
+    return keyed.join(kept, "_row", "left_semi").dropDuplicates(["_row"]).select(*docs.columns)
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sources mixed to their target shares, documents repeated or left out whole."""
+    return op5_mixing.mix(docs, whole=True)
+
+
+def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of power-of-two lengths."""
+    return op9_packing.pack(docs)
+
+
+STAGES = [("quality_classifier", quality_classifier), ("quality_rules", quality_rules), ("near_dedup", near_dedup), ("mixing", mixing), ("packing", packing)]
+
+#: Stages use trained models and a tokenizer, which SQL cannot express.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages, each written and read again."""
+    scratch = Scratch(spark)
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = scratch.save(stage(spark, docs, sf_dir), name)
+    return docs
