@@ -44,7 +44,7 @@ def default_path() -> str:
     return public_tokenizers.path(DEFAULT_VOCABULARY)
 
 
-def slices(texts: pa.Array, most_bytes: int = 10 << 20):
+def slices(texts: pa.Array, most_bytes: int = 8 << 20):
     """Parts of an array of about ``most_bytes`` each (a longer text alone), so that memory is bounded."""
     sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     at = 0
@@ -76,7 +76,7 @@ class PieceEncoder:
     anew when it holds ``memo`` strings. Strings of special tokens in a text are ordinary text.
     """
 
-    def __init__(self, path: str, memo: int = 400_000):
+    def __init__(self, path: str, memo: int = 300_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
