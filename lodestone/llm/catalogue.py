@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ["op1_warc", "op2_line_crf", "op3_near_dedup", "op4_token_output", "op5_mixing", "op7_quality", "op8_hnsw", "op9_packing", "op10_toxicity"]
+MODULES = ["op1_warc", "op2_line_crf", "op3_near_dedup", "op4_token_output", "op5_mixing", "op6_licences", "op7_quality", "op8_hnsw", "op9_packing", "op10_toxicity"]
 
 
 def queries() -> dict:
