@@ -38,7 +38,7 @@ from lodestone.llm.components import connected_components
 from lodestone.scratch import Scratch
 
 SHINGLE, PERCENT = 3, 85
-HASHES, ROWS, BATCH, MISS, BLOCK = 128, 5, 16, 1e-9, 512
+HASHES, ROWS, BATCH, MISS, BLOCK = 128, 5, 16, 1e-9, 2048
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -284,10 +284,14 @@ class _Job:
     def across(self, members: DataFrame, roots: DataFrame) -> DataFrame:
         """Confirmed links between components that share a bucket."""
         rooted = members.join(roots.toDF("node", "root"), "node", "left").select("bucket", "band", "node", F.coalesce("root", "node").alias("root"))
-        mixed = rooted.groupBy("bucket").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count(F.lit(1)).alias("n")).where("least < most")
-        blocks = mixed.select("bucket", F.ceil(F.col("n") / BLOCK).cast("long").alias("blocks"))
-        sided = rooted.join(blocks, "bucket").withColumn("side", F.pmod(F.xxhash64("node"), F.col("blocks")))
-        paired = sided.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        counts = rooted.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
+        mixed = counts.groupBy("bucket").agg(F.sum("n").alias("n"), F.max("n").alias("big"), F.max_by("root", F.struct("n", "root")).alias("main"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
+        # the largest component's blocks meet all other blocks, but not each other
+        whole, zero = F.col("n") <= BLOCK, F.lit(0).cast("long")
+        blocks = mixed.select("bucket", "main", F.when(whole, zero).otherwise(F.ceil(F.col("big") / BLOCK)).alias("g"), F.when(whole, zero + 1).otherwise(F.ceil((F.col("n") - F.col("big")) / BLOCK)).alias("o"))
+        sided = rooted.join(blocks, "bucket").withColumn("large", (F.col("root") == F.col("main")) & (F.col("g") > 0))
+        sided = sided.withColumn("side", F.when(F.col("large"), F.pmod(F.xxhash64("node"), F.greatest("g", zero + 1))).otherwise(F.col("g") + F.pmod(F.xxhash64("node"), F.col("o"))))
+        paired = sided.withColumn("other", F.explode(F.sequence(F.when(F.col("large"), F.col("g")).otherwise(zero), F.col("g") + F.col("o") - 1)))
         units = paired.select("bucket", F.least("side", "other").alias("p"), F.greatest("side", "other").alias("q"), F.col("band").cast("long").alias("band"), "side", "node", "root")
         signed = units.join(self.classes.select("node", "signature"), "node").repartition("bucket", "p", "q").sortWithinPartitions("bucket", "p", "q")
         left = self.scratch.save(signed.select(*_UNIT, "signature").mapInArrow(_rest, ", ".join(f"{c} long" for c in _UNIT)), "units_left")
