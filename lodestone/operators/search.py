@@ -22,22 +22,25 @@ def _idf(n: Column, df: Column) -> Column:
 def bm25(rows: DataFrame, columns: dict[str, float], terms: list[str], keep: list[str], k1: float = K1, b: float = B) -> DataFrame:
     """``keep`` and ``score`` of rows that hold a term; lower is better.
 
-    A term with spaces is a phrase. Weights multiply term counts of a column; a row's length counts the
-    tokens of all columns.
+    A term with spaces is a phrase; its occurrences are counted without overlap. Weights multiply term
+    counts of a column; a row's length counts the tokens of all columns. Counting is by string replacement
+    on the spaced-out tokens, so it stays in generated code.
     """
-    split = {c: tokens(F.col(c)) for c in columns}
-
-    def count(words: Column, phrase: list[str]) -> Column:
-        if len(phrase) == 1:
-            return F.size(F.filter(words, lambda w: w == phrase[0]))
-        starts = F.when(F.size(words) >= len(phrase), F.sequence(F.lit(1), F.size(words) - (len(phrase) - 1))).otherwise(F.array().cast("array<int>"))
-        match = lambda i: F.array_join(F.slice(words, i, len(phrase)), " ") == " ".join(phrase)
-        return F.size(F.filter(starts, match))
-
-    cut = rows.select(*keep, *[w.alias(f"_{c}") for c, w in split.items()])
-    plain = [sum((count(F.col(f"_{c}"), t.split()) for c in columns), F.lit(0)).alias(f"_n{k}") for k, t in enumerate(terms)]
-    heavy = [sum((F.lit(float(weight)) * count(F.col(f"_{c}"), t.split()) for c, weight in columns.items()), F.lit(0.0)).alias(f"_f{k}") for k, t in enumerate(terms)]
-    counted = cut.select(*keep, sum((F.size(f"_{c}") for c in columns), F.lit(0)).alias("_len"), *plain, *heavy)
+
+    def spaced(c: str) -> Column:
+        return F.trim(F.regexp_replace(F.lower(F.coalesce(F.col(c), F.lit(""))), "[^a-z0-9]+", "  "))
+
+    def count(c: str, term: str) -> Column:
+        wanted = " " + "  ".join(term.split()) + " "
+        return ((F.length(f"_{c}") - F.length(F.replace(F.col(f"_{c}"), F.lit(wanted), F.lit("")))) / len(wanted)).cast("int")
+
+    def size(c: str) -> Column:
+        return F.when(F.length(f"_{c}") > 2, (F.length(f"_{c}") - F.length(F.replace(F.col(f"_{c}"), F.lit("  "), F.lit("")))) / 2 + 1).otherwise(F.lit(0)).cast("int")
+
+    cut = rows.select(*keep, *[F.concat(F.lit(" "), spaced(c), F.lit(" ")).alias(f"_{c}") for c in columns])
+    plain = [sum((count(c, t) for c in columns), F.lit(0)).alias(f"_n{k}") for k, t in enumerate(terms)]
+    heavy = [sum((F.lit(float(weight)) * count(c, t) for c, weight in columns.items()), F.lit(0.0)).alias(f"_f{k}") for k, t in enumerate(terms)]
+    counted = cut.select(*keep, sum((size(c) for c in columns), F.lit(0)).alias("_len"), *plain, *heavy)
     stats = counted.agg(F.count(F.lit(1)).alias("_N"), F.avg("_len").alias("_avg"), *[F.count_if(F.col(f"_n{k}") > 0).alias(f"_d{k}") for k in range(len(terms))])
     score = F.lit(0.0)
     for k in range(len(terms)):
