@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from lodestone.plans import ranking, sessions, structures  # noqa: F401  (they fill the registry)
+from lodestone.plans import ranking, sessions, streams, structures  # noqa: F401  (they fill the registry)
 from lodestone.plans.views import REGISTRY
 from lodestone.ship import ship
 
