@@ -72,11 +72,12 @@ def _gathered(found: list[bytes], of: np.ndarray, stops: np.ndarray) -> tuple[np
 class PieceEncoder:
     """``encode`` gives the ids of each text as an array of unsigned 32-bit integers; null and empty: none.
 
-    Texts are cut before each space and line feed, the chunks so found by the pattern. Either memo starts
-    anew when it holds ``memo`` strings. Strings of special tokens in a text are ordinary text.
+    Texts are cut before each space and line feed, the chunks so found by the pattern. A memo has two
+    generations of about ``generation`` strings: what is used moves to the young one, and when that is full
+    the old one goes. Strings of special tokens in a text are ordinary text.
     """
 
-    def __init__(self, path: str, memo: int = 300_000):
+    def __init__(self, path: str, generation: int = 250_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -84,22 +85,27 @@ class PieceEncoder:
         self.whole.encode_special_tokens = True
         self.model = Tokenizer(self.whole.model)
         self.alphabet = _byte_alphabet()
-        self.memo = memo
+        self.generation = generation
         self.line_feed = self.alphabet[10]
         (self.line_feed_id,) = self.model.encode(self.line_feed, add_special_tokens=False).ids
         self.always = {"": b"", "\n": struct.pack("<I", self.line_feed_id)}
-        self.chunks: dict[str, bytes] = dict(self.always)
-        self.pieces: dict[str, bytes] = dict(self.always)
+        self.chunks: list[dict[str, bytes]] = [dict(self.always), {}]
+        self.pieces: list[dict[str, bytes]] = [dict(self.always), {}]
 
-    def _remembered(self, strings: pa.Array, known: dict[str, bytes], learn) -> list[bytes]:
+    def _remembered(self, strings: pa.Array, memo: list[dict[str, bytes]], learn) -> list[bytes]:
         names = strings.to_pylist()
-        found = list(map(known.get, names))
+        found = list(map(memo[0].get, names))
         if missing := [k for k, x in enumerate(found) if x is None]:
-            if len(known) + len(missing) > self.memo:
-                known.clear()
-                known.update(self.always)
-            for k, ids in zip(missing, learn(strings.take(pa.array(missing)))):
-                known[names[k]] = found[k] = ids
+            if len(memo[0]) + len(missing) > self.generation:
+                memo[:] = [dict(self.always), memo[0]]
+            young, old, new = *memo, []
+            for k in missing:
+                if (ids := old.get(names[k])) is None:
+                    new.append(k)
+                else:
+                    young[names[k]] = found[k] = ids
+            for k, ids in zip(new, learn(strings.take(pa.array(new, pa.int64()))) if new else ()):
+                young[names[k]] = found[k] = ids
         return found
 
     def _piece_ids(self, pieces: pa.Array):
