@@ -190,7 +190,7 @@ def _candidates(unit: dict, least: list[int]) -> tuple[np.ndarray, np.ndarray]:
     p, q, band = unit["p"][0], unit["q"][0], unit["band"][0]
     left = np.arange(len(s)) if p == q else np.flatnonzero(side == p)
     right = left if p == q else np.flatnonzero(side == q)
-    found = []
+    found = [(left[:0], left[:0])]
     for k in range(0, len(left), 128):
         part = left[k : k + 128]
         apart = root[part][:, None] != root[right]
