@@ -328,3 +328,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+#: The same rows from all pairs that share a shingle, for tables of tests.
+ORACLE_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
+u AS (SELECT doc_id, unnest(words) AS a, generate_subscripts(words, 1) AS pos FROM w WHERE len(words) > 2),
+t AS (SELECT doc_id, a, lead(a, 1) OVER (PARTITION BY doc_id ORDER BY pos) AS b, lead(a, 2) OVER (PARTITION BY doc_id ORDER BY pos) AS c FROM u),
+s AS (SELECT DISTINCT doc_id, a || ' ' || b || ' ' || c AS shingle FROM t WHERE c IS NOT NULL UNION SELECT doc_id, array_to_string(words, ' ') FROM w WHERE len(words) BETWEEN 1 AND 2),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+m AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS i FROM s x JOIN s y ON x.shingle = y.shingle AND x.doc_id < y.doc_id GROUP BY x.doc_id, y.doc_id),
+k AS (SELECT m.a, m.b FROM m JOIN n p ON p.doc_id = m.a JOIN n q ON q.doc_id = m.b WHERE 100 * i >= 85 * (p.n + q.n - i)),
+l AS (SELECT a, b FROM k UNION ALL SELECT b, a FROM k),
+r(node, reach) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.node, l.b FROM r JOIN l ON l.a = r.reach)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, g.component_id, d.doc_id = g.component_id AS kept
+FROM documents d LEFT JOIN n ON n.doc_id = d.doc_id JOIN (SELECT node, min(reach) AS component_id FROM r GROUP BY node) g ON g.node = d.doc_id
+"""

@@ -1,6 +1,8 @@
 import random
 import re
 
+from oracle import connect, difference
+
 from lodestone.llm import op3_near_dedup as D
 
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -64,3 +66,8 @@ def test_bounds():
     least = D.least_matches()
     assert least == sorted(least) and least[-1] < 0.85 * D.HASHES
     assert len(D.shingle_hashes("a b c a b c")) == 3 and len(D.shingle_hashes("A b")) == 1 and len(D.shingle_hashes("")) == 0
+
+
+def test_query(spark):
+    con = connect("/root/testdata/sf0.001")
+    assert difference(spark, con, D.op3_near_dedup, D.ORACLE_SQL, "/root/testdata/sf0.001") is None
