@@ -54,30 +54,23 @@ def slices(texts: pa.Array, most_bytes: int = 8 << 20):
         at = end
 
 
-def _numbered(lists: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
-    """Distinct strings of an array of lists; for each string its number there; for each list its end."""
-    coded = lists.flatten().dictionary_encode()
-    return coded.dictionary, coded.indices.to_numpy(), np.cumsum(pc.list_value_length(lists).to_numpy())
-
-
-def _gathered(found: list[bytes], of: np.ndarray, stops: np.ndarray) -> tuple[np.ndarray, list[int]]:
-    """Ids of all lists whose k-th string has the ids ``found[of[k]]``, and where each list's ids end."""
-    store, size = np.frombuffer(b"".join(found), "<u4"), np.fromiter(map(len, found), np.int64, len(found)) // 4
+def _spread(start: np.ndarray, size: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of all items of the runs (start, size) numbered by ``of``, in that order; where each run ends."""
     own = size[of]
-    ends = np.cumsum(own)
-    ids = store[np.repeat((np.cumsum(size) - size)[of] - ends + own, own) + np.arange(ends[-1] if len(ends) else 0)]
-    return ids, np.append(0, ends)[stops].tolist()
+    ends = np.cumsum(own, dtype=np.int64)
+    total = int(ends[-1]) if len(ends) else 0
+    return np.repeat((start[of] - ends + own).astype(np.int32), own) + np.arange(total, dtype=np.int32), ends
 
 
 class PieceEncoder:
     """``encode`` gives the ids of each text as an array of unsigned 32-bit integers; null and empty: none.
 
-    Texts are cut before each space and line feed, the chunks so found by the pattern. A memo has two
-    generations of about ``generation`` strings: what is used moves to the young one, and when that is full
-    the old one goes. Strings of special tokens in a text are ordinary text.
+    Texts are cut before each space and line feed, the distinct chunks of a slice by the pattern. The memo of
+    pieces has two generations of about ``generation`` each: what is used moves to the young one, and when
+    that is full the old one goes. Strings of special tokens in a text are ordinary text.
     """
 
-    def __init__(self, path: str, generation: int = 250_000):
+    def __init__(self, path: str, generation: int = 450_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -89,28 +82,25 @@ class PieceEncoder:
         self.line_feed = self.alphabet[10]
         (self.line_feed_id,) = self.model.encode(self.line_feed, add_special_tokens=False).ids
         self.always = {"": b"", "\n": struct.pack("<I", self.line_feed_id)}
-        self.chunks: list[dict[str, bytes]] = [dict(self.always), {}]
-        self.pieces: list[dict[str, bytes]] = [dict(self.always), {}]
+        self.memo: list[dict[str, bytes]] = [dict(self.always), {}]
 
-    def _remembered(self, strings: pa.Array, memo: list[dict[str, bytes]], learn) -> list[bytes]:
-        names = strings.to_pylist()
-        found = list(map(memo[0].get, names))
+    def _remembered(self, names: list[str]) -> list[bytes]:
+        found = list(map(self.memo[0].get, names))
         if missing := [k for k, x in enumerate(found) if x is None]:
-            if len(memo[0]) + len(missing) > self.generation:
-                memo[:] = [dict(self.always), memo[0]]
-            young, old, new = *memo, []
+            if len(self.memo[0]) + len(missing) > self.generation:
+                self.memo = [dict(self.always), self.memo[0]]
+            young, old, new = *self.memo, []
             for k in missing:
                 if (ids := old.get(names[k])) is None:
                     new.append(k)
                 else:
                     young[names[k]] = found[k] = ids
-            for k, ids in zip(new, learn(strings.take(pa.array(new, pa.int64()))) if new else ()):
+            for k, ids in zip(new, self._piece_ids([names[k] for k in new]) if new else ()):
                 young[names[k]] = found[k] = ids
         return found
 
-    def _piece_ids(self, pieces: pa.Array):
+    def _piece_ids(self, names: list[str]) -> list[bytes]:
         """Ids of each piece; in the library's input every piece is followed by a line feed, which no other piece holds."""
-        names = pieces.to_pylist()
         split = [self.line_feed] * (2 * len(names))
         split[::2] = [x.encode().decode("latin-1").translate(self.alphabet) for x in names]
         ids = np.asarray(self.model.encode_batch_fast([split], is_pretokenized=True, add_special_tokens=False)[0].ids, "<u4")
@@ -118,23 +108,31 @@ class PieceEncoder:
         raw = ids.tobytes()
         return [raw[4 * a : 4 * b] for a, b in zip([0, *(ends[:-1] + 1).tolist()], ends.tolist())]
 
-    def _chunk_ids(self, chunks: pa.Array):
-        single = pc.match_substring_regex(chunks, _SINGLE)
-        whole = iter(self._remembered(chunks.filter(single), self.pieces, self._piece_ids))
-        cut = iter(self._cut_ids(chunks.filter(pc.invert(single))))
-        return [next(whole if x else cut) for x in single.to_pylist()]
-
-    def _cut_ids(self, chunks: pa.Array) -> list[bytes]:
-        pieces, of, stops = _numbered(pc.split_pattern(pc.replace_substring_regex(chunks, _PIECE, "\\1" + _CUT), _CUT))
-        ids, ends = _gathered(self._remembered(pieces, self.pieces, self._piece_ids), of, stops)
-        raw = ids.tobytes()
-        return [raw[4 * a : 4 * b] for a, b in zip([0, *ends[:-1]], ends)]
-
     def _text_ids(self, texts: pa.Array) -> list[np.ndarray]:
         marked = pc.replace_substring(pc.replace_substring(texts, " ", _CUT + " "), "\n", _CUT + "\n")
-        chunks, of, stops = _numbered(pc.split_pattern(marked, _CUT))
-        ids, ends = _gathered(self._remembered(chunks, self.chunks, self._chunk_ids), of, stops)
-        return [ids[a:b] for a, b in zip([0, *ends[:-1]], ends)]
+        lists = pc.split_pattern(marked, _CUT)
+        coded = lists.flatten().dictionary_encode()
+        chunks = coded.dictionary
+        single = pc.match_substring_regex(chunks, _SINGLE)
+        cut = pc.split_pattern(pc.replace_substring_regex(chunks.filter(pc.invert(single)), _PIECE, "\\1" + _CUT), _CUT)
+        alone = single.to_numpy(zero_copy_only=False)
+        pieces = pa.concat_arrays([chunks.filter(single), cut.flatten()]).dictionary_encode()
+        # how many pieces each chunk has, and where they begin among all pieces
+        count, begin = np.ones(len(chunks), np.int64), np.empty(len(chunks), np.int64)
+        count[~alone] = pc.list_value_length(cut).to_numpy()
+        begin[alone] = np.arange(alone.sum())
+        begin[~alone] = alone.sum() + np.cumsum(count[~alone]) - count[~alone]
+        places, stops = _spread(begin, count, np.arange(len(chunks)))
+        found = self._remembered(pieces.dictionary.to_pylist())
+        size = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        at, ends = _spread(np.cumsum(size) - size, size, pieces.indices.to_numpy()[places])
+        store = np.frombuffer(b"".join(found), "<u4")[at]  # ids of the chunks
+        ends = np.append(0, ends)[stops]
+        size = np.diff(ends, prepend=0)
+        at, ends = _spread(ends - size, size, coded.indices.to_numpy())
+        ids = store[at]
+        bounds = np.append(0, ends)[np.cumsum(pc.list_value_length(lists).to_numpy())].tolist()
+        return [ids[a:b] for a, b in zip([0, *bounds[:-1]], bounds)]
 
     def encode(self, texts: pa.Array) -> list[np.ndarray]:
         texts = pc.fill_null(texts, "")
