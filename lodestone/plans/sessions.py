@@ -8,8 +8,8 @@ from lodestone.functions import text as X
 from lodestone.operators import logs as L
 from lodestone.operators import memory as M
 from lodestone.operators import mining as MI
-from lodestone.operators.structure import first_by
-from lodestone.plans.views import edges, events, now_of, obs, query, sessions, t
+from lodestone.operators.structure import capped, first_by
+from lodestone.plans.views import ORDER, PART, edges, events, now_of, obs, query, sessions, t
 
 LIVE = "consolidated_into IS NULL AND kind <> 'context_retrieval'"
 
@@ -142,6 +142,20 @@ def blast_radius(spark, d):
     return first_by(M.recent_files(obs(spark, d)).join(many, "file_path"), ["session_id"], "rank").select("session_id", "file_path", "n", "shown")
 
 
+#: Files of an edge's ends as ``obs`` names them: a part is a symbol of one of twenty files, an order is a file of its own.
+_DEPENDENTS = f"l AS (SELECT DISTINCT 'src/f' || ((target - {PART}) % 20) || '.rs' AS file_path, 'src/o' || (source - {ORDER}) || '.rs' AS dependent FROM edges WHERE kind = 'uses_type')"
+
+
+@query("blast_radius_edges", f"WITH {_DEPENDENTS}, p AS (SELECT *, count(*) OVER (PARTITION BY file_path) AS n, row_number() OVER (PARTITION BY file_path ORDER BY dependent) AS place FROM l), d AS (SELECT file_path, n, string_agg(dependent, ',' ORDER BY dependent) AS shown FROM p WHERE place <= 3 AND n >= 3 GROUP BY file_path, n), r AS (SELECT session_id, file_path, row_number() OVER (PARTITION BY session_id ORDER BY max(created_at) DESC, file_path) AS rank FROM obs WHERE kind = 'file_change' AND file_path IS NOT NULL GROUP BY session_id, file_path) SELECT session_id, r.file_path, n, shown FROM r JOIN d ON d.file_path = r.file_path WHERE rank <= 5 QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY rank) = 1")
+def blast_radius_edges(spark, d):
+    """Blast radius over the edges table; the first three dependents are taken before any list is built."""
+    file = lambda name, key: F.concat(F.lit(f"src/{name}"), key.cast("string"), F.lit(".rs"))
+    links = edges(spark, d).where("kind = 'uses_type'").select(file("f", (F.col("target") - F.lit(PART)) % 20).alias("file_path"), file("o", F.col("source") - F.lit(ORDER)).alias("dependent")).distinct()
+    many = links.groupBy("file_path").agg(F.count(F.lit(1)).alias("n")).where("n >= 3")
+    shown = capped(links, ["file_path"], 3, "dependent").groupBy("file_path").agg(F.array_join(F.array_sort(F.collect_list("dependent")), ",").alias("shown"))
+    return first_by(M.recent_files(obs(spark, d)).join(many.join(shown, "file_path"), "file_path"), ["session_id"], "rank").select("session_id", "file_path", "n", "shown")
+
+
 _COMMAND = "CASE event_id % 4 WHEN 0 THEN 'grep -rn needle' || k || ' .' WHEN 1 THEN 'rg pattern' || k WHEN 2 THEN 'rg thing src/dir' || k ELSE 'cargo build | head' END"
 
 
