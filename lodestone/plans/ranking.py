@@ -198,3 +198,15 @@ def eval_recall_mrr(spark, d):
     ranked = pool.withColumn("rank", F.row_number().over(Window.orderBy("score", "doc_id")))
     expected = t(spark, d, "labels").where("quality = 1 and doc_id < 200").select((F.col("doc_id") % 10).alias("tag"), "doc_id")
     return S.retrieval_quality(ranked.join(expected, "doc_id").select("tag", "doc_id", "rank"), expected, "tag", "doc_id", 20)
+
+
+@query("eval_recall_mrr_all", _POOL_SQL + """k AS (SELECT doc_id, row_number() OVER (ORDER BY raw, doc_id) AS rank FROM r), x AS (SELECT doc_id % 10 AS tag, doc_id FROM labels WHERE quality = 1),
+  h AS (SELECT tag, avg(CASE WHEN rank <= 20 THEN 1.0 ELSE 0 END) AS recall, coalesce(max(1.0 / rank), 0) AS rr FROM x LEFT JOIN k USING (doc_id) GROUP BY tag) SELECT count(*) AS cases, round(avg(recall), 6) AS recall_at_k, round(avg(rr), 6) AS mrr FROM h""")
+def eval_recall_mrr_all(spark, d):
+    """Every good label is expected, whatever its id."""
+    from pyspark.sql import Window
+
+    pool = S.top_by(S.bm25(t(spark, d, "documents"), {"text": 1.0}, QUERY, ["doc_id"]), "score", "doc_id", 100)
+    ranked = pool.withColumn("rank", F.row_number().over(Window.orderBy("score", "doc_id")))
+    expected = t(spark, d, "labels").where("quality = 1").select((F.col("doc_id") % 10).alias("tag"), "doc_id")
+    return S.retrieval_quality(ranked.join(expected, "doc_id").select("tag", "doc_id", "rank"), expected, "tag", "doc_id", 20)

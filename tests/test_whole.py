@@ -1,6 +1,6 @@
 """Queries over whole tables: what their first forms leave out."""
 
-from oracle import connect
+from oracle import connect, difference
 
 from lodestone import catalogue
 
@@ -17,3 +17,10 @@ def test_blast_radius_has_rows(spark):
     for part, order in con.execute("SELECT l_partkey, l_orderkey FROM lineitem").fetchall():
         users.setdefault(f"src/f{part % 20}.rs", set()).add(f"src/o{order}.rs")
     assert all(r.n == len(users[r.file_path]) >= 3 and r.shown == ",".join(sorted(users[r.file_path])[:3]) for r in rows)
+
+
+def test_recall_expects_ids_from_200(spark):
+    sf = "/root/testdata/sf0.01"
+    assert difference(spark, connect(sf), QUERIES["eval_recall_mrr_all"], SQL["eval_recall_mrr_all"], sf) is None
+    row, cut = QUERIES["eval_recall_mrr_all"](spark, sf).first(), QUERIES["eval_recall_mrr"](spark, sf).first()
+    assert row.cases == 10 and 0 < row.recall_at_k <= 1 and row != cut
