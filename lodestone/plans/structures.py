@@ -63,6 +63,12 @@ def neighbours_capped(spark, d):
     return G.capped_neighbours(edges(spark, d), f, "target", "source", 50)
 
 
+@query("neighbours_capped_all", f"SELECT node, next, kind FROM ({_NEAR}) WHERE r <= 50")
+def neighbours_capped_all(spark, d):
+    """Every node is in the frontier, hubs such as suppliers too."""
+    return G.capped_neighbours(edges(spark, d), nodes(spark, d), "target", "source", 50)
+
+
 @query("trace_paths", f"""WITH e AS (SELECT source, target FROM (SELECT DISTINCT source, target FROM edges) QUALIFY row_number() OVER (PARTITION BY source ORDER BY target) <= 50),
   p1 AS (SELECT [{CUSTOMER + 7}, target] AS path, target AS last FROM e WHERE source = {CUSTOMER + 7}), p2 AS (SELECT list_append(path, target) AS path, target AS last FROM p1 JOIN e ON source = last), p3 AS (SELECT list_append(path, target) AS path, target AS last FROM p2 JOIN e ON source = last)
   SELECT array_to_string(path, '>') AS path, 3 AS hops FROM p3 WHERE last = {SUPPLIER + 1} ORDER BY p3.path LIMIT 5""")

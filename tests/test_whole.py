@@ -1,8 +1,10 @@
 """Queries over whole tables: what their first forms leave out."""
 
 from oracle import connect, difference
+from pyspark.sql import functions as F
 
 from lodestone import catalogue
+from lodestone.plans import views as V
 
 SF = "/root/testdata/sf0.001"
 QUERIES, SQL = catalogue.queries(), catalogue.oracle_sql()
@@ -24,3 +26,10 @@ def test_recall_expects_ids_from_200(spark):
     assert difference(spark, connect(sf), QUERIES["eval_recall_mrr_all"], SQL["eval_recall_mrr_all"], sf) is None
     row, cut = QUERIES["eval_recall_mrr_all"](spark, sf).first(), QUERIES["eval_recall_mrr"](spark, sf).first()
     assert row.cases == 10 and 0 < row.recall_at_k <= 1 and row != cut
+
+
+def test_neighbours_of_every_node(spark):
+    found = {r.node: r.n for r in QUERIES["neighbours_capped_all"](spark, SF).groupBy("node").agg(F.count(F.lit(1)).alias("n")).collect()}
+    degree = {r.target: r.n for r in V.edges(spark, SF).groupBy("target").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert found == {k: min(n, 50) for k, n in degree.items()}
+    assert {k // V.CUSTOMER * V.CUSTOMER for k in found} == {V.ORDER, V.PART, V.SUPPLIER, V.REGION} and max(degree.values()) > 50
