@@ -250,6 +250,21 @@ def rule_merge(spark, d):
     return MI.merged_rules(old, new)
 
 
+@query("rule_merge_all", """WITH o0 AS (SELECT 'fp' || (p_partkey // 4) AS fingerprint, CASE WHEN p_partkey % 2 = 0 THEN 'main' ELSE '' END AS branch, CASE p_partkey % 3 WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE -1 END AS state, max(p_size) AS os, max(p_size % 6) AS osn FROM part WHERE p_size <= 30 GROUP BY ALL), o AS (SELECT * FROM o0 QUALIFY row_number() OVER (PARTITION BY fingerprint, branch ORDER BY state) = 1),
+  c AS (SELECT 'fp' || (p_partkey // 4) AS fingerprint, CASE WHEN p_partkey % 2 = 0 THEN 'main' ELSE '' END AS branch, max(p_size) AS s, max(p_size % 7) AS sn FROM part WHERE p_size > 20 GROUP BY ALL)
+  SELECT coalesce(o.fingerprint, c.fingerprint) AS fingerprint, coalesce(o.branch, c.branch) AS branch, greatest(coalesce(s, 0), coalesce(os, 0)) AS support, greatest(coalesce(sn, 0), coalesce(osn, 0)) AS sessions,
+    CASE WHEN state IS NULL THEN 0 WHEN state = 0 AND greatest(coalesce(sn, 0), coalesce(osn, 0)) >= 4 THEN 1 ELSE state END AS is_active FROM o FULL JOIN c ON o.fingerprint = c.fingerprint AND o.branch = c.branch""")
+def rule_merge_all(spark, d):
+    """Old rules and candidates from the whole part table, split by size: keys on both sides and on one only."""
+    p, fingerprint = t(spark, d, "part"), F.concat(F.lit("fp"), F.expr("p_partkey div 4").cast("string")).alias("fingerprint")
+    branch = F.when(F.col("p_partkey") % 2 == 0, "main").alias("branch")
+    state = F.when(F.col("p_partkey") % 3 == 0, 0).when(F.col("p_partkey") % 3 == 1, 1).otherwise(-1).alias("is_active")
+    old = p.where("p_size <= 30").groupBy(fingerprint, branch, state).agg(F.max("p_size").alias("support"), F.max(F.col("p_size") % 6).alias("sessions"))
+    old = first_by(old, ["fingerprint", "branch"], "is_active")
+    new = p.where("p_size > 20").groupBy(fingerprint, branch).agg(F.max("p_size").alias("support"), F.max(F.col("p_size") % 7).alias("sessions"))
+    return MI.merged_rules(old, new)
+
+
 @query("active_rules", """WITH r AS (SELECT p_partkey AS rule_id, p_size AS support, p_partkey % 9 AS updated_at FROM part WHERE p_partkey % 3 = 1),
   a AS (SELECT l_partkey AS rule_id, count(*) AS m FROM lineitem WHERE l_suppkey IN (1, 2, 3) GROUP BY l_partkey), b AS (SELECT l_partkey AS rule_id, count(*) AS m FROM lineitem WHERE l_returnflag = 'R' GROUP BY l_partkey)
   SELECT r.rule_id, coalesce(a.m, 0) + coalesce(b.m, 0) AS matches FROM r LEFT JOIN a USING (rule_id) LEFT JOIN b USING (rule_id) WHERE coalesce(a.m, 0) + coalesce(b.m, 0) > 0 ORDER BY matches DESC, support DESC, updated_at DESC, rule_id LIMIT 5""")

@@ -33,3 +33,24 @@ def test_neighbours_of_every_node(spark):
     degree = {r.target: r.n for r in V.edges(spark, SF).groupBy("target").agg(F.count(F.lit(1)).alias("n")).collect()}
     assert found == {k: min(n, 50) for k, n in degree.items()}
     assert {k // V.CUSTOMER * V.CUSTOMER for k in found} == {V.ORDER, V.PART, V.SUPPLIER, V.REGION} and max(degree.values()) > 50
+
+
+def test_rules_merge_every_part(spark):
+    old, new = {}, {}
+    parts = connect(SF).execute("SELECT p_partkey, p_size FROM part").fetchall()
+    for p, size in parts:
+        key, state = (f"fp{p // 4}", "" if p % 2 else "main"), (0, 1, -1)[p % 3]
+        if size <= 30:
+            a, b = old.setdefault(key, {}).get(state, (0, 0))
+            old[key][state] = (max(a, size), max(b, size % 6))
+        if size > 20:
+            a, b = new.get(key, (0, 0))
+            new[key] = (max(a, size), max(b, size % 7))
+    want = {}
+    for key in old.keys() | new.keys():
+        state = min(old[key]) if key in old else None
+        support, sessions = map(max, old[key][state] if key in old else (0, 0), new.get(key, (0, 0)))
+        want[key] = (support, sessions, 0 if state is None else 1 if state == 0 and sessions >= 4 else state)
+    got = {(r.fingerprint, r.branch): (r.support, r.sessions, r.is_active) for r in QUERIES["rule_merge_all"](spark, SF).collect()}
+    assert got == want and len(got) == len({(p // 4, p % 2) for p, _ in parts})
+    assert old.keys() & new.keys() and old.keys() - new.keys() and new.keys() - old.keys()
