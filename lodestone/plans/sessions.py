@@ -292,3 +292,12 @@ def staleness_propagation(spark, d):
     p = F.col("p_partkey")
     reasons = t(spark, d, "part").where(p < 60).select(F.concat(F.lit("src/f"), (p % 20).cast("string"), F.lit(".rs::s"), p.cast("string")).alias("fqn"), F.when(p % 3 == 0, "signature changed").when(p % 3 == 1, "removed").otherwise("renamed").alias("reason"), (p % 3).alias("priority"))
     return M.marked_stale(obs(spark, d), reasons).select("obs_id", "is_stale", "stale_reason")
+
+
+@query("staleness_propagation_all", """WITH reason AS (SELECT 'src/f' || (p_partkey % 20) || '.rs::s' || p_partkey AS fqn, CASE p_partkey % 3 WHEN 0 THEN 'signature changed' WHEN 1 THEN 'removed' ELSE 'renamed' END AS reason FROM part)
+  SELECT obs_id, is_stale OR reason IS NOT NULL AS is_stale, CASE WHEN NOT is_stale THEN reason END AS stale_reason FROM obs LEFT JOIN reason ON symbol_fqn = fqn""")
+def staleness_propagation_all(spark, d):
+    """Every part gives a reason."""
+    p = F.col("p_partkey")
+    reasons = t(spark, d, "part").select(F.concat(F.lit("src/f"), (p % 20).cast("string"), F.lit(".rs::s"), p.cast("string")).alias("fqn"), F.when(p % 3 == 0, "signature changed").when(p % 3 == 1, "removed").otherwise("renamed").alias("reason"), (p % 3).alias("priority"))
+    return M.marked_stale(obs(spark, d), reasons).select("obs_id", "is_stale", "stale_reason")

@@ -54,3 +54,9 @@ def test_rules_merge_every_part(spark):
     got = {(r.fingerprint, r.branch): (r.support, r.sessions, r.is_active) for r in QUERIES["rule_merge_all"](spark, SF).collect()}
     assert got == want and len(got) == len({(p // 4, p % 2) for p, _ in parts})
     assert old.keys() & new.keys() and old.keys() - new.keys() and new.keys() - old.keys()
+
+
+def test_every_part_gives_a_reason(spark):
+    parts = {r[0] for r in connect(SF).execute("SELECT p_partkey FROM part").fetchall()}
+    rows = V.obs(spark, SF).where("symbol_fqn is not null").select("obs_id", F.split("symbol_fqn", "::s")[1].cast("long").alias("symbol")).join(QUERIES["staleness_propagation_all"](spark, SF), "obs_id").collect()
+    assert all(r.is_stale for r in rows if r.symbol in parts) and any(r.symbol >= 60 and r.stale_reason for r in rows)
