@@ -1,5 +1,7 @@
 """Queries over whole tables: what their first forms leave out."""
 
+from collections import Counter
+
 from oracle import connect, difference
 from pyspark.sql import functions as F
 
@@ -60,3 +62,18 @@ def test_every_part_gives_a_reason(spark):
     parts = {r[0] for r in connect(SF).execute("SELECT p_partkey FROM part").fetchall()}
     rows = V.obs(spark, SF).where("symbol_fqn is not null").select("obs_id", F.split("symbol_fqn", "::s")[1].cast("long").alias("symbol")).join(QUERIES["staleness_propagation_all"](spark, SF), "obs_id").collect()
     assert all(r.is_stale for r in rows if r.symbol in parts) and any(r.symbol >= 60 and r.stale_reason for r in rows)
+
+
+def test_pagerank_runs_a_hundred_rounds(spark, tmp_path):
+    small = {"orders": "(0, 1), (0, 2), (1, 3) AS t(o_custkey, o_orderkey)", "lineitem": "(1, 5, 9), (2, 5, 9), (3, 6, 8), (3, 5, 8) AS t(l_orderkey, l_partkey, l_suppkey)", "nation": "(0, 0), (1, 0) AS t(n_nationkey, n_regionkey)"}
+    for name, values in small.items():
+        spark.sql(f"SELECT * FROM VALUES {values}").write.parquet(f"{tmp_path}/{name}.parquet")
+    links = [(r.source, r.target) for r in V.edges(spark, str(tmp_path)).collect()]
+    out = Counter(a for a, _ in links)
+    rank = {k: 1 / len({x for e in links for x in e}) for e in links for k in e}
+    for _ in range(100):
+        loose = sum(v for k, v in rank.items() if k not in out)
+        new = {k: (0.15 + 0.85 * loose) / len(rank) + 0.85 * sum(rank[a] / out[a] for a, b in links if b == k) for k in rank}
+        rank = {k: v / sum(new.values()) for k, v in new.items()}
+    got = {r.node: r["rank"] for r in QUERIES["pagerank_100"](spark, str(tmp_path)).collect()}
+    assert got.keys() == rank.keys() and all(abs(got[k] - rank[k]) < 2e-9 for k in rank)
