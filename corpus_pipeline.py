@@ -31,9 +31,13 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return labelled.where("_line_kept").select(*docs.columns)
 
 
+#: Words of a shingle, percent of similarity, and hashes of a band (a pair at 0.80 is missed with 5e-8).
+SHINGLE, PERCENT, ROWS = 5, 80, 4
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates."""
-    kept = op3_near_dedup.near_duplicates(docs).where("kept").select(F.col("row_hash").alias("_row")).distinct()
+    kept = op3_near_dedup.near_duplicates(docs, SHINGLE, PERCENT, ROWS).where("kept").select(F.col("row_hash").alias("_row")).distinct()
     keyed = docs.withColumn("_row", F.xxhash64(F.col("doc_id").cast("long"), F.col("text")))
     return keyed.join(kept, "_row", "left_semi").dropDuplicates(["_row"]).select(*docs.columns)
 

@@ -3,7 +3,8 @@
 1. A document's set is its distinct word shingles. Documents with one set form a class and only classes
    are compared, so copies in any number cost one row each.
 2. A class's signature has ``HASHES`` minima. Bands of ``ROWS`` of them put classes in buckets; two classes
-   at the threshold share none with a probability of about 4e-7 (see ``missed``).
+   at the threshold share none with a probability of about 4e-7 (see ``missed``). Callers with another
+   shingle size or threshold give the rows of a band too.
 3. In each bucket every class is compared with the bucket's least class: a star, not all pairs. Confirmed
    links give components, and a bucket that lies in one component is done.
 4. In the other buckets classes of different components are compared, block against block of at most
@@ -26,7 +27,7 @@ are one document in as many rows; an empty table gives no rows; other columns ar
 
 from __future__ import annotations
 
-from functools import lru_cache
+from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -105,22 +106,22 @@ def class_of(keys: np.ndarray) -> int:
     return int.from_bytes(hashlib.blake2b(keys.tobytes(), digest_size=8).digest(), "little", signed=True)
 
 
-def _signatures(batches):
+def _signatures(batches, size: int = SHINGLE):
     for batch in batches:
         n, nodes, signatures = [], [], []
         for text in batch.column("text").to_pylist():
-            own = shingle_hashes(text or "")
+            own = shingle_hashes(text or "", size)
             n.append(len(own))
             nodes.append(class_of(own) if len(own) else None)
             signatures.append(signature(own).tobytes() if len(own) else None)
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("row_hash"), pa.array(n, pa.int64()), pa.array(nodes, pa.int64()), pa.array(signatures, pa.binary())], ["doc_id", "row_hash", "n_shingles", "node", "signature"])
 
 
-def _whole_sets(batches):
+def _whole_sets(batches, size: int = SHINGLE):
     for batch in batches:
         nodes, sets = [], []
         for node, text in zip(batch.column("node").to_pylist(), batch.column("text").to_pylist()):
-            own = shingle_hashes(text or "")
+            own = shingle_hashes(text or "", size)
             if len(own) and class_of(own) == node:
                 nodes.append(node)
                 sets.append(own.tobytes())
@@ -138,31 +139,31 @@ def _survivors(signatures_a: np.ndarray, signatures_b: np.ndarray, i: np.ndarray
     return i, j
 
 
-def _linked(x: np.ndarray, y: np.ndarray) -> bool:
-    if 100 * min(len(x), len(y)) < PERCENT * max(len(x), len(y)):
+def _linked(x: np.ndarray, y: np.ndarray, percent: int = PERCENT) -> bool:
+    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
         return False
     shared = len(np.intersect1d(x, y, assume_unique=True))
-    return 100 * shared >= PERCENT * (len(x) + len(y) - shared)
+    return 100 * shared >= percent * (len(x) + len(y) - shared)
 
 
 def _matrix(raw: list[bytes]) -> np.ndarray:
     return np.frombuffer(b"".join(raw), np.uint32).reshape(-1, HASHES)
 
 
-def _prune(batches):
+def _prune(batches, percent: int = PERCENT):
     """Star pairs that the posterior bounds keep."""
-    least = least_matches()
+    least = least_matches(percent)
     for batch in batches:
         n = np.arange(batch.num_rows)
         kept, _ = _survivors(_matrix(batch.column("sa").to_pylist()), _matrix(batch.column("sb").to_pylist()), n, n, least)
         yield batch.select(["a", "b"]).take(pa.array(kept))
 
 
-def _confirm(batches):
+def _confirm(batches, percent: int = PERCENT):
     """Links among star pairs, on whole sets."""
     for batch in batches:
         sides = zip(batch.column("set_a").to_pylist(), batch.column("set_b").to_pylist())
-        good = [_linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) for x, y in sides]
+        good = [_linked(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent) for x, y in sides]
         yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
 
@@ -184,7 +185,7 @@ def _units(batches, extra: list[str]):
         yield dict(zip(names, zip(*held)))
 
 
-def _candidates(unit: dict, least: list[int]) -> tuple[np.ndarray, np.ndarray]:
+def _candidates(unit: dict, least: list[int], rows: int = ROWS) -> tuple[np.ndarray, np.ndarray]:
     """Surviving pairs of rows of a unit, of different components, in the first band that they share."""
     s, root, side = _matrix(unit["signature"]), np.array(unit["root"]), np.array(unit["side"])
     p, q, band = unit["p"][0], unit["q"][0], unit["band"][0]
@@ -198,26 +199,26 @@ def _candidates(unit: dict, least: list[int]) -> tuple[np.ndarray, np.ndarray]:
             apart &= part[:, None] < right
         i, j = np.nonzero(apart)
         i, j = _survivors(s, s, part[i], right[j], least)
-        shared = (s[i, : HASHES // ROWS * ROWS] == s[j, : HASHES // ROWS * ROWS]).reshape(len(i), HASHES // ROWS, ROWS).all(2)
+        shared = (s[i, : HASHES // rows * rows] == s[j, : HASHES // rows * rows]).reshape(len(i), HASHES // rows, rows).all(2)
         first = shared.argmax(1) == band
         found.append((i[first], j[first]))
     return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
 
 
-def _rest(batches):
+def _rest(batches, percent: int = PERCENT, rows: int = ROWS):
     """Rows of units that have a candidate left."""
-    least = least_matches()
+    least = least_matches(percent)
     for unit in _units(batches, ["signature"]):
-        kept = np.unique(np.concatenate(_candidates(unit, least))).tolist()
+        kept = np.unique(np.concatenate(_candidates(unit, least, rows))).tolist()
         if kept:
             yield pa.RecordBatch.from_arrays([pa.array([unit[c][k] for k in kept], pa.int64()) for c in _UNIT], _UNIT)
 
 
-def _join_up(batches):
+def _join_up(batches, percent: int = PERCENT, rows: int = ROWS):
     """Links that join components of a unit, confirmed on whole sets."""
-    least = least_matches()
+    least = least_matches(percent)
     for unit in _units(batches, ["signature", "set"]):
-        i, j = _candidates(unit, least)
+        i, j = _candidates(unit, least, rows)
         if not len(i):
             continue
         above: dict[int, int] = {}
@@ -245,7 +246,7 @@ def _join_up(batches):
             flat = np.concatenate([codes[at[y] : at[y] + size[y]] for y in others])
             shared = np.add.reduceat(mark[flat], np.cumsum([0, *size[others][:-1]]))
             mark[own] = 0
-            for y in np.array(others)[100 * shared >= PERCENT * (size[x] + size[others] - shared)].tolist():
+            for y in np.array(others)[100 * shared >= percent * (size[x] + size[others] - shared)].tolist():
                 a, b = top(unit["root"][x]), top(unit["root"][y])
                 if a != b:
                     above[max(a, b)] = min(a, b)
@@ -257,27 +258,27 @@ def _join_up(batches):
 class _Job:
     """Tables of one run: docs (row_hash, text), classes (node, rep, signature)."""
 
-    def __init__(self, docs: DataFrame, scratch: Scratch):
-        self.scratch = scratch
+    def __init__(self, docs: DataFrame, scratch: Scratch, size: int, percent: int, rows: int):
+        self.scratch, self.size, self.percent, self.per_band = scratch, size, percent, rows
         self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("row_hash"), F.col("text").cast("string").alias("text"))
-        self.rows = scratch.save(self.docs.mapInArrow(_signatures, "doc_id long, row_hash long, n_shingles long, node long, signature binary"), "signatures")
+        self.rows = scratch.save(self.docs.mapInArrow(partial(_signatures, size=size), "doc_id long, row_hash long, n_shingles long, node long, signature binary"), "signatures")
         self.classes = scratch.save(self.rows.where("node is not null").groupBy("node").agg(F.min("row_hash").alias("rep"), F.first("signature").alias("signature")), "classes")
 
     def sets_of(self, nodes: DataFrame, name: str) -> DataFrame:
         """node, set: whole sets of distinct nodes, from the text of one row of each class."""
         wanted = nodes.join(self.classes.select("node", "rep"), "node")
         texts = self.docs.join(wanted, F.col("row_hash") == F.col("rep")).select("node", "text")
-        return self.scratch.save(texts.mapInArrow(_whole_sets, "node long, set binary").dropDuplicates(["node"]), name)
+        return self.scratch.save(texts.mapInArrow(partial(_whole_sets, size=self.size), "node long, set binary").dropDuplicates(["node"]), name)
 
     def star(self, members: DataFrame) -> DataFrame:
         """Confirmed links between classes and their buckets' least classes."""
         signatures = self.classes.select("node", "signature")
         pairs = members.where("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
         both = pairs.join(signatures.toDF("a", "sa"), "a").join(signatures.toDF("b", "sb"), "b").select("a", "b", "sa", "sb")
-        kept = self.scratch.save(both.mapInArrow(_prune, "a long, b long"), "star_kept")
+        kept = self.scratch.save(both.mapInArrow(partial(_prune, percent=self.percent), "a long, b long"), "star_kept")
         sets = self.sets_of(kept.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "star_sets")
         found = kept.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b").select("a", "b", "set_a", "set_b")
-        links = self.scratch.save(found.mapInArrow(_confirm, "a long, b long"), "star_links")
+        links = self.scratch.save(found.mapInArrow(partial(_confirm, percent=self.percent), "a long, b long"), "star_links")
         self.scratch.drop("star_kept", "star_sets")
         return links
 
@@ -294,19 +295,22 @@ class _Job:
         paired = sided.withColumn("other", F.explode(F.sequence(F.when(F.col("large"), F.col("g")).otherwise(zero), F.col("g") + F.col("o") - 1)))
         units = paired.select("bucket", F.least("side", "other").alias("p"), F.greatest("side", "other").alias("q"), F.col("band").cast("long").alias("band"), "side", "node", "root")
         signed = units.join(self.classes.select("node", "signature"), "node").repartition("bucket", "p", "q").sortWithinPartitions("bucket", "p", "q")
-        left = self.scratch.save(signed.select(*_UNIT, "signature").mapInArrow(_rest, ", ".join(f"{c} long" for c in _UNIT)), "units_left")
+        left = self.scratch.save(signed.select(*_UNIT, "signature").mapInArrow(partial(_rest, percent=self.percent, rows=self.per_band), ", ".join(f"{c} long" for c in _UNIT)), "units_left")
         sets = self.sets_of(left.select("node").distinct(), "unit_sets")
         whole = left.join(self.classes.select("node", "signature"), "node").join(sets, "node").repartition("bucket", "p", "q").sortWithinPartitions("bucket", "p", "q")
-        links = self.scratch.save(whole.select(*_UNIT, "signature", "set").mapInArrow(_join_up, "a long, b long"), "unit_links")
+        links = self.scratch.save(whole.select(*_UNIT, "signature", "set").mapInArrow(partial(_join_up, percent=self.percent, rows=self.per_band), "a long, b long"), "unit_links")
         self.scratch.drop("units_left", "unit_sets")
         return links
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row per document (doc_id, text): doc_id, row_hash, n_shingles, component_id, kept."""
+def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, rows: int = ROWS) -> DataFrame:
+    """One row per document (doc_id, text): doc_id, row_hash, n_shingles, component_id, kept.
+
+    Sets are shingles of ``size`` words, links reach ``percent`` of similarity, bands have ``rows`` hashes.
+    """
     scratch = Scratch(docs.sparkSession)
-    job = _Job(docs, scratch)
-    bands = [F.xxhash64(F.lit(k), F.substring("signature", 4 * ROWS * k + 1, 4 * ROWS)) for k in range(HASHES // ROWS)]
+    job = _Job(docs, scratch, size, percent, rows)
+    bands = [F.xxhash64(F.lit(k), F.substring("signature", 4 * rows * k + 1, 4 * rows)) for k in range(HASHES // rows)]
     placed = job.classes.select("node", F.posexplode(F.array(*bands)).alias("band", "bucket"))
     shared = placed.groupBy("bucket").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     members = scratch.save(placed.join(shared, "bucket"), "members")

@@ -1,4 +1,7 @@
+import random
+
 import corpus_pipeline as P
+from lodestone.llm import op3_near_dedup as D
 from lodestone.scratch import Scratch
 
 
@@ -28,3 +31,29 @@ def test_odd_rows(spark, odd, none, tmp_path):
     for docs in (odd, none):
         for _, stage in P.STAGES:
             assert stage(spark, docs, str(tmp_path)).count() >= 0
+
+
+def test_near_dedup_takes_five_words_at_80_percent(spark):
+    """A block appended that leaves 0.80 of five-word shingles and 0.803 of three-word ones; brute force over mixed copies."""
+    r = random.Random(2)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(5))
+    base = [word() for _ in range(100)]
+    pair = [(1, " ".join(base)), (2, " ".join(base + [word() for _ in range(24)]))]
+    docs = lambda rows: spark.createDataFrame(rows, "doc_id long, text string")
+    assert P.near_dedup(spark, docs(pair), "").count() == 1
+    rows, sets = [], []
+    for _ in range(40):
+        own = [word() for _ in range(100)]
+        rows += [(len(rows) + k, " ".join(own[: r.randint(75, 100)] + [word() for _ in range(k * r.randint(0, 12))])) for k in range(3)]
+    for _, text in rows:
+        w = text.split()
+        sets.append({tuple(w[k : k + 5]) for k in range(len(w) - 4)})
+    root = list(range(len(rows)))
+    for x in range(len(rows)):
+        for y in range(x):
+            if 100 * len(sets[x] & sets[y]) >= 80 * len(sets[x] | sets[y]):
+                a, b = sorted((root[x], root[y]))
+                root = [a if k == b else k for k in root]
+    kept = set(root)
+    assert {x.doc_id for x in P.near_dedup(spark, docs(rows).repartition(3), "").collect()} == kept and len(kept) < len(rows)
+    assert D.missed(P.PERCENT / 100, rows=P.ROWS) < 1e-7
