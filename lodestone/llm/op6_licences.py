@@ -7,7 +7,8 @@ statements of each family with words left out and added, and on prose. Its proba
 one temperature on the part of these examples that training leaves out; a paragraph is of a family only
 if the family's calibrated probability reaches ``LEAST_PROBABILITY``. A prediction counts if the
 paragraph shares at least ``CONFIRM`` of the word pairs of one of the family's statements or of its own,
-whichever has fewer.
+whichever has fewer. A line with a feature is judged whole and by its clauses, clauses of more than ``SPAN``
+words by overlapping windows too, and every confirmed family is given once, with its highest probability.
 
 Scoring is one projection over whole texts: weights are constants of the plan, so there is no join,
 shuffle or Python on the executors. Most paragraphs have no feature and are unknown by the bias alone.
@@ -31,6 +32,10 @@ from lodestone.llm.common import table
 BUCKETS, LEAST_PROBABILITY, CONFIRM, SEED = 1 << 16, 0.7, 0.6, 3
 TOKEN = r"[a-z0-9]+(?:[.][0-9]+)*"
 
+#: Where a line's clauses part; words of a window over a longer clause, and between starts. A family must be
+#: found in two windows in a row, since an edge may cut a name down to another family's.
+CLAUSE, SPAN, STEP = r"(?i)(?<=[.;!?])\s+|,?\s+(?:and/or|or|and)\s+", 32, 8
+
 #: Statements by which licence families are named or granted.
 STATEMENTS = {
     "apache": ["Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.", "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0", "SPDX-License-Identifier: Apache-2.0"],
@@ -124,7 +129,7 @@ def _numbers(values, kind: str) -> str:
 
 
 def licence_paragraphs(docs: DataFrame, keep: list[str], model: dict | None = None, name: str = "licences") -> DataFrame:
-    """Columns ``keep`` and, as ``name``, an array of (paragraph, family, probability) of confirmed licence paragraphs."""
+    """Columns ``keep`` and, as ``name``, an array of (paragraph, family, probability, line), a row for each family confirmed in a paragraph."""
     model = model or train()
     n, listed = len(model["classes"]), sorted(model["weights"])
     slot = np.zeros(BUCKETS, int)
@@ -133,6 +138,7 @@ def licence_paragraphs(docs: DataFrame, keep: list[str], model: dict | None = No
     slots, table_sql, bias = _numbers(slot, "int"), _numbers(flat, "double"), _numbers([repr(float(v)) for v in model["bias"]], "double")
     names = "array(" + ",".join(f"'{c}'" for c in model["classes"]) + ")"
     statements = "array(" + ",".join("array(" + ",".join("array(" + ",".join(f"'{a} {b}'" for a, b in zip(t, t[1:])) + ")" for t in map(tokens, STATEMENTS[c])) + ")" for c in STATEMENTS) + ")"
+    words = lambda text: f"regexp_extract_all(lower({text}), r'{TOKEN}', 0)"
     let = lambda v, value, body: f"element_at(transform(array({value}), {v} -> {body}), 1)"
     pairs = "transform(sequence(1, size(w) - 1), i -> concat(w[i - 1], ' ', w[i]))"
     pair_list = f"if(size(w) > 1, {pairs}, cast(array() AS array<string>))"
@@ -141,14 +147,22 @@ def licence_paragraphs(docs: DataFrame, keep: list[str], model: dict | None = No
     logits = f"transform(sequence(1, {n}), f -> aggregate(h, element_at({bias}, f), (s, k) -> s + element_at({table_sql}, (k - 1) * {n} + f)) / {model['temperature']!r}D)"
     chances = let("z", logits, let("m", "array_max(z)", let("e", "transform(z, v -> exp(v - m))", "transform(e, v -> v / aggregate(e, 0D, (s, u) -> s + u))")))
     shared = f"exists(element_at({statements}, c), t -> size(array_intersect(g, t)) >= {CONFIRM}D * least(size(array_distinct(g)), size(t)) and size(array_intersect(g, t)) > 0)"
-    judged = let("q", chances, let("c", "cast(array_position(q, array_max(q)) AS int)", f"if(c < {n} and element_at(q, c) >= {LEAST_PROBABILITY}D, if({shared}, struct(p AS paragraph, element_at({names}, c) AS family, element_at(q, c) AS probability), null), null)"))
+    judged = let("q", chances, let("c", "cast(array_position(q, array_max(q)) AS int)", f"if(c < {n} and element_at(q, c) >= {LEAST_PROBABILITY}D, if({shared}, struct(s.o AS o, element_at({names}, c) AS family, element_at(q, c) AS probability), null), null)"))
     of_words = let("g", pair_list, let("h", hits, f"if(size(h) > 0, {judged}, null)"))
-    one = let("w", f"regexp_extract_all(lower(p), r'{TOKEN}', 0)", of_words)
-    return docs.select(*keep, F.expr(f"filter(transform(split(coalesce(cast(text AS string), ''), '\\n'), p -> {one}), x -> x is not null)").alias(name))
+    places = f"if(size(v) > {SPAN}, sequence({STEP - SPAN}, size(v) - 1, {STEP}), array(0))"
+    windows = f"transform({places}, (o, k) -> struct(if(size(v) > {SPAN}, slice(v, greatest(o, 0) + 1, {SPAN} + least(o, 0)), v) AS w, if(size(v) > {SPAN}, i * 1000000 + k, -1) AS o))"
+    clauses = f"flatten(transform(split(p, r'{CLAUSE}'), (u, i) -> {let('v', words('u'), windows)}))"
+    spans = f"array_distinct(concat(array(struct(w, -1 AS o)), filter({clauses}, v -> size(v.w) > 1)))"
+    judgements = f"filter(transform({spans}, s -> {let('w', 's.w', of_words)}), x -> x is not null)"
+    found = let("b", judgements, "filter(b, x -> x.o < 0 or exists(b, y -> abs(x.o - y.o) = 1 and y.o >= 0 and x.family = y.family))")
+    each = let("a", found, "transform(array_distinct(transform(a, x -> x.family)), f -> struct(p AS paragraph, f AS family, array_max(transform(filter(a, x -> x.family = f), x -> x.probability)) AS probability, l AS line))")
+    nothing = "cast(array() AS array<struct<paragraph: string, family: string, probability: double, line: int>>)"
+    one = let("w", words("p"), let("g", pair_list, f"if(size({hits}) > 0, {each}, {nothing})"))
+    return docs.select(*keep, F.expr(f"flatten(transform(split(coalesce(cast(text AS string), ''), '\\n'), (p, l) -> {one}))").alias(name))
 
 
 def op6_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: its families in order, licence paragraphs, and the highest probability."""
     found = licence_paragraphs(table(spark, sf_dir, "documents"), ["doc_id"])
     families = F.array_join(F.array_sort(F.array_distinct(F.expr("transform(licences, x -> x.family)"))), ",")
-    return found.select("doc_id", families.alias("families"), F.size("licences").cast("long").alias("n_paragraphs"), F.expr("array_max(transform(licences, x -> x.probability))").alias("probability"))
+    return found.select("doc_id", families.alias("families"), F.expr("size(array_distinct(transform(licences, x -> x.line)))").cast("long").alias("n_paragraphs"), F.expr("array_max(transform(licences, x -> x.probability))").alias("probability"))
