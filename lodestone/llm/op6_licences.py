@@ -150,9 +150,10 @@ def licence_paragraphs(docs: DataFrame, keep: list[str], model: dict | None = No
     judged = let("q", chances, let("c", "cast(array_position(q, array_max(q)) AS int)", f"if(c < {n} and element_at(q, c) >= {LEAST_PROBABILITY}D, if({shared}, struct(s.o AS o, element_at({names}, c) AS family, element_at(q, c) AS probability), null), null)"))
     of_words = let("g", pair_list, let("h", hits, f"if(size(h) > 0, {judged}, null)"))
     places = f"if(size(v) > {SPAN}, sequence({STEP - SPAN}, size(v) - 1, {STEP}), array(0))"
-    windows = f"transform({places}, (o, k) -> struct(if(size(v) > {SPAN}, slice(v, greatest(o, 0) + 1, {SPAN} + least(o, 0)), v) AS w, if(size(v) > {SPAN}, i * 1000000 + k, -1) AS o))"
+    windows = f"transform({places}, (o, k) -> struct(if(size(v) > {SPAN}, slice(v, greatest(o, 0) + 1, {SPAN} + least(o, 0)), v) AS w, if(size(v) > {SPAN}, i * 1000000000L + k, -1L) AS o))"
     clauses = f"flatten(transform(split(p, r'{CLAUSE}'), (u, i) -> {let('v', words('u'), windows)}))"
-    spans = f"array_distinct(concat(array(struct(w, -1 AS o)), filter({clauses}, v -> size(v.w) > 1)))"
+    alone = "array(struct(w, -1L AS o))"
+    spans = let("r", clauses, f"if(size(r) > 1, concat({alone}, filter(r, v -> size(v.w) > 1)), {alone})")
     judgements = f"filter(transform({spans}, s -> {let('w', 's.w', of_words)}), x -> x is not null)"
     found = let("b", judgements, "filter(b, x -> x.o < 0 or exists(b, y -> abs(x.o - y.o) = 1 and y.o >= 0 and x.family = y.family))")
     each = let("a", found, "transform(array_distinct(transform(a, x -> x.family)), f -> struct(p AS paragraph, f AS family, array_max(transform(filter(a, x -> x.family = f), x -> x.probability)) AS probability, l AS line))")

@@ -169,7 +169,7 @@ def test_licence_rule_equals_python(spark):
 def test_licences_of_one_line(spark):
     """Two families of one line, statements in a long line, and a window's edge in a longer name."""
     fill = "the river ran down to the sea while we sat on the old bench near the wall eating bread " * 4
-    cases = [("MIT license or the Apache License, Version 2.0", {"apache", "mit"}), ("Licensed under the GPL or the GNU Lesser General Public License, version 2.1.", {"gpl", "lgpl"}), (f"{fill}Released under the MIT License {fill}Licensed under the Apache License, Version 2.0 {fill}", {"apache", "mit"}), (f"{fill}Licensed under CC BY-NC 4.0 {fill}", {"cc-nc"}), (fill, set())]
+    cases = [("MIT license or the Apache License, Version 2.0", {"apache", "mit"}), ("Licensed under the GPL or the GNU Lesser General Public License, version 2.1.", {"gpl", "lgpl"}), (f"{fill}Released under the MIT License {fill}Licensed under the Apache License, Version 2.0 {fill}", {"apache", "mit"}), (f"{fill}Licensed under CC BY-NC 4.0 {fill}", {"cc-nc"}), (fill, set()), ("no and " * 3000 + f"no. {fill}Released under the MIT License {fill}", {"mit"})]
     cases += [(s, {family}) for family, statements in C.STATEMENTS.items() for s in statements]
     docs = spark.createDataFrame([(k, text) for k, (text, _) in enumerate(cases)], "doc_id long, text string")
     for r in C.licence_paragraphs(docs, ["doc_id"]).collect():
