@@ -3,8 +3,8 @@
 Every stage works on all documents that the stage before kept. Stages 1 to 4 return the columns of
 documents; packing returns one row per piece. Models are trained on labels of the training fold only.
 
-Defined cases are those of the operators. A document repeated as a row (one doc_id, one text) stays once
-after near-duplicate removal.
+Defined cases are those of the operators; columns of any name ride along. After near-duplicate removal a
+group has one row, also where ids are null, shared by several texts, or of another integer type.
 """
 
 from __future__ import annotations
@@ -13,22 +13,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import op2_line_crf, op3_near_dedup, op5_mixing, op7_quality, op9_packing
-from lodestone.llm.common import table
+from lodestone.llm.common import quoted, table, unused
 from lodestone.scratch import Scratch
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the positive-unlabelled classifier takes for good."""
     model = op7_quality.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    scored = op7_quality.score(docs, model, docs.columns, "_quality")
-    return scored.where(F.col("_quality") >= op7_quality.THRESHOLD).select(*docs.columns)
+    name = unused(docs.columns, "quality_score")
+    scored = op7_quality.score(docs, model, docs.columns, name)
+    return scored.where(F.col(name) >= op7_quality.THRESHOLD).drop(name)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and whose words lie in content lines."""
     field = op2_line_crf.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    labelled = op2_line_crf.label_documents(docs, field, docs.columns, "_line_")
-    return labelled.where("_line_kept").select(*docs.columns)
+    prefix = unused(docs.columns, "line_")
+    labelled = op2_line_crf.label_documents(docs, field, docs.columns, prefix)
+    return labelled.where(F.col(f"{prefix}kept")).select(*map(quoted, docs.columns))
 
 
 #: Words of a shingle, percent of similarity, and hashes of a band (a pair at 0.80 is missed with 5e-8).
@@ -37,9 +39,10 @@ SHINGLE, PERCENT, ROWS = 5, 80, 4
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates."""
-    kept = op3_near_dedup.near_duplicates(docs, SHINGLE, PERCENT, ROWS).where("kept").select(F.col("row_hash").alias("_row")).distinct()
-    keyed = docs.withColumn("_row", F.xxhash64(F.col("doc_id").cast("long"), F.col("text")))
-    return keyed.join(kept, "_row", "left_semi").dropDuplicates(["_row"]).select(*docs.columns)
+    name = unused(docs.columns, "row_hash")
+    leading = op3_near_dedup.near_duplicates(docs, SHINGLE, PERCENT, ROWS).where("leads").select(F.col("row_hash").alias(name)).distinct()
+    once = docs.withColumn(name, op3_near_dedup.row_hash()).dropDuplicates([name])
+    return once.join(leading, name, "left_semi").drop(name)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ two gated recurrent layers run over a window in either direction, attention pool
 logistic unit scores the window. A document's score is its highest window's.
 
 Training uses a bounded sample of labelled documents of the training fold, of each at most
-``WINDOWS_EACH`` windows. Labels are of documents: a toxic document's positive windows are those that hold
+``WINDOWS_EACH`` windows of at most ``WINDOW_CHARS`` characters. Labels are of documents: a toxic document's positive windows are those that hold
 a word with high odds of toxic documents, all windows of clean documents are negative, and windows that a
 first model gets wrong join the second round. Word vectors are dropped at random while training, so that
 spellings unseen in training are known by their characters.
@@ -27,12 +27,13 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lodestone.llm.common import held_out, labelled_sample, table
+from lodestone.llm.common import held_out, labelled_sample, mapped_texts, table
 from lodestone.llm.tokens import slices
 
 WINDOW, STRIDE = 24, 16
-TOXIC_DOCS, CLEAN_DOCS, WINDOWS_EACH = 2000, 3000, 48
+TOXIC_DOCS, CLEAN_DOCS, WINDOWS_EACH, WINDOW_CHARS = 2000, 3000, 48, 2000
 WORDS, TRIGRAMS, WORD_DIM, CHAR_DIM, HIDDEN, ATTENTION = 16384, 32768, 6, 12, 8, 8
 STEPS, ROUNDS, BATCH, RATE, SEED = 300, 4, 256, 0.01, 5
 THRESHOLD = 0.5
@@ -280,7 +281,7 @@ def fit(toxic: np.ndarray, document: np.ndarray, texts: list[str], steps: int =
 
 
 def _window_rows(batches):
-    """Up to WINDOWS_EACH windows of each sampled document, chosen by a hash of their places."""
+    """Up to WINDOWS_EACH windows of each sampled document, chosen by a hash of their places, none above WINDOW_CHARS."""
     for batch in batches:
         toxic, ids, texts = [], [], []
         for label, doc_id, text in zip(*(batch.column(c).to_pylist() for c in ("toxic", "doc_id", "text"))):
@@ -289,9 +290,10 @@ def _window_rows(batches):
             if len(starts) > WINDOWS_EACH:
                 starts = sorted(starts, key=lambda s: (s * 2654435761 + doc_id * 40503) % 4294967291)[:WINDOWS_EACH]
             for s in starts:
-                toxic.append(label)
-                ids.append(doc_id)
-                texts.append(" ".join(own[s : s + WINDOW]))
+                if len(words := " ".join(own[s : s + WINDOW])) <= WINDOW_CHARS:
+                    toxic.append(label)
+                    ids.append(doc_id)
+                    texts.append(words)
         yield pa.RecordBatch.from_arrays([pa.array(toxic, pa.int32()), pa.array(ids, pa.int64()), pa.array(texts, pa.string())], ["toxic", "doc_id", "words"])
 
 
@@ -318,19 +320,9 @@ def score_texts(m: dict | None, texts: pa.Array) -> np.ndarray:
     return np.concatenate(out) if out else np.empty(0)
 
 
-def _scorer(m: dict | None):
-    def score(batches):
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(score_texts(m, batch.column(0)))], [*batch.schema.names[1:], "score"])
-
-    return score
-
-
 def score(docs: DataFrame, model: dict | None, keep: list[str], name: str = "score") -> DataFrame:
     """Columns ``keep`` of docs and, as ``name``, the toxicity of each whole text from 0 to 1."""
-    kept = docs.select(F.col("text").cast("string").alias("_text"), *keep)
-    types = [f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema[1:]]
-    return kept.mapInArrow(_scorer(model), ", ".join([*types, f"`{name}` double"]))
+    return mapped_texts(docs, keep, [T.StructField(name, T.DoubleType())], lambda texts: [pa.array(score_texts(model, texts))])
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

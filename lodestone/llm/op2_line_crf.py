@@ -2,10 +2,10 @@
 
 The field has two states. A line's features (kinds of characters, repeated words, length, whether it
 repeats an earlier line) weigh into each state; transitions weigh how states follow each other. It is
-trained here by maximum likelihood on a bounded sample of labelled documents of the training fold. Labels
-are of documents, so lines are labelled in two steps: first each line has its document's label, and a
-logistic model of single lines is fitted; then lines of bad documents that it takes for content become
-content. Viterbi decoding labels the lines of every whole text; a document whose words lie in content
+trained here by maximum likelihood on a bounded sample of labelled documents of the training fold, none
+of more than ``MOST_LINES`` lines. Labels are of documents, so lines are labelled in two steps: first each
+line has its document's label, and a logistic model of single lines is fitted; then lines of bad documents
+that it takes for content become content. Viterbi decoding labels the lines of every whole text; a document whose words lie in content
 lines to less than ``CONTENT_SHARE`` goes. Base rules on counts come first.
 
 One pass over the documents without a shuffle. Lines without a word take no part.
@@ -22,11 +22,11 @@ from operator import eq
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lodestone.llm.common import adam, labelled_sample, table
+from lodestone.llm.common import adam, labelled_sample, mapped_texts, table
 
-CONTENT_SHARE, SAMPLE_DOCS, STEPS = 0.5, 1500, 150
+CONTENT_SHARE, SAMPLE_DOCS, MOST_LINES, STEPS = 0.5, 1500, 2000, 150
 MIN_WORDS, MOST_REPEATED_PERCENT, WINDOW = 10, 20, 5
 N_FEATURES = 14
 _SYMBOLS = "#*$%&|<>"
@@ -154,6 +154,8 @@ def _line_rows(batches):
         rows = []
         for text in batch.column("text").to_pylist():
             lines, repeated = lines_of(text or "")
+            if len(lines) > MOST_LINES:
+                lines, repeated = [], []
             rows.append(np.array([line_features(a, b) for a, b in zip(lines, repeated)], "<f4").tobytes())
         yield pa.RecordBatch.from_arrays([batch.column("quality"), pa.array(rows, pa.binary())], ["quality", "lines"])
 
@@ -185,18 +187,17 @@ def judge(text: str, field: LineField | None) -> tuple:
     share = 1.0
     if field is not None and lines and not failed:
         path = field.decode(np.array([line_features(a, b) for a, b in zip(lines, repeated)]))
-        sizes = [len(x.split()) or 1 for x in lines]
+        sizes = [len(x.encode("utf-8", "surrogatepass").split()) for x in lines]
         share = sum(s for s, p in zip(sizes, path) if p) / sum(sizes)
     return (*counts, failed, share, not failed and share >= CONTENT_SHARE)
 
 
-def _labeller(field: LineField | None, names: list[str]):
+def _labeller(field: LineField | None):
     types = [pa.int64()] * 5 + [pa.bool_(), pa.float64(), pa.bool_()]
 
-    def label(batches):
-        for batch in batches:
-            found = list(zip(*[judge(t or "", field) for t in batch.column(0).to_pylist()])) or [[]] * 8
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *[pa.array(c, t) for c, t in zip(found, types)]], [*batch.schema.names[1:], *names])
+    def label(texts):
+        found = list(zip(*[judge(t or "", field) for t in texts.to_pylist()])) or [[]] * 8
+        return [pa.array(c, t) for c, t in zip(found, types)]
 
     return label
 
@@ -206,11 +207,8 @@ RESULT = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
 
 def label_documents(docs: DataFrame, field: LineField | None, keep: list[str], prefix: str = "") -> DataFrame:
     """Columns ``keep`` of docs and the columns of ``RESULT``, their names after ``prefix``."""
-    names = [prefix + c for c in RESULT]
-    kept = docs.select(F.col("text").cast("string").alias("_text"), *keep)
-    kinds = ["long"] * 5 + ["boolean", "double", "boolean"]
-    schema = [f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema[1:]] + [f"`{n}` {k}" for n, k in zip(names, kinds)]
-    return kept.mapInArrow(_labeller(field, names), ", ".join(schema))
+    kinds = [T.LongType()] * 5 + [T.BooleanType(), T.DoubleType(), T.BooleanType()]
+    return mapped_texts(docs, keep, [T.StructField(prefix + c, k) for c, k in zip(RESULT, kinds)], _labeller(field))
 
 
 def op2_line_crf(spark: SparkSession, sf_dir: str) -> DataFrame:

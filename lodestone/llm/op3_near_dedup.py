@@ -7,8 +7,9 @@
    shingle size or threshold give the rows of a band too.
 3. In each bucket every class is compared with the bucket's least class: a star, not all pairs. Confirmed
    links give components, and a bucket that lies in one component is done.
-4. In the other buckets classes of different components are compared, block against block of at most
-   ``BLOCK`` classes, so that a large bucket is many tasks. A first pass over signatures emits the classes
+4. In the other buckets classes of different components are compared, block against block of about
+   ``BLOCK`` classes and ``BLOCK_SHINGLES`` shingles at most, so that a large bucket is many tasks and what a
+   task holds is bounded, however long the texts are. A first pass over signatures emits the classes
    that have a candidate left; only for those are whole sets read, and a task emits links that join what
    it has not joined yet. Rows follow the classes, never their pairs.
 5. Signatures are compared batch by batch. Once the posterior probability, under a uniform prior, that the
@@ -21,8 +22,9 @@ Shingles and classes are told apart by 64-bit hashes.
 
 Defined cases: a text without words and a null text have an empty set and link to nothing; a text with
 fewer words than a shingle is one shingle; a null doc_id takes part, but a component's id is its smallest
-id that is not null, and a null id is never kept unless it stands alone; rows with one doc_id and one text
-are one document in as many rows; an empty table gives no rows; other columns are not read.
+id that is not null, and a null id is kept only if its component is that one row; rows with one doc_id and
+one text are one document in as many rows; doc_ids of any integer type are read as long; an empty table
+gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import table
@@ -39,7 +41,7 @@ from lodestone.llm.components import connected_components
 from lodestone.scratch import Scratch
 
 SHINGLE, PERCENT = 3, 85
-HASHES, ROWS, BATCH, MISS, BLOCK = 128, 5, 16, 1e-9, 2048
+HASHES, ROWS, BATCH, MISS, BLOCK, BLOCK_SHINGLES = 128, 5, 16, 1e-9, 2048, 1 << 22
 _LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
 
@@ -255,14 +257,19 @@ def _join_up(batches, percent: int = PERCENT, rows: int = ROWS):
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*links)], ["a", "b"])
 
 
+def row_hash() -> Column:
+    """Key of a document, from doc_id and text as this module reads them."""
+    return F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+
+
 class _Job:
-    """Tables of one run: docs (row_hash, text), classes (node, rep, signature)."""
+    """Tables of one run: docs (row_hash, text), classes (node, rep, signature, n)."""
 
     def __init__(self, docs: DataFrame, scratch: Scratch, size: int, percent: int, rows: int):
         self.scratch, self.size, self.percent, self.per_band = scratch, size, percent, rows
-        self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id", "text").alias("row_hash"), F.col("text").cast("string").alias("text"))
+        self.docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), row_hash().alias("row_hash"), F.col("text").cast("string").alias("text"))
         self.rows = scratch.save(self.docs.mapInArrow(partial(_signatures, size=size), "doc_id long, row_hash long, n_shingles long, node long, signature binary"), "signatures")
-        self.classes = scratch.save(self.rows.where("node is not null").groupBy("node").agg(F.min("row_hash").alias("rep"), F.first("signature").alias("signature")), "classes")
+        self.classes = scratch.save(self.rows.where("node is not null").groupBy("node").agg(F.min("row_hash").alias("rep"), F.first("signature").alias("signature"), F.max("n_shingles").alias("n")), "classes")
 
     def sets_of(self, nodes: DataFrame, name: str) -> DataFrame:
         """node, set: whole sets of distinct nodes, from the text of one row of each class."""
@@ -284,12 +291,15 @@ class _Job:
 
     def across(self, members: DataFrame, roots: DataFrame) -> DataFrame:
         """Confirmed links between components that share a bucket."""
-        rooted = members.join(roots.toDF("node", "root"), "node", "left").select("bucket", "band", "node", F.coalesce("root", "node").alias("root"))
-        counts = rooted.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
-        mixed = counts.groupBy("bucket").agg(F.sum("n").alias("n"), F.max("n").alias("big"), F.max_by("root", F.struct("n", "root")).alias("main"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
+        rooted = members.join(roots.toDF("node", "root"), "node", "left").select("bucket", "band", "node", "size", F.coalesce("root", "node").alias("root"))
+        counts = rooted.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("s"))
+        main = F.struct("n", "s", "root")
+        mixed = counts.groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.max(main).alias("main"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
         # the largest component's blocks meet all other blocks, but not each other
-        whole, zero = F.col("n") <= BLOCK, F.lit(0).cast("long")
-        blocks = mixed.select("bucket", "main", F.when(whole, zero).otherwise(F.ceil(F.col("big") / BLOCK)).alias("g"), F.when(whole, zero + 1).otherwise(F.ceil((F.col("n") - F.col("big")) / BLOCK)).alias("o"))
+        n_blocks = lambda n, s: F.greatest(F.ceil(n / BLOCK), F.ceil(s / BLOCK_SHINGLES))
+        whole, zero, big = n_blocks(F.col("n"), F.col("s")) <= 1, F.lit(0).cast("long"), F.col("main")
+        rest = n_blocks(F.col("n") - big["n"], F.col("s") - big["s"])
+        blocks = mixed.select("bucket", big["root"].alias("main"), F.when(whole, zero).otherwise(n_blocks(big["n"], big["s"])).alias("g"), F.when(whole, zero + 1).otherwise(rest).alias("o"))
         sided = rooted.join(blocks, "bucket").withColumn("large", (F.col("root") == F.col("main")) & (F.col("g") > 0))
         sided = sided.withColumn("side", F.when(F.col("large"), F.pmod(F.xxhash64("node"), F.greatest("g", zero + 1))).otherwise(F.col("g") + F.pmod(F.xxhash64("node"), F.col("o"))))
         paired = sided.withColumn("other", F.explode(F.sequence(F.when(F.col("large"), F.col("g")).otherwise(zero), F.col("g") + F.col("o") - 1)))
@@ -304,14 +314,16 @@ class _Job:
 
 
 def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, rows: int = ROWS) -> DataFrame:
-    """One row per document (doc_id, text): doc_id, row_hash, n_shingles, component_id, kept.
+    """One row per document (doc_id, text): doc_id, row_hash, n_shingles, component_id, kept, leads.
 
+    ``leads`` marks the document that stands for its component, whether or not ids are null or shared: that of
+    the smallest id (null last) and then hash; rows repeated whole lead together and have one ``row_hash``.
     Sets are shingles of ``size`` words, links reach ``percent`` of similarity, bands have ``rows`` hashes.
     """
     scratch = Scratch(docs.sparkSession)
     job = _Job(docs, scratch, size, percent, rows)
     bands = [F.xxhash64(F.lit(k), F.substring("signature", 4 * rows * k + 1, 4 * rows)) for k in range(HASHES // rows)]
-    placed = job.classes.select("node", F.posexplode(F.array(*bands)).alias("band", "bucket"))
+    placed = job.classes.select("node", F.col("n").alias("size"), F.posexplode(F.array(*bands)).alias("band", "bucket"))
     shared = placed.groupBy("bucket").agg(F.min("node").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     members = scratch.save(placed.join(shared, "bucket"), "members")
     links = job.star(members)
@@ -322,10 +334,13 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     tops = connected_components(upper, scratch, "all_roots")
     labelled = job.rows.join(roots.toDF("node", "r1"), "node", "left").withColumn("r1", F.coalesce("r1", "node")).join(tops.toDF("r1", "r2"), "r1", "left")
     labelled = scratch.save(labelled.select("doc_id", "row_hash", "n_shingles", F.coalesce("r2", "r1").alias("component")), "labelled")
-    least = labelled.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    result = labelled.join(least, "component", "left").withColumn("component_id", F.when(F.col("component").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
-    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull())
-    result = scratch.save(result.select("doc_id", "row_hash", "n_shingles", "component_id", kept.alias("kept")), "result")
+    first = F.struct(F.col("doc_id").isNull(), "doc_id", "row_hash")
+    least = labelled.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"), F.min(first)["row_hash"].alias("first"), F.count(F.lit(1)).alias("n"))
+    alone = F.col("component").isNull()
+    result = labelled.join(least, "component", "left").withColumn("component_id", F.when(alone, F.col("doc_id")).otherwise(F.col("component_id")))
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), alone | (F.col("n") == 1))
+    leads = alone | (F.col("row_hash") == F.col("first"))
+    result = scratch.save(result.select("doc_id", "row_hash", "n_shingles", "component_id", kept.alias("kept"), leads.alias("leads")), "result")
     scratch.drop("signatures", "classes", "members", "star_links", "unit_links", "labelled")
     return result
 

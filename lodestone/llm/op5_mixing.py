@@ -1,20 +1,22 @@
 """Mixing sources to target weights by a multivariate-hypergeometric splitting tree (DataFrame and SQL only).
 
-1. Each source's documents stand in one random order (of a hash), as a run of words; the mix takes its
-   target's number of words from that run, repeated as often as needed.
-2. The words taken are cut into blocks. A binary tree splits the blocks of all sources among the output
-   shards: at each node the left half's counts by source are a multivariate-hypergeometric draw, made
-   source by source by inversion. Each shard's block count is exact, each source's too.
-3. A source's blocks, permuted, are dealt to the shards in disjoint runs by those counts. Within a shard
-   the documents are shuffled by a hash.
+1. Each source's documents stand in one random order (of a hash), as a run of words that is cut into blocks.
+   The mix draws whole runs as often as the target holds them, and of the last run as many blocks, in a
+   permuted order, as the rest of the target needs; the last block drawn may be cut.
+2. The number of blocks drawn from each source is its quota. A binary tree splits the quotas of all sources
+   among the output shards: at each node the left half's counts by source are a multivariate-hypergeometric
+   draw, made source by source by inversion. Each shard's block count is exact, each source's too.
+3. A source's drawn blocks go to the shards in disjoint runs of the permuted order, by those counts. What a
+   document gives is what the drawn blocks hold of it. Within a shard rows are shuffled by a hash.
 
 A source is never gathered in one task: its order is by hash range, then within the range, so a running
-sum needs one row per source and range, and a window sees one range. Ranges follow the number of rows.
-What is kept per source or per shard is small and joined by the planner's own choice of strategy.
+sum needs one row per source and range, and a window sees one range. Ranges and shards follow the size of
+the input. What is kept per source or per shard is small and joined by the planner's own choice of strategy;
+the tree's nodes have one count for each source, and sources are ranked in one task, a row for each.
 
-Defined cases: a null source is a source, the last in order; a null or empty text has size 0 and takes no
-words; equal rows stand next to each other and each counts; an empty table gives no rows; other columns
-ride along in ``doc`` and cannot clash.
+Defined cases: a null source is a source, the last in order; a null or empty text has size 0, takes no words
+and no place in the order; equal rows stand next to each other and each counts; an empty table gives no rows;
+other columns ride along in ``doc`` and cannot clash.
 """
 
 from __future__ import annotations
@@ -22,10 +24,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import WORD, table
+from lodestone.llm.common import WORD, quoted, table
 from lodestone.scratch import Scratch
 
-WEIGHTS, MOST, SHARDS, BLOCK_WORDS, SEED = (5, 2, 1), 3, 16, 16384, 17
+WEIGHTS, MOST, BLOCK_WORDS, SEED = (5, 2, 1), 3, 16384, 17
+#: Output shards, a power of two: about ``SHARD_WORDS`` words each within these bounds. A shard is as many files as it needs.
+LEAST_SHARDS, MOST_SHARDS, SHARD_WORDS = 16, 1024, 1 << 26
 #: Rows of a hash range, on average.
 RANGE_ROWS = 1000
 #: Primes below 2**31, multipliers of the block permutation (fixed values).
@@ -40,7 +44,7 @@ def _ranged(docs: DataFrame, keep: list[str], ranges: int, seed: int) -> DataFra
     text_hash = F.xxhash64(F.lit(seed), F.col("doc_id"), F.col("source"), F.col("text"))
     source = F.col("source").cast("string")
     return docs.select(
-        F.struct(*[F.col(c) for c in keep]).alias("doc"), source.alias("source"), F.coalesce(F.concat(F.lit("="), source), F.lit("")).alias("key"),
+        F.struct(*[F.col(quoted(c)) for c in keep]).alias("doc"), source.alias("source"), F.coalesce(F.concat(F.lit("="), source), F.lit("")).alias("key"),
         words(F.col("text").cast("string")).alias("size"), text_hash.alias("hash"), F.pmod(text_hash, F.lit(ranges)).alias("range"),
     )
 
@@ -91,7 +95,7 @@ def hypergeometric(n: str, total: str, draws: str, u: str) -> str:
     return _let("x", f"struct({n} AS n, {total} AS t, {draws} AS c)", _let("x", moded, _let("x", bounded, drawn)))
 
 
-def split_tree(counts: DataFrame, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
+def split_tree(counts: DataFrame, shards: int = LEAST_SHARDS, seed: int = SEED) -> DataFrame:
     """Blocks of each source (rank, blocks) for each shard: shard, rank, quota.
 
     ``shards`` is a power of two; shard sizes differ by at most one block. Rows: one per node, each with an
@@ -117,52 +121,86 @@ def split_tree(counts: DataFrame, shards: int = SHARDS, seed: int = SEED) -> Dat
     return nodes.select(F.col("node").alias("shard"), F.explode("counts").alias("c")).select("shard", F.col("c.rank").alias("rank"), F.col("c.n").alias("quota"))
 
 
-def plan(docs: DataFrame, keep: list[str] | None = None, shards: int = SHARDS, block_words: int = BLOCK_WORDS, weights: tuple[int, ...] = WEIGHTS, most: float = MOST, seed: int = SEED, whole: bool = False) -> DataFrame:
+def _quotas(targets: DataFrame, block_words: int, draw: int) -> DataFrame:
+    """Adds to sources what their draws need.
+
+    size_blocks blocks, the last of ``short`` words; ``times`` whole runs and ``rest`` words of one more; in run
+    c block b is drawn as number (b * factors[c] + offsets[c]) mod size_blocks; ``gap`` is the number of the
+    short block in the last run, and ``blocks`` the quota: draws in all.
+    """
+    own = targets.withColumn("take", F.round("target").cast("long"))
+    own = own.withColumn("times", F.when(F.col("source_size") > 0, F.expr("take div source_size")).otherwise(F.lit(0).cast("long")))
+    own = own.withColumn("rest", F.col("take") - F.col("times") * F.col("source_size")).withColumn("size_blocks", F.ceil(F.col("source_size") / block_words).cast("long"))
+    own = own.withColumn("short", F.col("source_size") - (F.col("size_blocks") - 1) * block_words)
+    n, primes = "greatest(size_blocks, 1L)", f"array({', '.join(f'{p}L' for p in PRIMES)})"
+    factor = f"element_at({primes}, cast(pmod(xxhash64({draw}, key, c), {len(PRIMES)}) AS int) + 1) % {n}"
+    own = own.withColumn("factors", F.expr(f"transform(sequence(0L, times), c -> greatest({factor}, 1L))")).withColumn("offsets", F.expr(f"transform(sequence(0L, times), c -> pmod(xxhash64({draw}, 1, key, c), {n}))"))
+    own = own.withColumn("gap", F.expr(f"((size_blocks - 1) * element_at(factors, -1) + element_at(offsets, -1)) % {n}"))
+    full, cut = F.ceil(F.col("rest") / block_words), F.ceil((F.col("rest") + block_words - F.col("short")) / block_words)
+    last = F.when(F.col("rest") <= 0, F.lit(0)).when(full <= F.col("gap"), full).otherwise(cut)
+    return own.withColumn("blocks", F.col("times") * F.col("size_blocks") + last.cast("long"))
+
+
+def plan(docs: DataFrame, keep: list[str] | None = None, shards: int | None = None, block_words: int = BLOCK_WORDS, weights: tuple[int, ...] = WEIGHTS, most: float = MOST, seed: int = SEED, whole: bool = False, draw: int | None = None) -> DataFrame:
     """One row per document: doc (struct of ``keep``, default all columns), size, source_size, target, hash, pieces.
 
-    ``pieces`` has a struct (copy, words, block, shard) for each time that the mix takes the document. The
-    last document taken of a source may be cut; with ``whole`` it is taken whole if half of it fits.
+    ``pieces`` has a struct (copy, begin, words, block, shard) for each drawn block that holds words of the
+    document, for each time that it is drawn. With ``whole`` a document goes, uncut, with the block that holds
+    its middle word. ``seed`` orders documents, ``draw`` (default ``seed``) permutes blocks and splits quotas.
     """
-    scratch = Scratch(docs.sparkSession)
+    scratch, draw = Scratch(docs.sparkSession), seed if draw is None else draw
     ranges = 1 << max(4, (docs.count() // RANGE_ROWS).bit_length())
     ranged = _ranged(docs, keep or docs.columns, ranges, seed)
     stats = scratch.save(ranged.groupBy("key", "range").agg(F.first("source").alias("source"), F.sum("size").alias("words")), "ranges")
-    targets = source_targets(stats.groupBy("key").agg(F.first("source").alias("source"), F.sum("words").alias("source_size")), weights, most)
-    target_words = F.round("target").cast("long")
-    times = F.when(F.col("source_size") > 0, F.expr("take div source_size")).otherwise(F.lit(0).cast("long"))
-    drawn = targets.withColumn("take", target_words).withColumn("times", times).withColumn("rest", F.col("take") - F.col("times") * F.col("source_size"))
-    drawn = scratch.save(drawn.withColumn("blocks", F.ceil(F.col("take") / block_words).cast("long")), "targets")
+    sources = stats.groupBy("key").agg(F.first("source").alias("source"), F.sum("words").alias("source_size"))
+    drawn = scratch.save(_quotas(source_targets(sources, weights, most), block_words, draw), "targets")
+    if shards is None:
+        total = drawn.agg(F.coalesce(F.sum("take"), F.lit(0))).first()[0]
+        shards = min(MOST_SHARDS, 1 << max(LEAST_SHARDS.bit_length() - 1, (total // SHARD_WORDS).bit_length()))
     upto = F.sum("quota").over(Window.partitionBy("rank").orderBy("shard").rowsBetween(Window.unboundedPreceding, 0))
-    ends = split_tree(drawn.select("rank", "blocks"), shards, seed).withColumn("upto", upto).groupBy("rank").agg(F.array_sort(F.collect_list("upto")).alias("ends"))
-    multiplier = F.element_at(F.array(*[F.lit(p) for p in PRIMES]), (F.pmod(F.xxhash64(F.lit(seed), F.col("key")), F.lit(len(PRIMES))) + 1).cast("int"))
-    per_source = drawn.join(ends, "rank").withColumn("factor", multiplier % F.greatest("blocks", F.lit(1)))
-    per_source = per_source.withColumn("factor", F.when(F.col("factor") == 0, 1).otherwise(F.col("factor")))
+    ends = split_tree(drawn.select("rank", "blocks"), shards, draw).withColumn("upto", upto).groupBy("rank").agg(F.array_sort(F.collect_list("upto")).alias("ends"))
+    per_source = drawn.join(ends, "rank").drop("source", "rank", "take", "blocks")
     before = F.sum("words").over(Window.partitionBy("key").orderBy("range").rowsBetween(Window.unboundedPreceding, 0)) - F.col("words")
-    dims = scratch.save(stats.select("key", "range", before.alias("before")).join(per_source.drop("source"), "key"), "dims")
+    dims = scratch.save(stats.select("key", "range", before.alias("before")).join(per_source, "key"), "dims")
     inside = Window.partitionBy("key", "range").orderBy("hash", "size").rowsBetween(Window.unboundedPreceding, 0)
-    placed = ranged.withColumn("running", F.sum("size").over(inside)).join(dims, ["key", "range"]).withColumn("pos", F.col("before") + F.col("running") - F.col("size"))
-    partly = F.expr("if(2 * (rest - pos) >= size, size, 0L)") if whole else F.expr("greatest(0L, least(size, rest - pos))")
-    placed = placed.withColumn("part", F.when(F.col("size") > 0, partly).otherwise(F.lit(0).cast("long")))
-    block = f"least((c * source_size + pos) div {block_words}, blocks - 1)"
-    slot = _let("b", block, "struct(b AS block, size(filter(ends, e -> e <= (b * factor) % blocks)) AS shard)")
-    each = f"transform(filter(sequence(0L, times), c -> size > 0 and (c < times or part > 0)), c -> {_let('z', slot, 'struct(c AS copy, if(c < times, size, part) AS words, z.block AS block, z.shard AS shard)')})"
-    return placed.withColumn("pieces", F.expr(each)).select("doc", "size", "source_size", "target", "hash", "pieces")
+    sized = ranged.where("size > 0").withColumn("running", F.sum("size").over(inside))
+    placed = sized.join(dims, ["key", "range"]).withColumn("pos", F.col("before") + F.col("running") - F.col("size"))
+    length = f"if(b = size_blocks - 1, short, {block_words}L)"
+    left = f"greatest(0L, least({length}, rest - j * {block_words} + if(j > gap, {block_words} - short, 0L)))"
+    number = "(b * element_at(factors, cast(c AS int) + 1) + element_at(offsets, cast(c AS int) + 1)) % size_blocks"
+    if whole:
+        span, begin = f"array((pos + size div 2) div {block_words})", "0L"
+        words = f"if(pos + size div 2 - b * {block_words} < v, size, 0L)"
+    else:
+        span, begin = f"sequence(pos div {block_words}, (pos + size - 1) div {block_words})", f"greatest(0L, b * {block_words} - pos)"
+        words = f"greatest(0L, least(pos + size, b * {block_words} + v) - greatest(pos, b * {block_words}))"
+    piece = _let("j", number, _let("v", f"if(c < times, {length}, {left})", f"struct(c AS copy, {begin} AS begin, {words} AS words, b AS block, cast(size(filter(ends, e -> e <= c * size_blocks + j)) AS long) AS shard)"))
+    # a draw beyond the last shard's quota is none
+    pieces = f"filter(flatten(transform(sequence(0L, times), c -> transform({span}, b -> {piece}))), p -> p.words > 0 and p.shard < {shards})"
+    result = ["doc", "size", "source_size", "target", "hash", "pieces"]
+    taken = placed.withColumn("pieces", F.expr(pieces)).select(*result)
+    none = F.array().cast(taken.schema["pieces"].dataType).alias("pieces")
+    empty = ranged.where("size = 0").join(drawn.select("key", "source_size", "target"), "key").select(*result[:-1], none)
+    return taken.unionByName(empty)
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: the columns of docs, a row for each time a document is taken, shard by shard, shuffled within.
+    """The mix itself: the columns of docs, a row for each piece that is drawn, shard by shard, shuffled within.
 
-    A document taken in part keeps its first words, joined by spaces.
+    A document drawn in part gives the words drawn, joined by spaces.
     """
     seed = options.get("seed", SEED)
     taken = plan(docs, **options).select("doc", "size", "hash", F.explode("pieces").alias("p"))
-    cut = F.array_join(F.slice(F.regexp_extract_all(F.col("doc.text"), F.lit(WORD), F.lit(0)), F.lit(1), F.col("p.words").cast("int")), " ")
+    cut = F.array_join(F.slice(F.regexp_extract_all(F.col("doc.text"), F.lit(WORD), F.lit(0)), F.col("p.begin").cast("int") + 1, F.col("p.words").cast("int")), " ")
     text = F.when(F.col("p.words") < F.col("size"), cut).otherwise(F.col("doc.text"))
-    order = F.xxhash64(F.lit(seed), F.col("p.shard"), F.col("p.copy"), F.col("hash"))
-    rows = taken.select(F.col("p.shard").alias("_shard"), order.alias("_order"), *[(text if c == "text" else F.col("doc")[c]).alias(c) for c in docs.columns])
-    return rows.repartitionByRange("_shard", "_order").sortWithinPartitions("_shard", "_order").select(*docs.columns)
+    order = F.xxhash64(F.lit(seed), F.col("p.shard"), F.col("p.copy"), F.col("p.block"), F.col("hash"))
+    out = F.struct(*[(text if c == "text" else F.col("doc").getField(c)).alias(c) for c in docs.columns])
+    rows = taken.select(F.col("p.shard").alias("shard"), order.alias("order"), out.alias("doc")).repartitionByRange("shard", "order").sortWithinPartitions("shard", "order")
+    return rows.select(*[F.col("doc").getField(c).alias(c) for c in docs.columns])
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each document gives, and the shards that get it."""
     planned = plan(table(spark, sf_dir, "documents"), keep=["doc_id"])
-    return planned.select("doc.doc_id", "size", "source_size", "target", F.expr("aggregate(pieces, 0L, (s, p) -> s + p.words)").alias("taken"))
+    shards = F.array_join(F.array_sort(F.array_distinct(F.expr("transform(pieces, p -> p.shard)"))).cast("array<string>"), ",")
+    return planned.select("doc.doc_id", "size", "source_size", "target", F.expr("aggregate(pieces, 0L, (s, p) -> s + p.words)").alias("taken"), F.size("pieces").cast("long").alias("n_pieces"), shards.alias("shards"))

@@ -7,8 +7,8 @@ positives account for, is not allowed below zero. The class prior comes from bes
 al., 2021): a first classifier tells positives from unlabelled text, and on its other half of the sample
 the smallest ratio of upper tails, with a confidence term, bounds the prior.
 
-Both samples are bounded (``POSITIVES``, ``UNLABELLED`` documents with the smallest hashes of their ids);
-scoring is one pass over all whole texts without a shuffle. Inputs are features of the text alone.
+Both samples are bounded (``POSITIVES``, ``UNLABELLED`` documents with the smallest hashes of their ids, one
+text of at most 1 MB for each); scoring is one pass over all whole texts without a shuffle. Inputs are features of the text alone.
 
 Defined cases: a null text scores as an empty one; a null doc_id is not held out; rows with one doc_id
 score each; without positives or unlabelled text every score is 0.5; other columns are not read.
@@ -22,8 +22,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from lodestone.llm.common import adam, held_out, labelled_sample, table
+from lodestone.llm.common import adam, held_out, labelled_sample, mapped_texts, one_text, table
 
 POSITIVES, UNLABELLED, HIDDEN, STEPS, SEED = 6000, 12000, 12, 400, 11
 THRESHOLD = 0.3
@@ -126,7 +127,7 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
     """The model, from bounded samples of the training fold and of documents without labels; None if either is empty."""
     good = labelled_sample(docs, labels, "quality", {1: positives}).select("text", F.lit(1).alias("positive"))
     free = docs.where("doc_id is not null").select("doc_id").join(labels.select("doc_id"), "doc_id", "left_anti").orderBy(F.xxhash64("doc_id"), "doc_id").limit(unlabelled)
-    web = docs.select("doc_id", "text").join(F.broadcast(free.distinct()), "doc_id").select("text", F.lit(0).alias("positive"))
+    web = one_text(docs, free.distinct(), 1 << 20).select("text", F.lit(0).alias("positive"))
     rows = good.unionByName(web).mapInArrow(_feature_rows, "positive int, features binary").collect()
     sides = [np.frombuffer(b"".join(sorted(bytes(r.features) for r in rows if r.positive == kind)), "<f8").reshape(-1, N_FEATURES) for kind in (1, 0)]
     if min(map(len, sides)) < 2:
@@ -136,24 +137,18 @@ def train(docs: DataFrame, labels: DataFrame, positives: int = POSITIVES, unlabe
 
 
 def _scorer(model: dict | None):
-    def score(batches):
-        for batch in batches:
-            texts = batch.column(0).to_pylist()
-            if model is None or not texts:
-                found = np.full(len(texts), 0.5)
-            else:
-                x = np.clip((np.array([features(t or "") for t in texts]) - model["mean"]) / model["scale"], -8, 8)
-                found = _sigmoid(_forward(model["params"], x)[1])
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(found)], [*batch.schema.names[1:], "s"])
+    def score(texts):
+        if model is None or not len(texts):
+            return [pa.array(np.full(len(texts), 0.5))]
+        x = np.clip((np.array([features(t or "") for t in texts.to_pylist()]) - model["mean"]) / model["scale"], -8, 8)
+        return [pa.array(_sigmoid(_forward(model["params"], x)[1]))]
 
     return score
 
 
 def score(docs: DataFrame, model: dict | None, keep: list[str], name: str = "score") -> DataFrame:
     """Columns ``keep`` of docs and, as ``name``, the quality of each whole text from 0 to 1."""
-    kept = docs.select(F.col("text").cast("string").alias("_text"), *keep)
-    types = [f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema[1:]]
-    return kept.mapInArrow(_scorer(model), ", ".join([*types, f"`{name}` double"]))
+    return mapped_texts(docs, keep, [T.StructField(name, T.DoubleType())], _scorer(model))
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

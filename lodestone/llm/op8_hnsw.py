@@ -1,17 +1,21 @@
-"""Approximate nearest neighbours by inner product: a navigable small-world graph per shard, results merged.
+"""Approximate nearest neighbours by inner product: a hierarchical navigable small-world graph per shard, results merged.
 
 Rows with one vector form a class; a class is one node of a graph and keeps its smallest row ids, one more
-than a search returns, so copies in any number cost nothing and lose nothing. Classes are dealt to shards
-of about ``SHARD_ROWS`` by a hash. A shard's graph has layers whose sizes fall by a factor of ``DEGREE``;
-in each layer a node has links to its nearest nodes, chosen so that they lie in different directions, and
-links back. Layers are stored as flat arrays: node numbers, and a row of neighbours for each (own number
-where it has fewer). Inner products are nearness between points of one length after each vector gets one
-more coordinate, which queries have at zero, so vectors of any lengths are served.
+than a search returns, so copies in any number cost nothing and lose nothing. Classes are dealt by a hash to
+shards of at most ``SHARD_ROWS`` rows and ``SHARD_BYTES`` bytes on average.
+
+A shard's graph is built by insertion, ``BATCH`` nodes at a time: each new node descends the layers that
+there are, searches the graph in every layer that it belongs to, and links to nodes found there or before it
+in its batch, chosen so that they lie in different directions; nodes with too many links back choose anew.
+Nearness is the inner product itself, so vectors of any lengths are served. Layers shrink by a factor of
+``DEGREE`` and are stored as flat arrays: node numbers, and a row of neighbours for each (own number where
+it has fewer). In the lowest layer each node also links to the next, so every node can be reached.
 
 A search descends the layers and keeps the ``EF`` best nodes of the lowest; all queries of a block go in
-step, as array operations. Every query block meets every shard, in one task each; blocks and shards have
-bounded sizes. A query's shard results are merged by one window with partial limits. Scores are computed
-in double precision on the original vectors.
+step, as array operations. A full shard's search computes less than a tenth of its inner products. Every
+block of ``QUERY_BLOCK`` queries meets every shard, in one task each, so work is the product of queries and
+rows times that tenth, and tasks have bounded sizes. A query's shard results are merged by one window with
+partial limits. Scores are computed in double precision on the original vectors.
 
 Defined cases: vectors that are null, empty, zero or hold a null or non-finite component take no part;
 only vectors of one length are compared; a null vec_id takes no part; rows with one vec_id and vector are
@@ -30,8 +34,10 @@ from lodestone.llm.common import table
 from lodestone.scratch import Scratch
 
 K, QUERY_MODULUS = 20, 20
-SHARD_ROWS, QUERY_BLOCK = 8192, 4096
-DEGREE, LOW_DEGREE, REACH, EF, EXPAND = 16, 32, 64, 128, 4
+SHARD_ROWS, SHARD_BYTES, QUERY_BLOCK = 32768, 256 << 20, 16384
+DEGREE, LOW_DEGREE, EF, EXPAND = 16, 32, 128, 4
+#: Nodes inserted at a time, candidates kept by an insertion's search, and candidates from its own batch.
+BATCH, EF_BUILD, PEERS = 512, 64, 16
 
 
 def valid_vectors(rows: DataFrame, id_column: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -47,121 +53,170 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return flat.flatten().to_numpy(zero_copy_only=False).reshape(len(flat), -1) if len(flat) else np.empty((0, 1))
 
 
-def augmented(vectors: np.ndarray) -> np.ndarray:
-    """Vectors with a coordinate more that gives all of them the length of the longest, single precision."""
-    square = (vectors * vectors).sum(1)
-    scale = np.sqrt(square.max())
-    return np.hstack([vectors, np.sqrt(np.maximum(square.max() - square, 0))[:, None]]).astype(np.float32) / np.float32(scale)
-
-
-def _nearest(points: np.ndarray, reach: int, block: int = 256) -> tuple[np.ndarray, np.ndarray]:
-    """For each point its ``reach`` nearest other points, nearest first, and how near."""
-    n = len(points)
-    reach = min(reach, n - 1)
-    ids, near = np.empty((n, reach), np.int32), np.empty((n, reach), np.float32)
-    for k in range(0, n, block):
-        s = points[k : k + block] @ points.T
-        s[np.arange(len(s)), np.arange(k, k + len(s))] = -np.inf
-        best = np.argpartition(s, n - reach, 1)[:, n - reach :] if reach < n else np.argsort(s, 1)
-        own = np.take_along_axis(s, best, 1)
-        order = np.argsort(-own, 1, kind="stable")
-        ids[k : k + block], near[k : k + block] = np.take_along_axis(best, order, 1), np.take_along_axis(own, order, 1)
-    return ids, near
+def scaled(vectors: np.ndarray) -> np.ndarray:
+    """Vectors in single precision, divided by the length of the longest."""
+    most = np.abs(vectors).max() if vectors.size else 0.0
+    points = vectors / most if most > 0 else vectors
+    longest = np.sqrt((points * points).sum(1).max()) if len(points) else 1.0
+    return (points / max(longest, 1e-300)).astype(np.float32)
 
 
 def _spread(points: np.ndarray, ids: np.ndarray, near: np.ndarray, degree: int, block: int = 512) -> np.ndarray:
-    """Which candidates become links: those nearer to the point than to any link before; then the nearest left."""
+    """Which candidates (nearest first) become links: those nearer to the node than to any link before; then the nearest left."""
     chosen = np.zeros(ids.shape, bool)
     for k in range(0, len(ids), block):
         own, to = points[ids[k : k + block]], near[k : k + block]
         between = own @ own.transpose(0, 2, 1)
-        kept = np.zeros(to.shape, bool)
+        kept, n = np.zeros(to.shape, bool), np.zeros(len(to), int)
+        closest = np.full(to.shape, -np.inf, np.float32)  # of a candidate to any link so far
         for c in range(ids.shape[1]):
-            blocked = (np.where(kept[:, :c], between[:, c, :c], -np.inf) >= to[:, c, None]).any(1) if c else np.zeros(len(to), bool)
-            kept[:, c] = ~blocked & (kept.sum(1) < degree)
-        rest = np.cumsum(~kept, 1) <= degree - kept.sum(1, keepdims=True)
-        chosen[k : k + block] = kept | rest
+            good = (closest[:, c] < to[:, c]) & (n < degree)
+            kept[:, c] = good
+            n += good
+            rows = np.flatnonzero(good)
+            closest[rows] = np.maximum(closest[rows], between[rows, c])
+        real = to > -np.inf
+        rest = np.cumsum(~kept & real, 1) <= degree - n[:, None]
+        chosen[k : k + block] = (kept | rest) & real
     return chosen
 
 
-def _layer(points: np.ndarray, degree: int) -> np.ndarray:
-    """Neighbours of each point as rows of ``degree`` numbers, the own number where there are fewer."""
-    n = len(points)
-    out = np.repeat(np.arange(n, dtype=np.int32)[:, None], degree, 1)
-    if n < 2:
-        return out
-    ids, near = _nearest(points, REACH)
-    chosen = _spread(points, ids, near, max(2, degree // 2))
-    source = np.repeat(np.arange(n), chosen.sum(1))
-    target, how = ids[chosen], near[chosen]
-    a, b, s = np.r_[source, target], np.r_[target, source], np.r_[how, how]
-    forward = np.r_[np.zeros(len(source), int), np.ones(len(source), int)]
-    _, first = np.unique(a * np.int64(n) + b, return_index=True)
-    a, b, s, forward = a[first], b[first], s[first], forward[first]
-    order = np.lexsort((-s, forward, a))  # own links before links back, the nearest first
-    a, b = a[order], b[order]
-    rank = np.arange(len(a)) - np.searchsorted(a, a)
-    fits = rank < degree
-    out[a[fits], rank[fits]] = b[fits]
-    return out
-
-
-def build_graph(vectors: np.ndarray, draws: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Layers from the lowest: node numbers, neighbours (places in the layer). ``draws`` in (0, 1] set each node's height."""
-    points = augmented(vectors)
-    height = np.floor(-np.log(draws) / np.log(DEGREE)).astype(int)
-    layers, level = [], 0
-    while True:
-        nodes = np.flatnonzero(height >= level).astype(np.int32)
-        if level and len(nodes) < 2:
-            return layers
-        layers.append((nodes, _layer(points[nodes], LOW_DEGREE if not level else DEGREE)))
-        level += 1
-
-
-def search_graph(points: np.ndarray, layers: list, queries: np.ndarray, ef: int = EF) -> np.ndarray:
-    """Numbers of the ``ef`` best nodes found for each query (-1 where fewer), nearest first; points as augmented."""
-    n, q = len(points), len(queries)
-    rows = np.arange(q)
-    at = np.full(q, layers[-1][0][0], np.int64)
-    for nodes, links in reversed(layers[1:]):
-        place = np.searchsorted(nodes, at)
-        best = np.einsum("ij,ij->i", points[nodes[place]], queries)
-        while True:
-            near = links[place]
-            s = np.einsum("ikj,ij->ik", points[nodes[near]], queries)
-            top = s.argmax(1)
-            better = s[rows, top] > best
-            if not better.any():
-                break
-            place, best = np.where(better, near[rows, top], place), np.where(better, s[rows, top], best)
-        at = nodes[place].astype(np.int64)
-    links = layers[0][1]
+def _nearest_first(ids: np.ndarray, near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(-near, 1, kind="stable")
+    return np.take_along_axis(ids, order, 1), np.take_along_axis(near, order, 1)
+
+
+class Layer:
+    """One layer while nodes are inserted: those before ``count`` are in."""
+
+    def __init__(self, nodes: np.ndarray, degree: int):
+        self.nodes, self.degree, self.count = nodes, degree, 0
+        self.links = np.repeat(np.arange(len(nodes), dtype=np.int32)[:, None], degree, 1)
+        self.near = np.full((len(nodes), degree), -np.inf, np.float32)
+
+    def insert(self, points: np.ndarray, batch: np.ndarray, ids: np.ndarray, near: np.ndarray) -> None:
+        """Link the next places ``batch`` to candidates (ids, near) and to nearest places before them in the batch."""
+        own = points[self.nodes[batch]]
+        peers = own @ own.T
+        peers[np.triu_indices(len(batch))] = -np.inf
+        top = np.argpartition(-peers, min(PEERS, len(batch)) - 1, 1)[:, :PEERS]
+        ids, near = _nearest_first(np.hstack([ids, batch[top]]), np.hstack([near, np.take_along_axis(peers, top, 1)]))
+        row, col = np.nonzero(_spread(points, self.nodes[ids], near, self.degree // 2))
+        rank = np.arange(len(row)) - np.searchsorted(row, row)
+        self.links[batch[row], rank], self.near[batch[row], rank] = ids[row, col], near[row, col]
+        self.count += len(batch)
+        if len(row):
+            self._link_back(points, ids[row, col], batch[row], near[row, col])
+
+    def _link_back(self, points: np.ndarray, target: np.ndarray, source: np.ndarray, how: np.ndarray) -> None:
+        order = np.lexsort((-how, target))
+        target, source, how = target[order], source[order], how[order]
+        some, start, size = np.unique(target, return_index=True, return_counts=True)
+        rank = np.arange(len(target)) - np.repeat(start, size)
+        width = min(int(size.max()), self.degree)
+        fits, at = rank < width, np.repeat(np.arange(len(some)), size)
+        new_ids, new_near = np.repeat(some[:, None], width, 1), np.full((len(some), width), -np.inf, np.float32)
+        new_ids[at[fits], rank[fits]], new_near[at[fits], rank[fits]] = source[fits], how[fits]
+        ids, near = _nearest_first(np.hstack([self.links[some], new_ids]), np.hstack([self.near[some], new_near]))
+        full = (near > -np.inf).sum(1) > self.degree
+        if full.any():
+            chosen = _spread(points, self.nodes[ids[full]], near[full], self.degree)
+            ids[full], near[full] = _nearest_first(ids[full], np.where(chosen, near[full], -np.inf))
+        ids, near = ids[:, : self.degree], near[:, : self.degree]
+        self.links[some], self.near[some] = np.where(near > -np.inf, ids, some[:, None]), near
+
+
+def _descend(points: np.ndarray, nodes: np.ndarray, links: np.ndarray, queries: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """The place in a layer from which no neighbour is nearer to the query, for each query."""
+    best = np.einsum("ij,ij->i", points[nodes[place]], queries)
+    live = np.arange(len(queries))
+    while len(live):
+        near = links[place[live]]
+        s = np.einsum("ikj,ij->ik", points[nodes[near]], queries[live])
+        top = s.argmax(1)[:, None]
+        value, node = np.take_along_axis(s, top, 1)[:, 0], np.take_along_axis(near, top, 1)[:, 0]
+        better = value > best[live]
+        live = live[better]
+        place[live], best[live] = node[better], value[better]
+    return place
+
+
+def _beam(points: np.ndarray, links: np.ndarray, queries: np.ndarray, entry: np.ndarray, ef: int, tally: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers of the ``ef`` best nodes found for each query (-1 where fewer) and how near, nearest first.
+
+    Only inner products of nodes that a query has not seen are computed; ``tally`` gets how many.
+    """
+    n, q = len(links), len(queries)
     ids, near = np.full((q, ef), -1, np.int64), np.full((q, ef), -np.inf, np.float32)
-    opened = np.ones((q, ef), bool)
-    ids[:, 0], near[:, 0], opened[:, 0] = at, np.einsum("ij,ij->i", points[at], queries), False
-    seen = np.zeros((q, n), bool)
-    seen[rows, at] = True
+    opened, seen = np.ones((q, ef), bool), np.zeros(q * n, bool)
+    ids[:, 0], near[:, 0], opened[:, 0] = entry, np.einsum("ij,ij->i", points[entry], queries), False
+    seen[np.arange(q) * n + entry] = True
     while len(live := np.flatnonzero(~opened.all(1))):
         wait = np.where(opened[live], -np.inf, near[live])
-        pick = np.argsort(-wait, 1)[:, :EXPAND]
-        ready = np.take_along_axis(wait, pick, 1) > -np.inf
-        opened[live[:, None], pick] |= ready
-        base = np.take_along_axis(ids[live], pick, 1)
-        new = links[np.where(ready, base, np.maximum(base[:, :1], 0))].reshape(len(live), -1).astype(np.int64)
-        new = np.sort(new, 1)
-        fresh = ~seen[live[:, None], new]
-        fresh[:, 1:] &= new[:, 1:] != new[:, :-1]
-        seen[live[:, None], new] = True
-        s = np.einsum("ikj,ij->ik", points[new], queries[live])
-        s = np.where(fresh, s, -np.inf)
-        all_near, all_ids = np.hstack([near[live], s]), np.hstack([ids[live], new])
-        all_open = np.hstack([opened[live], ~fresh])
+        pick = np.argpartition(-wait, min(EXPAND, ef) - 1, 1)[:, :EXPAND]
+        row, col = np.nonzero(np.take_along_axis(wait, pick, 1) > -np.inf)
+        col = pick[row, col]
+        opened[live[row], col] = True
+        flat = (live[row] * n)[:, None] + links[ids[live[row], col]]
+        flat = np.unique(flat[~seen[flat]])
+        seen[flat] = True
+        who, node = np.divmod(flat, n)
+        s = np.einsum("ij,ij->i", points[node], queries[who])
+        if tally is not None:
+            tally.append(len(flat))
+        first = np.searchsorted(who, live)  # new nodes as a rectangle, a row per query
+        size = np.searchsorted(who, live, "right") - first
+        row = np.repeat(np.arange(len(live)), size)
+        place = np.arange(len(flat)) - np.repeat(first, size)
+        new_ids, new_near = np.zeros((len(live), int(size.max())), np.int64), np.full((len(live), int(size.max())), -np.inf, np.float32)
+        new_ids[row, place], new_near[row, place] = node, s
+        all_near, all_ids, all_open = np.hstack([near[live], new_near]), np.hstack([ids[live], new_ids]), np.hstack([opened[live], new_near == -np.inf])
         top = np.argpartition(-all_near, ef - 1, 1)[:, :ef]
         near[live], ids[live], opened[live] = np.take_along_axis(all_near, top, 1), np.take_along_axis(all_ids, top, 1), np.take_along_axis(all_open, top, 1)
         opened[live] |= near[live] == -np.inf
-    order = np.argsort(-near, 1, kind="stable")
-    return np.where(np.take_along_axis(near, order, 1) > -np.inf, np.take_along_axis(ids, order, 1), -1)
+    ids, near = _nearest_first(ids, near)
+    return np.where(near > -np.inf, ids, -1), near
+
+
+def build_graph(vectors: np.ndarray, draws: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Layers from the lowest: node numbers, neighbours (places in the layer). ``draws`` in (0, 1] set each node's height."""
+    points = scaled(vectors)
+    height = np.floor(-np.log(draws) / np.log(DEGREE)).astype(int)
+    layers = [Layer(np.flatnonzero(height >= level).astype(np.int32), DEGREE if level else LOW_DEGREE) for level in range(int(height.max()) + 1)]
+    within = [points, *[points[x.nodes] for x in layers[1:]]]
+    for start in range(0, len(points), BATCH):
+        own = np.arange(start, min(start + BATCH, len(points)))
+        at = None
+        for level in range(len(layers) - 1, -1, -1):
+            layer = layers[level]
+            place, mine = np.zeros(len(own), np.int64), np.flatnonzero(height[own] >= level)
+            before = layer.count
+            if before:
+                if at is not None:
+                    place = np.searchsorted(layer.nodes, at)
+                if level:
+                    place = _descend(points, layer.nodes, layer.links, points[own], place)
+            if len(mine):
+                ids, near = np.empty((len(mine), 0), np.int64), np.empty((len(mine), 0), np.float32)
+                if before:
+                    ids, near = _beam(within[level], layer.links[:before], points[own[mine]], place[mine], min(EF_BUILD, before))
+                    ids = np.maximum(ids, 0)
+                layer.insert(points, np.searchsorted(layer.nodes, own[mine]), ids, near)
+            if before:
+                at = layer.nodes[place].astype(np.int64)
+    links = layers[0].links
+    links[:, -1] = np.minimum(np.arange(len(links)) + 1, len(links) - 1)
+    return [(x.nodes, x.links) for x in layers]
+
+
+def search_graph(points: np.ndarray, layers: list, queries: np.ndarray, ef: int = EF, tally: list | None = None) -> np.ndarray:
+    """Numbers of the ``ef`` best nodes found for each query (-1 where fewer), nearest first; points as ``scaled``."""
+    at = np.zeros(len(queries), np.int64)
+    for level in range(len(layers) - 1, 0, -1):
+        nodes, links = layers[level]
+        place = np.searchsorted(nodes, at) if level < len(layers) - 1 else np.zeros(len(queries), np.int64)
+        at = nodes[_descend(points, nodes, links, queries, place)].astype(np.int64)
+    return _beam(points, layers[0][1], queries, at, ef, tally)[0]
 
 
 def _build(group: pa.Table) -> pa.Table:
@@ -192,15 +247,15 @@ def stored_layers(row: dict) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
-def build_index(rows: DataFrame, scratch: Scratch, k: int = K, shard_rows: int = SHARD_ROWS) -> DataFrame:
+def build_index(rows: DataFrame, scratch: Scratch, k: int = K, shard_rows: int = SHARD_ROWS, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """One row per shard: its vectors, row ids and layers as flat arrays (little-endian)."""
     keyed = rows.select("vec_id", "embedding", F.xxhash64("embedding").alias("c1"), F.xxhash64(F.lit(1), "embedding").alias("c2")).distinct()
     first = F.row_number().over(Window.partitionBy("c1", "c2").orderBy("vec_id"))
     few = keyed.withColumn("rank", first).where(F.col("rank") <= k + 1)
     classes = few.groupBy("c1", "c2").agg(F.min(F.when(F.col("rank") == 1, F.col("embedding"))).alias("embedding"), F.array_sort(F.collect_list("vec_id")).alias("ids"))
     classes = scratch.save(classes.withColumn("dim", F.size("embedding")), "classes")
-    shards = max(1, -(-classes.count() // shard_rows))
-    dealt = classes.withColumn("shard", F.pmod("c2", F.lit(shards)).cast("long"))
+    sizes = classes.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).select("dim", F.greatest(F.ceil(F.col("n") / shard_rows), F.ceil(F.col("n") * F.col("dim") * 8 / shard_bytes)).alias("shards"))
+    dealt = classes.join(sizes, "dim").withColumn("shard", F.pmod(F.xxhash64("c2"), "shards")).select(*classes.columns, "shard")
     return scratch.save(dealt.groupBy("dim", "shard").applyInArrow(_build, INDEX_SCHEMA), "index")
 
 
@@ -212,7 +267,7 @@ def _searcher(k: int, ef: int):
             return schema.empty_table()
         row = {c: index.column(c)[0].as_py() for c in ("n", "vectors", "ids", "id_counts", "layer_sizes", "nodes", "links")}
         vectors = np.frombuffer(row["vectors"], "<f8").reshape(row["n"], -1)
-        points = augmented(vectors)
+        points = scaled(vectors)
         ids, counts = np.frombuffer(row["ids"], "<i8"), np.frombuffer(row["id_counts"], "<i4").astype(np.int64)
         begin = np.cumsum(counts) - counts
         layers = stored_layers(row)
@@ -220,7 +275,7 @@ def _searcher(k: int, ef: int):
         out: list[tuple] = []
         for at in range(0, len(wanted), 256):
             part, own = wanted[at : at + 256], query_ids[at : at + 256]
-            found = search_graph(points, layers, np.hstack([part, np.zeros((len(part), 1))]).astype(np.float32), ef)[:, : k + 8]
+            found = search_graph(points, layers, (part / np.abs(part).max(1, keepdims=True)).astype(np.float32), ef)[:, : k + 8]
             scores = np.where(found >= 0, np.einsum("ikj,ij->ik", vectors[found], part), -np.inf)
             # each class stands for its smallest ids
             size = np.where(found >= 0, counts[found], 0).ravel()

@@ -3,12 +3,14 @@
 A byte-level BPE first cuts a text by a pattern and then encodes each piece by itself, so the ids of a
 text are those of its pieces in order. Pieces of a corpus repeat: Arrow kernels cut a batch of texts and
 number its distinct pieces, and the library's model encodes those that a bounded memo lacks. Texts with
-whitespace or characters that the kernels might see otherwise than the library go to it whole.
+whitespace or characters that the kernels might see otherwise than the library go to it whole, as do texts
+that hold the string of a special or added token, which the library finds before it cuts.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import struct
 from functools import lru_cache
 
@@ -67,7 +69,7 @@ class PieceEncoder:
 
     Texts are cut before each space and line feed, the distinct chunks of a slice by the pattern. The memo of
     pieces has two generations of about ``generation`` each: what is used moves to the young one, and when
-    that is full the old one goes. Strings of special tokens in a text are ordinary text.
+    that is full the old one goes.
     """
 
     def __init__(self, path: str, generation: int = 450_000):
@@ -75,7 +77,8 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
+        added = [re.escape(t.content) for t in self.whole.get_added_tokens_decoder().values() if t.content]
+        self.uncut = "|".join([_WHOLE, *added])
         self.model = Tokenizer(self.whole.model)
         self.alphabet = _byte_alphabet()
         self.generation = generation
@@ -138,7 +141,7 @@ class PieceEncoder:
         texts = pc.fill_null(texts, "")
         out: list[np.ndarray] = []
         for _, part in slices(texts):
-            whole = pc.match_substring_regex(part, _WHOLE)
+            whole = pc.match_substring_regex(part, self.uncut)
             easy = iter(self._text_ids(part.filter(pc.invert(whole))) if pc.any(pc.invert(whole)).as_py() else [])
             hard = iter(self.whole.encode_batch_fast(part.filter(whole).to_pylist(), add_special_tokens=False))
             out.extend(np.asarray(next(hard).ids, "<u4") if x else next(easy) for x in whole.to_pylist())

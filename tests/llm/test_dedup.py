@@ -39,6 +39,13 @@ def test_odd_rows(odd, none):
     assert D.near_duplicates(none).count() == 0
 
 
+def test_null_ids_and_small_ids(spark):
+    rows = [(None, "a b c d e")] * 3 + [(7, "x y z")] * 2 + [(8, "X y z"), (None, "only one here"), (None, "")]
+    for kind in ("int", "long"):
+        got = [(r.doc_id, r.component_id, r.kept) for r in D.near_duplicates(spark.createDataFrame(rows, f"doc_id {kind}, text string")).collect()]
+        assert sorted(got, key=str) == sorted([(None, None, False)] * 3 + [(7, 7, True)] * 2 + [(8, 7, False), (None, None, True), (None, None, True)], key=str)
+
+
 def test_groups_of_near_copies(spark, monkeypatch):
     """Copies of a base with more or fewer words changed: many are linked only through others."""
     r = random.Random(1)
@@ -54,8 +61,9 @@ def test_groups_of_near_copies(spark, monkeypatch):
     rows += [(len(rows) + k, " ".join(word() for _ in range(60))) for k in range(40)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     want = components(rows)
-    for block in (2048, 3):
+    for block, shingles in ((2048, 1 << 22), (3, 1 << 22), (2048, 300)):
         monkeypatch.setattr(D, "BLOCK", block)
+        monkeypatch.setattr(D, "BLOCK_SHINGLES", shingles)
         got = D.near_duplicates(docs).collect()
         assert sorted((x.n_shingles, x.component_id, x.doc_id) for x in got) == want
         assert all(x.kept == (x.doc_id == x.component_id) for x in got)

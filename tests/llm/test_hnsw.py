@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from lodestone.llm import op8_hnsw as H
 from lodestone.scratch import Scratch
@@ -33,6 +34,29 @@ def test_recall_over_shards_and_lengths(spark):
     assert len(found) == 60 and np.mean(hits) >= 0.95
 
 
+@pytest.mark.parametrize("kind", ["lengths", "clusters"])
+def test_a_whole_shard(kind):
+    """Recall and work at the size of a shard, with vectors of differing length."""
+    n, r = H.SHARD_ROWS, np.random.default_rng(0)
+    v = r.normal(size=(n, 64)) if kind == "lengths" else r.normal(size=(40, 64))[r.integers(0, 40, n)] + 0.5 * r.normal(size=(n, 64))
+    v *= r.uniform(0.5, 2, (n, 1))
+    layers, points, q, tally = H.build_graph(v, 1 - r.random(n)), H.scaled(v), v[:256], []
+    found = H.search_graph(points, layers, q.astype(np.float32), tally=tally)
+    best = np.take_along_axis(found, np.argsort(-np.einsum("ikj,ij->ik", v[found], q), 1)[:, :20], 1)
+    true = np.argsort(-(q @ v.T), 1)[:, :20]
+    assert np.mean([len({*a} & {*b}) / 20 for a, b in zip(true.tolist(), best.tolist())]) >= 0.9
+    assert sum(tally) / len(q) < n / 10
+
+
+def test_a_small_shard_is_found_whole():
+    """Short vectors that no node is nearest to can be reached."""
+    r = np.random.default_rng(3)
+    for n in (1, 2, 19, 60, 120):
+        v = np.abs(r.normal(size=(n, 8))) * np.exp(3 * r.normal(size=(n, 1)))
+        found = H.search_graph(H.scaled(v), H.build_graph(v, 1 - r.random(n)), v.astype(np.float32)[:5])
+        assert all(sorted(x for x in row if x >= 0) == list(range(n)) for row in found.tolist())
+
+
 def test_odd_vectors(spark):
     rows = [(0, [1.0, 0.0], 0), (1, [1.0, 0.0], 0), (1, [1.0, 0.0], 0), (2, None, 0), (3, [], 0), (4, [0.0, 0.0], 0), (5, [float("nan"), 1.0], 0), (6, [None, 1.0], 0), (7, [float("inf"), 1.0], 0), (None, [1.0, 1.0], 0), (8, [2.0, 0.0], 0), (9, [-1.0, 0.0], 0), (20, [1.0, 2.0, 3.0], 0), (40, [0.0, 1.0], 0)]
     found = run(spark, rows)

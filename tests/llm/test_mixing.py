@@ -46,8 +46,39 @@ def test_reruns_agree_and_shards_are_even(spark):
     run = lambda n: sorted((r.doc.doc_id, [tuple(p) for p in r.pieces]) for r in X.plan(docs.repartition(n), keep=["doc_id"], block_words=100, shards=8).collect())
     first = run(3)
     assert first == run(7)
-    blocks = {(p[2], p[3]) for _, pieces in first for p in pieces}
-    assert {s for _, s in blocks} == set(range(8))
+    assert {p[4] for _, pieces in first for p in pieces} == set(range(8))
+
+
+def test_words_come_from_drawn_blocks(spark):
+    """Pieces against blocks of the order; each drawn block is in one shard; another draw takes other words."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    taken = {}
+    for draw in (1, 2):
+        rows = X.plan(docs, keep=["doc_id", "source"], block_words=100, shards=8, draw=draw).collect()
+        sources = defaultdict(list)
+        for r in rows:
+            sources[r.doc.source].append(r)
+        per_shard, total = defaultdict(set), 0
+        for source, own in sources.items():
+            own.sort(key=lambda r: r.hash)  # within a range of hashes; ranges by the low bits
+            drawn = defaultdict(int)
+            for r in own:
+                total += sum(p.words for p in r.pieces)
+                for copy in {p.copy for p in r.pieces}:
+                    parts = sorted((p.begin, p.words) for p in r.pieces if p.copy == copy)
+                    assert all(a + n <= b for (a, n), (b, _) in zip(parts, parts[1:])) and parts[-1][0] + parts[-1][1] <= r["size"]
+                for p in r.pieces:
+                    drawn[p.copy, p.block] += p.words
+                    per_shard[p.shard].add((source, p.copy, p.block))
+            size = own[0].source_size
+            full = lambda b: min(100, size - 100 * b)
+            assert all(n <= full(b) for (_, b), n in drawn.items())
+            assert sum(n < full(b) for (_, b), n in drawn.items()) <= 1  # the block that the target cuts
+            assert sum(drawn.values()) == round(own[0].target)
+        blocks = [x for s in per_shard.values() for x in s]
+        assert len(blocks) == len(set(blocks)) and max(map(len, per_shard.values())) - min(map(len, per_shard.values())) <= 1
+        taken[draw] = {r.doc.doc_id: sum(p.words for p in r.pieces) for r in rows}
+    assert sum(taken[1].values()) == sum(taken[2].values()) and taken[1] != taken[2]
 
 
 def test_tree_quotas(spark):
@@ -69,6 +100,15 @@ def test_hypergeometric(spark):
     assert tuple(edge) == (0, 4, 0, 3, 0)
 
 
+def test_mix_cuts_at_words(spark):
+    docs = spark.createDataFrame([(k, " ".join(f"w{k}.{n}" for n in range(40)), "ab"[k % 2]) for k in range(30)], "doc_id int, text string, source string")
+    words = [w for r in X.mix(docs, block_words=16).collect() for w in r.text.split()]
+    per = defaultdict(int)
+    for w in words:
+        per[int(w[1:].split(".")[0]) % 2] += 1
+    assert abs(per[0] - 1200 * 5 / 7) <= 1 and abs(per[1] - 1200 * 2 / 7) <= 1 and len({w for w in words if w[-2:] == ".0"}) > 5
+
+
 def test_mix_keeps_columns_and_texts(odd):
     out = X.mix(odd, whole=True)
     assert out.columns == odd.columns and {r.text for r in out.collect()} <= {r.text for r in odd.collect()}

@@ -1,5 +1,7 @@
 import random
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as P
 from lodestone.llm import op3_near_dedup as D
 from lodestone.scratch import Scratch
@@ -33,6 +35,36 @@ def test_odd_rows(spark, odd, none, tmp_path):
             assert stage(spark, docs, str(tmp_path)).count() >= 0
 
 
+#: Names that the stages and operators use inside.
+INSIDE = ["doc", "pad", "f0", "f1", "text_", "_text", "_quality", "quality_score", "line_kept", "line_", "_line_kept", "row_hash", "_row", "row", "node", "component", "kept", "leads", "key", "range", "hash", "size", "pieces", "shard", "_shard", "_order", "order", "block", "draw", "rank", "words", "h", "t", "a.b", "value"]
+
+
+def test_clashing_columns_and_small_ids(spark, odd, tmp_path):
+    spark.createDataFrame([(1, 1, 0), (5, 0, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    odd.write.parquet(str(tmp_path / "documents.parquet"))
+    rows = [(k, f"the cat number {k} sat on the mat and looked at the moon tonight with care {k * 7}.", "en", "ab"[k % 2]) for k in range(6)] + [(9, "one two three " * 4 + "and four", "en", "a")] * 2
+    base = spark.createDataFrame(rows, "doc_id int, text string, lang string, source string")
+    docs = base.select("*", *[F.lit(k).alias(c) for k, c in enumerate(INSIDE)])
+    want = [*range(len(INSIDE))]
+    for name, stage in P.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        got = out.collect()
+        assert out.columns == docs.columns and out.schema["doc_id"].dataType.simpleString() == "int", name
+        assert all(list(r)[4:] == want for r in got) and got, name
+        assert {(r.doc_id, r.text) for r in got} <= {(r[0], r[1]) for r in rows}
+        if name == "near_dedup":
+            assert sorted(r.doc_id for r in got) == [0, 1, 2, 3, 4, 5, 9]
+    assert P.packing(spark, docs, str(tmp_path)).count() > 0
+
+
+def test_one_row_of_each_group_stays(spark):
+    """Null ids, one id with several texts, and rows repeated whole."""
+    text = "the old river ran down past the mill and the long wall to the grey sea in the evening "
+    rows = [(None, text)] * 3 + [(None, text + "end")] + [(4, text + "x " * k) for k in range(2)] + [(None, "w " * 9 + "alone here in the text now")] * 2
+    out = P.near_dedup(spark, spark.createDataFrame(rows, "doc_id int, text string"), "")
+    assert sorted((r.doc_id is None, r.text.split()[0]) for r in out.collect()) == [(False, "the"), (True, "w")]
+
+
 def test_near_dedup_takes_five_words_at_80_percent(spark):
     """A block appended that leaves 0.80 of five-word shingles and 0.803 of three-word ones; brute force over mixed copies."""
     r = random.Random(2)

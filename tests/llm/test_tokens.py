@@ -16,7 +16,6 @@ def whole(texts):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(default_path())
-    t.encode_special_tokens = True
     return [e.ids for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
 
 
@@ -27,6 +26,12 @@ def test_pieces_give_the_ids_of_whole_texts(texts):
     assert [x.tolist() for x in known.encode(pa.array(texts, pa.string()))] == whole(texts)
 
 
+def test_strings_of_special_tokens():
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>y z", "<|endoftext", "plain"]
+    found = [x.tolist() for x in encoder(default_path()).encode(pa.array(texts))]
+    assert found == whole(texts) and found[0] == [64, 220, 50256, 275]
+
+
 def test_a_memo_that_starts_anew_changes_nothing():
     from lodestone.llm.tokens import PieceEncoder
 
