@@ -35,7 +35,7 @@ from lodestone.llm.tokens import slices
 WINDOW, STRIDE = 24, 16
 TOXIC_DOCS, CLEAN_DOCS, WINDOWS_EACH, WINDOW_CHARS = 2000, 3000, 48, 2000
 WORDS, TRIGRAMS, WORD_DIM, CHAR_DIM, HIDDEN, ATTENTION = 16384, 32768, 6, 12, 8, 8
-STEPS, ROUNDS, BATCH, RATE, SEED = 300, 4, 256, 0.01, 5
+STEPS, ROUNDS, BATCH, RATE, SEED = 200, 3, 256, 0.01, 5
 THRESHOLD = 0.5
 
 #: Bytes that words keep: ASCII letters and digits and all of non-ASCII characters.
@@ -166,22 +166,34 @@ def word_inputs(m: dict, words: Words) -> np.ndarray:
     return np.vstack([np.hstack([m["word"][words.word], words.char_sums(m["char"])]), np.zeros((1, WORD_DIM + CHAR_DIM), np.float32)]).astype(np.float32)
 
 
+def _sum_by(index: np.ndarray, rows: np.ndarray, n: int) -> np.ndarray:
+    """Sums of rows by index, as (n, columns)."""
+    out = np.zeros((n, rows.shape[1]), rows.dtype)
+    if len(index):
+        order = np.argsort(index, kind="stable")
+        own = index[order]
+        starts = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+        out[own[starts]] = np.add.reduceat(rows[order], starts, axis=0)
+    return out
+
+
 def loss_gradient(m: dict, words: Words, numbers: np.ndarray, y: np.ndarray, drop: np.ndarray | None = None) -> tuple[float, dict]:
     """Mean logistic loss of windows and its gradient by backpropagation through time.
 
     ``drop`` marks places whose word vector is left out.
     """
-    n, used = len(numbers), np.unique(numbers)
-    place = np.searchsorted(used, numbers)
+    n = len(numbers)
+    used, place = np.unique(numbers, return_inverse=True)
+    place = place.reshape(numbers.shape)
     mask = numbers < len(words.sizes)
     real = used[used < len(words.sizes)]
-    ends = np.cumsum(words.sizes)
-    tri = np.concatenate([words.tri[ends[w] - words.sizes[w] : ends[w]] for w in real] or [np.empty(0, np.int64)])
-    owner, size = np.repeat(np.arange(len(real)), words.sizes[real]), np.sqrt(np.maximum(words.sizes[real], 1)).astype(np.float32)
-    char = np.zeros((len(used), CHAR_DIM), np.float32)
-    np.add.at(char, owner, m["char"][tri])
-    char[: len(real)] /= size[:, None]
-    word = np.zeros((len(used), WORD_DIM), np.float32)
+    size = words.sizes[real]
+    owner = np.repeat(np.arange(len(real)), size)
+    tri = words.tri[np.repeat(np.cumsum(words.sizes)[real] - np.cumsum(size), size) + np.arange(len(owner))]
+    root = np.sqrt(np.maximum(size, 1)).astype(np.float32)
+    char = np.zeros((len(used), CHAR_DIM), m["char"].dtype)
+    char[: len(real)] = _sum_by(owner, m["char"][tri], len(real)) / root[:, None]
+    word = np.zeros((len(used), WORD_DIM), m["word"].dtype)
     word[: len(real)] = m["word"][words.word[real]]
     seen = (mask if drop is None else mask & ~drop)[:, :, None]
     x = np.concatenate([np.where(seen, word[place], 0), char[place]], 2)
@@ -202,29 +214,31 @@ def loss_gradient(m: dict, words: Words, numbers: np.ndarray, y: np.ndarray, dro
     by_states = weight[:, :, None] * into[:, None, :] + by_inner @ m["a"].T
     by_x = np.zeros_like(x)
     g["x"], g["h"], g["b"] = np.zeros_like(m["x"]), np.zeros_like(m["h"]), np.zeros_like(m["b"])
+    rows = x.reshape(-1, x.shape[2])
     for way in (0, 1):
-        carry = np.zeros((n, HIDDEN), np.float32)
+        carry = np.zeros((n, HIDDEN), by_states.dtype)
+        into_gates, into_past, pasts = (np.empty((WINDOW, n, k), by_states.dtype) for k in (3 * HIDDEN, 3 * HIDDEN, HIDDEN))
+        back, padded = m["h"][way].T.copy(), not mask.all()
         for t, past, gates, new, un in reversed(keeps[way]):
             total = carry + by_states[:, t, way * HIDDEN : (way + 1) * HIDDEN]
             live = mask[:, t, None]
-            d, z, r = np.where(live, total, 0), gates[:, :HIDDEN], gates[:, HIDDEN:]
+            d, z, r = np.where(live, total, 0) if padded else total, gates[:, :HIDDEN], gates[:, HIDDEN:]
             d_new = d * (1 - z) * (1 - new * new)
-            d_z = d * (past - new) * z * (1 - z)
-            d_r = d_new * un * r * (1 - r)
-            d_x = np.hstack([d_z, d_r, d_new])
-            d_h = np.hstack([d_z, d_r, d_new * r])
-            g["x"][way] += x[:, t].T @ d_x
-            g["b"][way] += d_x.sum(0)
-            g["h"][way] += past.T @ d_h
-            by_x[:, t] += d_x @ m["x"][way].T
-            carry = np.where(live, d * z, total) + d_h @ m["h"][way].T
-    per_word = np.zeros((len(used), WORD_DIM), np.float32)
-    np.add.at(per_word, place.ravel(), np.where(seen, by_x[:, :, :WORD_DIM], 0).reshape(-1, WORD_DIM))
-    per_char = np.zeros((len(used), CHAR_DIM), np.float32)
-    np.add.at(per_char, place.ravel(), by_x[:, :, WORD_DIM:].reshape(-1, CHAR_DIM))
-    g["word"], g["char"] = np.zeros_like(m["word"]), np.zeros_like(m["char"])
-    np.add.at(g["word"], words.word[real], per_word[: len(real)])
-    np.add.at(g["char"], tri, (per_char[: len(real)] / size[:, None])[owner])
+            d_x, d_h = into_gates[t], into_past[t]
+            d_x[:, :HIDDEN] = d * (past - new) * z * (1 - z)
+            d_x[:, HIDDEN : 2 * HIDDEN] = d_new * un * r * (1 - r)
+            d_x[:, 2 * HIDDEN :] = d_new
+            d_h[:] = d_x
+            d_h[:, 2 * HIDDEN :] *= r
+            pasts[t] = past
+            carry = (np.where(live, d * z, total) if padded else d * z) + d_h @ back
+        own = into_gates.transpose(1, 0, 2).reshape(-1, 3 * HIDDEN)
+        g["x"][way], g["b"][way] = rows.T @ own, own.sum(0)
+        g["h"][way] = pasts.reshape(-1, HIDDEN).T @ into_past.reshape(-1, 3 * HIDDEN)
+        by_x += (own @ m["x"][way].T).reshape(x.shape)
+    per = _sum_by(place.ravel(), np.concatenate([np.where(seen, by_x[:, :, :WORD_DIM], 0), by_x[:, :, WORD_DIM:]], 2).reshape(-1, x.shape[2]), len(used))[: len(real)]
+    g["word"] = _sum_by(words.word[real], per[:, :WORD_DIM], WORDS)
+    g["char"] = _sum_by(tri, (per[:, WORD_DIM:] / root[:, None])[owner], TRIGRAMS)
     return loss, g
 
 
@@ -238,10 +252,11 @@ def _train_round(m: dict, words: Words, numbers: np.ndarray, y: np.ndarray, step
         drop = r.random((len(pick), WINDOW)) < 0.5
         _, g = loss_gradient(m, words, numbers[pick], y[pick], drop)
         rate = RATE * (1 - 0.9 * t / steps)
-        for k in m:
-            first[k] = 0.9 * first[k] + 0.1 * g[k]
-            second[k] = 0.99 * second[k] + 0.01 * g[k] * g[k]
-            m[k] = m[k] - rate * (first[k] / (1 - 0.9**t)) / (np.sqrt(second[k] / (1 - 0.99**t)) + 1e-7)
+        for k, p in m.items():
+            v, u = first[k], second[k]
+            v += 0.1 * (g[k] - v)
+            u += 0.01 * (g[k] * g[k] - u)
+            m[k] = p - (rate / (1 - 0.9**t)) * v / (np.sqrt(u) * (1 - 0.99**t) ** -0.5 + 1e-7)
     return m
 
 
@@ -256,7 +271,7 @@ def fit(toxic: np.ndarray, document: np.ndarray, texts: list[str], steps: int =
         raise ValueError("a training text holds more than one window")
     # documents of either kind that hold a word, by distinct hashes of the word and of its first letters
     mask = numbers < len(names)
-    pairs = np.unique(np.stack([np.repeat(document, WINDOW)[mask.ravel()], numbers.ravel()[mask.ravel()]], 1), axis=0)
+    pairs = np.stack(np.divmod(np.unique(np.repeat(document, WINDOW)[mask.ravel()] * np.int64(len(names)) + numbers.ravel()[mask.ravel()]), len(names)), 1) if mask.any() else np.empty((0, 2), np.int64)
     kind = np.zeros(document.max() + 1, np.int64)
     kind[document] = toxic
     bad = np.bincount(pairs[kind[pairs[:, 0]] == 1, 1], minlength=len(names))
@@ -276,6 +291,8 @@ def fit(toxic: np.ndarray, document: np.ndarray, texts: list[str], steps: int =
         logits = window_logits(m, word_inputs(m, words), numbers)
         wrong = np.flatnonzero((toxic == 0) & (logits > -3))
         missed = np.flatnonzero(positive & (logits < 2))
+        if not len(wrong) and not len(missed):
+            break
         used = np.concatenate([np.flatnonzero(positive | (toxic == 0)), np.repeat(wrong, max(1, len(y) // (4 * len(wrong) + 1))), np.repeat(missed, 3)])
     return m
 
