@@ -152,7 +152,7 @@ def test_licences(spark):
     cases = {"Released under the MIT License.": "mit", "Licensed under the Apache License, Version 2.0.": "apache", "This work is licensed under the GNU General Public License, version 3.": "gpl", "Licensed under CC BY-NC 4.0.": "cc-nc", "The bar lost its licence to sell wine in May.": None, "the cat sat on the mat": None, "": None, "MIT": None}
     docs = spark.createDataFrame([(k, f"some words here\n{t}\nmore of them") for k, t in enumerate(cases)], "doc_id long, text string")
     rows = {r.doc_id: [x.family for x in r.licences] for r in C.licence_paragraphs(docs, ["doc_id"]).collect()}
-    assert [rows[k] for k in range(len(cases))] == [[f] if f else [] for f in cases.values()] and C.train()["accuracy"] > 0.97
+    assert [rows[k] for k in range(len(cases))] == [[f] if f else [] for f in cases.values()]
 
 
 def test_licence_rule_equals_python(spark):
@@ -166,11 +166,49 @@ def test_licence_rule_equals_python(spark):
     assert found.family == model["classes"][int(p.argmax())] == "mit" and abs(found.probability - p.max()) < 1e-4
 
 
+#: Statements and names that training has not seen, by family; and licences that are none of them.
+UNSEEN = {
+    "apache": ["This project is released under the terms of the Apache License 2.0", "Distributed under the Apache License, Version 2.0.", "Apache License", "licensed under Apache-2.0"],
+    "bsd": ["This code is distributed under the terms of the BSD license.", "Distributed under the New BSD License", "BSD License", "Redistribution and use in source and binary forms, with or without modification, are permitted"],
+    "cc": ["Text is available under the Creative Commons Attribution-ShareAlike 3.0 license", "This article is published under CC BY 4.0 terms", "Content licensed under a Creative Commons Attribution 4.0 licence"],
+    "cc-nc": ["Images are licensed under CC BY-NC 4.0 by the author", "Published under CC BY-NC-SA 4.0"],
+    "gpl": ["Distributed under the terms of the GNU General Public License v2", "This software is covered by the GNU General Public License", "released under the GPL", "SPDX-License-Identifier: GPL-2.0"],
+    "lgpl": ["Distributed under the GNU Lesser General Public License", "This software is covered by the GNU Lesser General Public License, version 3", "released under the LGPL"],
+    "mit": ["This project is licensed under the terms of the MIT license", "MIT License", "The MIT License (MIT)", "License: MIT"],
+    "mpl": ["This file is under the Mozilla Public License 2.0", "Mozilla Public License"],
+    "proprietary": ["(c) 2024 Some Company. All rights reserved.", "All rights reserved worldwide."],
+}
+NONE = [
+    "GNU Affero General Public License, version 3", "This program is distributed under the GNU Affero General Public License", "Eclipse Public License 2.0", "CC BY-ND 4.0", "Licensed under CC BY-NC-ND 4.0 by the author", "Creative Commons Attribution-NoDerivatives 4.0",
+    "Licensed under the Boost Software License", "Licensed under the Universal Permissive License, Version 1.0", "Licensed under the Academic Free License version 3.0", "Do What The Fuck You Want To Public License", "Licensed under the Open Software License 3.0", "the Educational Community License, Version 2.0",
+    "Licensed under the IBM Public License Version 1.0", "Python Software Foundation License Version 2", "released under the Q Public License", "The driver was released from jail in May.", "He lost his license to practise medicine.", "MIT is a university in Massachusetts.", "the general public of the free city", "version 2.0 of the plan",
+]
+
+
+def test_licences_not_seen_in_training(spark):
+    """Recall by family and false claims on licences that are none of the families."""
+    cases = [(t, f) for f, own in UNSEEN.items() for t in own] + [(t, None) for t in NONE]
+    docs = spark.createDataFrame([(k, f"a line before\n{t}\nand one after") for k, (t, _) in enumerate(cases)], "doc_id long, text string")
+    found = {r.doc_id: {x.family for x in r.licences} for r in C.licence_paragraphs(docs, ["doc_id"]).collect()}
+    missed = [t for k, (t, f) in enumerate(cases) if f and f not in found[k]]
+    wrong = [(t, found[k]) for k, (t, f) in enumerate(cases) if found[k] - {f}]
+    assert len(missed) <= 0.15 * sum(map(len, UNSEEN.values())), missed
+    assert len(wrong) <= 1, wrong
+    assert C.train()["accuracy"] > 0.7  # of whole statements left out, perturbed, before confirmation
+
+
+def test_wrapped_licences(spark):
+    texts = ["/* This program is free software: you can redistribute it and/or modify it under the terms of the GNU\n General Public License as published by the Free Software Foundation, either", "Released under the terms of the Mozilla\nPublic License, version 2.0 and others", "Released under the MIT\n\nLicense is a word", "the GNU Affero\nGeneral Public License"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r.doc_id: [(x.family, x.line) for x in r.licences] for r in C.licence_paragraphs(docs, ["doc_id"]).collect()}
+    assert found == {0: [("gpl", 0)], 1: [("mpl", 0)], 2: [], 3: []}
+
+
 def test_licences_of_one_line(spark):
     """Two families of one line, statements in a long line, and a window's edge in a longer name."""
     fill = "the river ran down to the sea while we sat on the old bench near the wall eating bread " * 4
     cases = [("MIT license or the Apache License, Version 2.0", {"apache", "mit"}), ("Licensed under the GPL or the GNU Lesser General Public License, version 2.1.", {"gpl", "lgpl"}), (f"{fill}Released under the MIT License {fill}Licensed under the Apache License, Version 2.0 {fill}", {"apache", "mit"}), (f"{fill}Licensed under CC BY-NC 4.0 {fill}", {"cc-nc"}), (fill, set()), ("no and " * 3000 + f"no. {fill}Released under the MIT License {fill}", {"mit"})]
-    cases += [(s, {family}) for family, statements in C.STATEMENTS.items() for s in statements]
+    cases += [(s.replace("{", "").replace("}", ""), {family}) for family, statements in C.STATEMENTS.items() for s in statements]
     docs = spark.createDataFrame([(k, text) for k, (text, _) in enumerate(cases)], "doc_id long, text string")
     for r in C.licence_paragraphs(docs, ["doc_id"]).collect():
         assert {x.family for x in r.licences} == cases[r.doc_id][1] and len(r.licences) == len(cases[r.doc_id][1])
