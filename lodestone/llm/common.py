@@ -56,6 +56,12 @@ def mapped_texts(docs: DataFrame, keep: list[str], fields: list[T.StructField],
     return out.select(*[F.col("doc").getField(c).alias(c) for c in keep], *[F.col(n).alias(f.name) for n, f in zip(names, fields)])
 
 
+def parts_of(spark: SparkSession, total_bytes: int, part_bytes: int, small: int = 8 << 20) -> int:
+    """How many parts hold ``total_bytes`` at ``part_bytes`` each; for little data as many as there are shuffle partitions, of ``small`` bytes at least."""
+    some = min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total_bytes // small))
+    return max(1, -(-total_bytes // part_bytes), some)
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: dict[int, int], most_bytes: int = 1 << 20) -> DataFrame:
     """A bounded training sample: documents of the training fold with the label's value in column ``label``.
 

@@ -7,10 +7,11 @@ earlier page already has becomes a *revisit* that names that page's record and r
 Files are written by Spark's text writer: rows are frames, and the separator after each row is an empty
 skippable frame, which every Zstandard reader passes over. So retries and lost tasks are harmless, and
 any file system that Spark knows will do. Copies are found on digests alone: one aggregate with partial
-sums, one join that Spark can split at hot digests; a payload is shuffled once.
+sums, one join that Spark can split at hot digests; a payload is shuffled once, to files of about
+``FILE_BYTES`` of payload each, which a reader can take whole.
 
 The dictionary is trained on the ``sample_records`` records with the smallest hashes, each up to
-``sample_bytes`` (a documented bound; the archives hold whole payloads). With too little to train on the
+``sample_bytes``, its first bytes (a documented bound of training; the archives hold whole payloads). With too little to train on the
 files have no dictionary.
 
 Defined cases: a null html is an empty payload; a null page_id is larger than any other; of rows with one
@@ -27,14 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import table
+from lodestone.llm.common import parts_of, table
 from lodestone.scratch import Scratch
 
 #: Magic numbers of the dictionary's skippable frame and of the frame between records (fixed values).
 DICTIONARY_MAGIC = (0x184D2A5D).to_bytes(4, "little")
 SEPARATOR_FRAME = "P*M\x18\0\0\0\0"  # 0x184D2A50 with length 0
 
-SAMPLE_RECORDS, SAMPLE_BYTES, DICTIONARY_BYTES = 1000, 16384, 65536
+SAMPLE_RECORDS, SAMPLE_BYTES, DICTIONARY_BYTES, FILE_BYTES = 1000, 16384, 65536, 256 << 20
 _LAST = -(1 << 63)  # stands for a null page_id in keys
 
 
@@ -94,7 +95,7 @@ def _writer(dictionary: bytes, date: str, level: int):
     return write
 
 
-def write_warc(pages: DataFrame, path: str, min_revisit_bytes: int = 0, date: str = "2024-01-01T00:00:00Z", level: int = 6, dictionary: bytes | None = None) -> None:
+def write_warc(pages: DataFrame, path: str, min_revisit_bytes: int = 0, date: str = "2024-01-01T00:00:00Z", level: int = 6, dictionary: bytes | None = None, file_bytes: int = FILE_BYTES) -> None:
     """Write pages (page_id, url, html) as archives in ``path``; payloads of at least ``min_revisit_bytes`` are deduplicated."""
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
     dictionary = train_dictionary(pages) if dictionary is None else dictionary
@@ -103,7 +104,9 @@ def write_warc(pages: DataFrame, path: str, min_revisit_bytes: int = 0, date: st
     ids = keyed.where("may_revisit").select("key", "page_id", "sha")
     firsts = ids.groupBy("sha").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("copies")).where("copies > 1 and first_id is not null").drop("copies")
     later = ids.join(firsts, "sha").where("page_id is null or page_id <> first_id").select("key", "sha", "first_id").distinct()
-    rows = keyed.join(later.hint("merge"), ["key", "sha"], "left").select("key", "page_id", "url", "payload", "sha", "may_revisit", "first_id").sortWithinPartitions("key", "sha", "url")
+    total = pages.agg(F.coalesce(F.sum(F.octet_length("html")), F.lit(0))).first()[0]
+    dealt = keyed.repartition(parts_of(pages.sparkSession, total, file_bytes), "key", "sha")
+    rows = dealt.join(later.hint("merge"), ["key", "sha"], "left").select("key", "page_id", "url", "payload", "sha", "may_revisit", "first_id").sortWithinPartitions("key", "sha", "url")
     frames = rows.drop("key").mapInArrow(_writer(dictionary, date, level), "value binary")
     frames.select(F.col("value").cast("string").alias("value")).write.mode("overwrite").option("lineSep", SEPARATOR_FRAME).text(path)
 

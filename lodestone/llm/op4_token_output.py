@@ -1,7 +1,7 @@
 """Token ids as binary shards of patched frame-of-reference blocks.
 
-Documents are dealt to shards by ranges of doc_id, encoded, closed by an end id and joined into one run
-of ids per shard, cut into blocks. A block keeps its minimum and, of each id, the low bits of its
+Documents are dealt to shards by ranges of doc_id, of about ``SHARD_BYTES`` of text each, encoded, closed by
+an end id and joined into one run of ids per shard, cut into blocks. A block keeps its minimum and, of each id, the low bits of its
 distance from it, at the width that a chosen share of the block needs; ids that need more are
 *exceptions*: their places and whole distances follow. A footer has each block's place in the file and
 each document's first id, so a reader finds any document without decoding what stands before it.
@@ -18,10 +18,12 @@ A block has block / 64 groups: ids k, k + block / 64, k + 2 * block / 64 ... are
 of ``width`` bits fill word k of each row of block / 64 words, the j-th from bit j * width on.
 
 Shards are written by Spark's text writer, whose commit protocol makes a retried or lost task harmless;
-memory is bounded by a batch of texts and a shard's footer.
+memory is bounded by a batch of texts and a shard's footer. A reader takes a shard file whole, which its size
+bounds, and decodes it by the block index, some blocks at a time. One number per shard goes through a window.
 
 Defined cases: null and empty texts hold the end id alone; null doc_ids come first; rows with one doc_id
-keep all their ids, ordered by text; an empty table gives no shards; other columns are not read.
+keep all their ids, ordered by a hash of the text, over several shards if they are many; rows repeated whole
+share a shard; an empty table gives no shards; other columns are not read.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import table
+from lodestone.llm.common import parts_of, table
 from lodestone.llm.tokens import default_path, encoder, slices
 from lodestone.scratch import Scratch
 
@@ -41,6 +43,8 @@ BLOCK = 4096
 #: An exception takes 48 bits, so one bit more for all pays if more than one id in 48 needs it.
 PERCENTILE = 1 - 1 / 48
 END_ID = 0
+#: Bytes of text in a shard, on average.
+SHARD_BYTES = 256 << 20
 _HEADER, _BLOCK, _TAIL = "<4sIQII", "<4I", "<3Q8s"
 
 
@@ -152,10 +156,14 @@ def _shard_writer(path: str, block: int, percentile: float, end_id: int):
     return write
 
 
-def write_token_shards(docs: DataFrame, path: str, vocabulary: str | None = None, block: int = BLOCK, percentile: float = PERCENTILE, end_id: int = END_ID) -> None:
+def write_token_shards(docs: DataFrame, path: str, vocabulary: str | None = None, block: int = BLOCK, percentile: float = PERCENTILE, end_id: int = END_ID, shard_bytes: int = SHARD_BYTES) -> None:
     """Write documents (doc_id, text) to shard files in ``path``, ids ascending by doc_id over all shards."""
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    sections = ordered.mapInArrow(_shard_writer(vocabulary or default_path(), block, percentile, end_id), "value binary")
+    text = F.col("text").cast("string")
+    total = docs.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
+    order = ["doc_id", "hash"]
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("hash"), text.alias("text"))
+    ordered = keyed.repartitionByRange(parts_of(docs.sparkSession, total, shard_bytes), *order).sortWithinPartitions(*order)
+    sections = ordered.select("doc_id", "text").mapInArrow(_shard_writer(vocabulary or default_path(), block, percentile, end_id), "value binary")
     sections.select(F.col("value").cast("string").alias("value")).write.mode("overwrite").text(path)
 
 

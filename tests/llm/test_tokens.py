@@ -52,9 +52,9 @@ def test_shards(spark, odd, none):
     scratch = Scratch(spark)
     P.write_token_shards(odd, scratch.at("s"), block=128)
     rows = P.with_global_start(scratch.save(P.read_token_shards(spark, scratch.at("s")), "r")).orderBy("start").collect()
-    docs = sorted(((r.doc_id, r.text) for r in odd.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1] or ""))
+    docs = sorted(((r.doc_id, r.text) for r in odd.collect()), key=lambda r: (r[0] is not None, r[0] or 0))
     start = 0
-    for row, (doc_id, text) in zip(rows, docs, strict=True):
+    for row, (doc_id, text) in zip(rows, docs, strict=True):  # the rows of one id here are equal
         ids = np.array(whole([text])[0] + [0], "<u4")
         assert (row.doc_id, row.start, row.n_tokens, bytes(row.ids)) == (doc_id, start, len(ids), ids.tobytes())
         start += len(ids)
@@ -62,6 +62,15 @@ def test_shards(spark, odd, none):
     assert P.read_token_shards(spark, scratch.at("e")).count() == 0
 
 
+def test_shards_follow_the_bytes(spark):
+    docs = spark.range(60).selectExpr("cast(nullif(id % 30, 7) AS int) AS doc_id", "repeat(concat('w', id, ' '), 300) AS text")
+    scratch = Scratch(spark)
+    P.write_token_shards(docs, scratch.at("s"), shard_bytes=10_000)
+    rows = P.with_global_start(scratch.save(P.read_token_shards(spark, scratch.at("s")), "r")).orderBy("start").collect()
+    assert len({r.shard for r in rows}) >= 5 and [r.doc_id for r in rows] == sorted((r.doc_id for r in rows), key=lambda i: (i is not None, i or 0))
+    assert [r.start for r in rows] == [sum(x.n_tokens for x in rows[:k]) for k in range(60)]
+
+
 def test_binary_pieces():
     for n in (0, 1, 5, 2047, 2048, 2049, 10_000):
         pieces = K.binary_pieces(n)

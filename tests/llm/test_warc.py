@@ -49,3 +49,11 @@ def test_dictionary_leads_each_file_and_helps(spark):
 def test_query(spark):
     con = connect("/root/testdata/sf0.001")
     assert difference(spark, con, W.op1_warc, W.ORACLE_SQL, "/root/testdata/sf0.001") is None
+
+
+def test_files_follow_the_bytes(spark):
+    pages = spark.range(64).selectExpr("id AS page_id", "'u' AS url", "repeat(cast(id AS string), 20000) AS html")
+    scratch = Scratch(spark)
+    W.write_warc(pages, scratch.at("w"), dictionary=b"", file_bytes=100_000)
+    files = spark.read.format("binaryFile").load(scratch.at("w"))
+    assert files.count() >= 15 and W.read_warc(spark, scratch.at("w")).count() == 64
