@@ -1,6 +1,6 @@
 """Licence scan: a sparse n-gram logistic regression over paragraphs, confirmed by templates (DataFrame and SQL only).
 
-A paragraph is a line of a text, or two lines in a row that both have a feature, where a statement may be
+A paragraph is a line of a text, or two lines in a row that both may hold a name, where a statement may be
 wrapped. Its features are its words and word pairs, those of the model's vocabulary only. The model is
 multinomial with one class per licence family and one for unknown paragraphs, trained on the driver by
 proximal gradient steps whose shrinkage leaves few weights: on statements of each family with words left out
@@ -13,12 +13,14 @@ probability reaches ``LEAST_PROBABILITY``.
 
 A prediction is confirmed by a template of its family: the paragraph shares at least ``CONFIRM`` of the word
 pairs of the template or of its own, whichever has fewer, and has *all* pairs of the template's name (marked
-in the statements below), so that one licence's name is not taken for another's. A line with a feature is
+in the statements below), so that one licence's name is not taken for another's. A line is
 judged whole and by its clauses, clauses of more than ``SPAN`` words by overlapping windows too, and every
 confirmed family is given once, with its highest probability.
 
 Scoring is one projection over whole texts: weights are constants of the plan, so there is no join,
-shuffle or Python on the executors. Most paragraphs have no feature and are unknown by the bias alone.
+shuffle or Python on the executors. As only what holds a template's whole name can be confirmed, texts
+without any name's rarest word are passed over, and so are lines without a pair of a name in them or across
+their ends: that skips work, not results.
 
 Defined cases: null and empty texts have no licence; repeated lines count each; rows with one doc_id are
 scanned each; an empty table gives no rows; other columns are not read.
@@ -163,6 +165,19 @@ def _numbers(values, kind: str) -> str:
     return f"cast(split('{','.join(map(str, values))}', ',') AS array<{kind}>)"
 
 
+def gates() -> tuple[list[str], str]:
+    """Words of which a text with any template's name holds one, and a pattern of the names' pairs."""
+    prosaic = {w for p in PROSE for w in tokens(p)}
+    names = [tokens(re.search(r"[{](.*)[}]", t)[1]) for own in STATEMENTS.values() for t in own]
+    anchors = {max(name, key=lambda w: (w not in prosaic, len(w), w)) for name in names}
+    after: dict[str, set[str]] = {}
+    for name in names:
+        for a, b in zip(name, name[1:]):
+            after.setdefault(a, set()).add(b)
+    pairs = "|".join(f"{re.escape(a)}[^a-z0-9]+(?:{'|'.join(map(re.escape, sorted(b)))})" for a, b in sorted(after.items()))
+    return sorted(anchors), f"(?<![a-z0-9])(?:{pairs})"
+
+
 def _strings(values) -> str:
     return "array(" + ",".join(f"'{v}'" for v in values) + ")"
 
@@ -197,12 +212,16 @@ def licence_paragraphs(docs: DataFrame, keep: list[str], model: dict | None = No
     found = let("b", judgements(spans), "filter(b, x -> x.o < 0 or exists(b, y -> abs(x.o - y.o) = 1 and y.o >= 0 and x.family = y.family))")
     each = let("a", found, "transform(array_distinct(transform(a, x -> x.family)), f -> struct(y.p AS paragraph, f AS family, array_max(transform(filter(a, x -> x.family = f), x -> x.probability)) AS probability, y.l AS line))")
     # lines with a feature, what each gives alone, then what two in a row give that neither does
-    marked = f"filter(transform(split(coalesce(cast(text AS string), ''), '\\n'), (p, l) -> {let('w', words('p'), let('g', pair_list, f'if(size({hits}) > 0, struct(p AS p, l AS l, w AS w), null)'))}), x -> x is not null)"
+    anchors, gate = gates()
+    around = "lower(concat(coalesce(right(get(a, l - 1), 64), ''), ' ', p, ' ', coalesce(left(get(a, l + 1), 64), '')))"
+    marked = let("a", "split(coalesce(cast(text AS string), ''), '\\n')", f"filter(transform(a, (p, l) -> if(rlike({around}, r'{gate}'), struct(p AS p, l AS l, {words('p')} AS w), null)), x -> x is not null)")
     joined = f"array(struct(concat(slice(x.w, greatest(size(x.w) - {SPAN - 1}, 1), {SPAN}), slice(y.w, 1, {SPAN})) AS w, -1L AS o))"
     own = lambda k: f"transform(d[{k}], z -> z.family)"
     both = f"transform(filter({judgements(joined)}, j -> not array_contains({own('k')}, j.family) and not array_contains({own('k + 1')}, j.family)), j -> struct(concat(x.p, ' ', y.p) AS paragraph, j.family AS family, j.probability AS probability, x.l AS line))"
     wrapped = f"flatten(transform(t, (x, k) -> if(k + 1 < size(t) and t[k + 1].l = x.l + 1, {let('y', 't[k + 1]', both)}, cast(array() AS array<struct<paragraph: string, family: string, probability: double, line: int>>))))"
-    result = let("t", marked, let("d", f"transform(t, y -> {each})", f"concat(flatten(d), {wrapped})"))
+    found = let("t", marked, let("d", f"transform(t, y -> {each})", f"concat(flatten(d), {wrapped})"))
+    nothing = "cast(array() AS array<struct<paragraph: string, family: string, probability: double, line: int>>)"
+    result = let("lt", "lower(cast(text AS string))", f"if({' OR '.join(f'contains(lt, {a!r})' for a in anchors)}, {found}, {nothing})")
     return docs.select(*keep, F.expr(result).alias(name))
 
 
