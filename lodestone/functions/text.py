@@ -35,8 +35,8 @@ def query_terms(text: Column, least_bytes: int = 4) -> Column:
 
 
 def has_word(text: Column, word: str) -> Column:
-    """ASCII case-insensitive whole-word test."""
-    return F.array_contains(F.split(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9]+"), word.lower())
+    """Case-insensitive whole-word test; a word is a run of letters and digits."""
+    return F.array_contains(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), word.lower())
 
 
 def token_estimate(text: Column) -> Column:
@@ -46,7 +46,7 @@ def token_estimate(text: Column) -> Column:
 
 def truncated(text: Column, most: int) -> Column:
     """Cut to ``most`` characters with an ellipsis if the text has more bytes than that."""
-    return F.when(F.octet_length(text) > most, F.concat(F.substring(text, 1, most), F.lit("..."))).otherwise(text)
+    return F.when(F.octet_length(text) > most, F.concat(F.substring(text, 1, most), F.lit("…"))).otherwise(text)
 
 
 def short_name(fqn: Column) -> Column:
@@ -67,7 +67,7 @@ def is_sensitive(path: Column) -> Column:
 
 def redacted(text: Column, most: int = 120) -> Column:
     """Whitespace tokens that name sensitive files are hidden, then the text is cut."""
-    words = F.transform(F.split(text, " "), lambda w: F.when(is_sensitive(w), F.lit("<redacted>")).otherwise(w))
+    words = F.transform(F.filter(F.split(text, r"\s+"), lambda w: w != ""), lambda w: F.when(is_sensitive(w), F.lit("<redacted>")).otherwise(w))
     return truncated(F.array_join(words, " "), most)
 
 
@@ -95,10 +95,26 @@ def relative_to(path: Column, root: Column) -> Column:
 
 
 def relative_age(seconds: Column) -> Column:
-    """"n minutes ago" and so on."""
+    """"n seconds ago" and so on, the largest unit that fits."""
     s = F.greatest(seconds, F.lit(0))
     step = lambda unit, name: F.concat(F.floor(s / unit).cast("string"), F.lit(f" {name} ago"))
-    return F.when(s < 60, F.lit("just now")).when(s < 3600, step(60, "minutes")).when(s < 86400, step(3600, "hours")).otherwise(step(86400, "days"))
+    return F.when(s < 60, step(1, "seconds")).when(s < 3600, step(60, "minutes")).when(s < 86400, step(3600, "hours")).otherwise(step(86400, "days"))
+
+
+def age_label(seconds: Column) -> Column:
+    """"5m ago", "3h ago", "2d ago"."""
+    step = lambda unit, name: F.concat(F.floor(seconds / unit).cast("string"), F.lit(f"{name} ago"))
+    return F.when(seconds < 3600, step(60, "m")).when(seconds < 86400, step(3600, "h")).otherwise(step(86400, "d"))
+
+
+def utc_minute(epoch: Column) -> Column:
+    """Epoch seconds as "YYYY-MM-DD HH:MM UTC", in a session in UTC."""
+    return F.concat(F.date_format(F.timestamp_seconds(epoch), "yyyy-MM-dd HH:mm"), F.lit(" UTC"))
+
+
+def clock_time(epoch: Column) -> Column:
+    """Epoch seconds as time of day, "HH:MM:SS"."""
+    return F.date_format(F.timestamp_seconds(epoch), "HH:mm:ss")
 
 
 def half_life(age_days: Column, half_life_days: Column) -> Column:
@@ -113,23 +129,61 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def backtick_tokens(text: Column) -> Column:
-    """Contents of single-backtick spans that stay on one line."""
-    return F.regexp_extract_all(text, F.lit(r"(?<!`)`([^`\n]+)`(?!`)"), F.lit(1))
+    """Contents of single-backtick spans that stay on one line; longer runs of backticks and what they hold are passed over."""
+    free = F.regexp_replace(text, r"(?<!`)(`{2,})(?!`)(?:[^\n]*?[^`\n])?\1(?!`)|(?<!`)`{2,}[^\n]*", "")
+    return F.filter(F.regexp_extract_all(free, F.lit(r"`([^`\n]*)`"), F.lit(1)), lambda t: t != "")
+
+
+def without_call(token: Column) -> Column:
+    """A token without its last balanced pair of brackets, if it ends in one: ``f(a(b))`` is ``f``."""
+    # from the end: +1 for a closing, -1 for an opening bracket; the first place where the sum is 0 opens the pair
+    chars = F.reverse(F.split(token, ""))
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("at"), F.lit(None).cast("int").alias("cut"))
+
+    def step(s, c):
+        depth = s["depth"] + F.when(c == ")", 1).when(c == "(", -1).otherwise(0)
+        return F.struct(depth.alias("depth"), (s["at"] + 1).alias("at"), F.when(s["cut"].isNull() & (c == "(") & (depth == 0), s["at"] + 1).otherwise(s["cut"]).alias("cut"))
+
+    cut = F.aggregate(chars, start, step, lambda s: s["cut"])
+    return F.when(token.endswith(")"), F.substring(token, F.lit(1), F.length(token) - F.coalesce(cut, F.lit(0)))).otherwise(token)
 
 
 #: Words that mark each kind of intent (fixed values), in the order that settles ties.
 INTENT_WORDS = {
-    "bugfix": ["fix", "bug", "error", "crash", "broken", "fail", "issue", "debug"],
-    "refactor": ["refactor", "rename", "extract", "move", "restructure", "cleanup", "simplify"],
-    "impl": ["add", "implement", "create", "build", "new", "feature", "support"],
+    "bugfix": ["bug", "crash", "debug", "error", "fix"],
+    "refactor": ["extract", "refactor", "rename", "restructure"],
+    "impl": ["add", "build", "create", "implement"],
 }
 
+#: Least dominance of an intent, and shares from which a walk goes deeper or also backwards (fixed values).
+LOW_CONFIDENCE, REFACTOR_DEPTH, INBOUND_BLEND = 0.60, 0.50, 0.35
+#: Pivots looked for, and with low confidence (fixed values).
+POOL, WIDE_POOL = 5, 8
+
+
+def intent_profile(text: Column, words: dict[str, list[str]] | None = None, dominance: float = LOW_CONFIDENCE) -> list[Column]:
+    """Columns n_<kind>, dominance, dominant, intent, signals.
 
-def intent_profile(text: Column, words: dict[str, list[str]] | None = None, dominance: float = 0.6) -> list[Column]:
-    """Columns n_<kind>, dominance, intent: the kind with most marking words, or balanced below ``dominance``."""
+    ``dominant`` is the kind with most marking words, ``intent`` that or balanced below ``dominance``, and
+    ``signals`` the words found, kind by kind.
+    """
     words = words or INTENT_WORDS
     counts = {k: sum((has_word(text, w).cast("int") for w in ws), F.lit(0)) for k, ws in words.items()}
     total, top = sum(counts.values(), F.lit(0)), F.greatest(*counts.values())
     share = F.when(total > 0, top / total).otherwise(F.lit(0.0))
-    kind = F.coalesce(*[F.when(c == top, F.lit(k)) for k, c in counts.items()])
-    return [*[c.cast("long").alias(f"n_{k}") for k, c in counts.items()], F.round(share, 6).alias("dominance"), F.when((total > 0) & (share >= dominance), kind).otherwise(F.lit("balanced")).alias("intent")]
+    kind = F.when(total > 0, F.coalesce(*[F.when(c == top, F.lit(k)) for k, c in counts.items()])).otherwise(F.lit("balanced"))
+    signals = F.concat_ws(", ", *[F.when(has_word(text, w), F.lit(w)) for ws in words.values() for w in ws])
+    columns = [c.cast("long").alias(f"n_{k}") for k, c in counts.items()]
+    return [*columns, F.round(share, 6).alias("dominance"), kind.alias("dominant"), F.when(share >= dominance, kind).otherwise(F.lit("balanced")).alias("intent"), signals.alias("signals")]
+
+
+def traversal_policy(bugfix: Column, refactor: Column, impl: Column) -> list[Column]:
+    """Columns pool, depth, inbound, inbound_first from the counts of marking words.
+
+    Without a dominant kind: a wide pool, two steps, outward only. Else three steps if refactoring has half of
+    the words, and backwards too if it and bug fixing have enough; backwards first if bug fixing leads.
+    """
+    total = bugfix + refactor + impl
+    sure = (total > 0) & (F.greatest(bugfix, refactor, impl) >= LOW_CONFIDENCE * total)
+    inbound = sure & (bugfix + refactor >= INBOUND_BLEND * total)
+    return [F.when(sure, POOL).otherwise(WIDE_POOL).alias("pool"), F.when(sure & (refactor >= REFACTOR_DEPTH * total), 3).otherwise(2).alias("depth"), inbound.alias("inbound"), (inbound & (bugfix >= refactor)).alias("inbound_first")]

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as X
 from lodestone.operators import brief as BR
+from lodestone.operators import embed as E
+from lodestone.operators import memory as M
 from lodestone.operators import policy as P
 from lodestone.operators import search as S
-from lodestone.operators.structure import capped
-from lodestone.plans.views import doc_tokens, query, t
+from lodestone.plans.views import now_of, obs, query, t
 
 QUERY = ["tion", "heed", "the", "elle"]
 
@@ -76,9 +78,9 @@ _POOL_SQL = _bm25_sql("documents", "doc_id", {"text": 1.0}, QUERY, 100).rpartiti
   p AS (SELECT r.doc_id, raw, CAST(n_chars AS DOUBLE) AS centrality, list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(v AS DOUBLE[])) AS sim FROM r JOIN documents USING (doc_id) CROSS JOIN q LEFT JOIN embeddings ON vec_id = doc_id),
   k AS (SELECT doc_id, dense_rank() OVER (ORDER BY round(raw, 12)) AS a, dense_rank() OVER (ORDER BY centrality DESC) AS b,
     CASE WHEN sim IS NOT NULL THEN dense_rank() OVER (ORDER BY round(sim, 12) DESC NULLS LAST) ELSE count(*) OVER () + 1 END AS c, count(sim) OVER () / CAST(count(*) OVER () AS DOUBLE) AS share FROM p)
-  SELECT doc_id, round(1.0 / (60 + a) + 1.0 / (60 + b) + CASE WHEN share >= 0.3 THEN 1.0 / (60 + c) ELSE 0 END, 9) AS rrf FROM k ORDER BY rrf DESC, doc_id LIMIT 20""")
+  SELECT doc_id, round(1.0 / (60 + a) + 1.0 / (60 + b) + CASE WHEN share >= 0.5 THEN 1.0 / (60 + c) ELSE 0 END, 9) AS rrf FROM k ORDER BY rrf DESC, doc_id LIMIT 20""")
 def rrf_hybrid(spark, d):
-    f = S.fused(_pool(spark, d), {"score": ("asc", True), "centrality": ("desc", True), "similarity": ("desc", False)}, "doc_id", coverage={"similarity": 0.3})
+    f = S.fused(_pool(spark, d), {"score": ("asc", True), "centrality": ("desc", True), "similarity": ("desc", False)}, "doc_id", coverage={"similarity": 0.5})
     return f.select("doc_id", F.round("rrf", 9).alias("rrf")).orderBy(F.col("rrf").desc(), "doc_id").limit(20)
 
 
@@ -90,38 +92,47 @@ def identifier_tokens(spark, d):
     return n.select("s_suppkey", X.expanded_name(F.col("name")).alias("expanded"), F.size(X.split_identifier(F.col("name"))).cast("long").alias("n_parts"))
 
 
-STOP = ["the", "and", "for", "that", "this", "with"]
-
-
-@query("content_tokens_top8", """WITH e AS (SELECT doc_id, unnest(words) AS token FROM dt), c AS (SELECT doc_id, token, count(*) AS n FROM e WHERE strlen(token) >= 3 AND token NOT IN ('the','and','for','that','this','with') GROUP BY doc_id, token)
+@query("content_tokens_top8", """WITH e AS (SELECT doc_id, unnest(words) AS token FROM dt), c AS (SELECT doc_id, token, count(*) AS n FROM e GROUP BY doc_id, token)
   SELECT doc_id, token, n, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, token) AS rank FROM c QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, token) <= 8""")
 def content_tokens_top8(spark, d):
-    return S.content_tokens(t(spark, d, "documents"), "doc_id", "text", STOP)
+    return S.content_tokens(t(spark, d, "documents"), "doc_id", "text")
 
 
-WORDS = {"bugfix": ["the", "tion"], "refactor": ["of", "and"], "impl": ["in", "de"]}
+#: Questions put behind the turns of conversations, so that their words occur.
+ASKED = ["fix the crash", "refactor and fix", "rename and extract it", "add a build step, then fix", "implement this", "look around"]
+_ASKED_SQL = "text || ' ' || CASE (conv_id + turn) % 6 " + " ".join(f"WHEN {k} THEN '{q}'" for k, q in enumerate(ASKED)) + " END"
 
 
-def _words_sql(kind):
-    return " + ".join(f"CAST(list_contains(w, '{x}') AS BIGINT)" for x in WORDS[kind])
+def _asked(spark, d):
+    which = F.element_at(F.array(*[F.lit(q) for q in ASKED]), ((F.col("conv_id") + F.col("turn")) % 6 + 1).cast("int"))
+    return t(spark, d, "conversations").select("conv_id", "turn", F.concat("text", F.lit(" "), which).alias("text"))
 
 
-_INTENT_SQL = f"""WITH w AS (SELECT conv_id, turn, string_split_regex(lower(text), '[^a-z0-9]+') AS w FROM conversations),
-  c AS (SELECT conv_id, turn, {_words_sql('bugfix')} AS n_bugfix, {_words_sql('refactor')} AS n_refactor, {_words_sql('impl')} AS n_impl FROM w),
+_BUGFIX, _REFACTOR, _IMPL = ["bug", "crash", "debug", "error", "fix"], ["extract", "refactor", "rename", "restructure"], ["add", "build", "create", "implement"]
+_n_sql = lambda words: " + ".join(f"CAST(list_contains(w, '{x}') AS BIGINT)" for x in words)
+_INTENT_SQL = f"""WITH w AS (SELECT conv_id, turn, string_split_regex(lower({_ASKED_SQL}), '[^\\p{{L}}\\p{{N}}]+') AS w FROM conversations),
+  c AS (SELECT conv_id, turn, {_n_sql(_BUGFIX)} AS n_bugfix, {_n_sql(_REFACTOR)} AS n_refactor, {_n_sql(_IMPL)} AS n_impl, concat_ws(', ', {', '.join(f"CASE WHEN list_contains(w, '{x}') THEN '{x}' END" for x in _BUGFIX + _REFACTOR + _IMPL)}) AS signals FROM w),
   s AS (SELECT *, n_bugfix + n_refactor + n_impl AS total, greatest(n_bugfix, n_refactor, n_impl) AS top FROM c),
-  i AS (SELECT conv_id, turn, n_bugfix, n_refactor, n_impl, CASE WHEN total > 0 THEN round(top / CAST(total AS DOUBLE), 6) ELSE 0 END AS dominance,
-    CASE WHEN total = 0 OR top / CAST(total AS DOUBLE) < 0.6 THEN 'balanced' WHEN n_bugfix = top THEN 'bugfix' WHEN n_refactor = top THEN 'refactor' ELSE 'impl' END AS intent FROM s)"""
+  k AS (SELECT *, CASE WHEN total = 0 THEN 'balanced' WHEN n_bugfix = top THEN 'bugfix' WHEN n_refactor = top THEN 'refactor' ELSE 'impl' END AS dominant, CASE WHEN total > 0 THEN top / CAST(total AS DOUBLE) ELSE 0 END AS share FROM s),
+  i AS (SELECT conv_id, turn, n_bugfix, n_refactor, n_impl, round(share, 6) AS dominance, dominant, CASE WHEN share >= 0.6 THEN dominant ELSE 'balanced' END AS intent, signals FROM k)"""
 
 
 @query("intent_profile", _INTENT_SQL + " SELECT * FROM i")
 def intent_profile(spark, d):
-    return t(spark, d, "conversations").select("conv_id", "turn", *X.intent_profile(F.col("text"), WORDS))
+    return _asked(spark, d).select("conv_id", "turn", *X.intent_profile(F.col("text")))
 
 
-@query("traversal_policy", _INTENT_SQL + ", n AS (SELECT *, greatest(n_bugfix + n_refactor + n_impl, 1) AS total FROM i) SELECT conv_id, turn, CASE WHEN intent = 'balanced' THEN 8 ELSE 5 END AS pool, CASE WHEN n_refactor / CAST(total AS DOUBLE) >= 0.5 THEN 3 ELSE 2 END AS depth, (n_bugfix + n_refactor) / CAST(total AS DOUBLE) >= 0.35 AS inbound FROM n")
+@query("traversal_policy", _INTENT_SQL + """ SELECT conv_id, turn, CASE WHEN share >= 0.6 THEN 5 ELSE 8 END AS pool, CASE WHEN share >= 0.6 AND n_refactor >= 0.5 * total THEN 3 ELSE 2 END AS depth,
+  share >= 0.6 AND n_bugfix + n_refactor >= 0.35 * total AS inbound, share >= 0.6 AND n_bugfix + n_refactor >= 0.35 * total AND n_bugfix >= n_refactor AS inbound_first FROM k""")
 def traversal_policy(spark, d):
-    i = intent_profile(spark, d).withColumn("total", F.greatest(F.col("n_bugfix") + F.col("n_refactor") + F.col("n_impl"), F.lit(1)))
-    return i.select("conv_id", "turn", F.when(F.col("intent") == "balanced", 8).otherwise(5).alias("pool"), F.when(F.col("n_refactor") / F.col("total") >= 0.5, 3).otherwise(2).alias("depth"), ((F.col("n_bugfix") + F.col("n_refactor")) / F.col("total") >= 0.35).alias("inbound"))
+    return intent_profile(spark, d).select("conv_id", "turn", *X.traversal_policy(F.col("n_bugfix"), F.col("n_refactor"), F.col("n_impl")))
+
+
+@query("bm25_candidates", _bm25_sql("documents", "doc_id", {"text": 1.0}, ["tion", "heed"], None) + " WHERE doc_id IN (SELECT doc_id FROM labels)")
+def bm25_candidates(spark, d):
+    """Labelled documents alone are scored, by statistics of all."""
+    scored = S.bm25(t(spark, d, "documents"), {"text": 1.0}, ["tion", "heed"], ["doc_id"], candidates=t(spark, d, "labels").select("doc_id"))
+    return scored.select("doc_id", F.round("score", 6).alias("score"))
 
 
 @query("token_estimate", "SELECT doc_id, CAST(ceil(strlen(text) / 4.0) AS BIGINT) AS tokens FROM documents")
@@ -159,17 +170,18 @@ def budget_prefix(spark, d):
     return BR.within_budget(c, "cost", 4000, "doc_id", keys=["source"]).select("source", "doc_id", "cost", "running")
 
 
-@query("context_brief", """WITH c AS (SELECT doc_id, lang, CAST(ceil(strlen(text) / 4.0) AS BIGINT) AS tokens, row_number() OVER (PARTITION BY lang ORDER BY n_chars, doc_id) AS rank FROM documents),
+@query("context_brief", """WITH c AS (SELECT doc_id, lang, n_chars AS rank, CAST(ceil(strlen(text) / 4.0) AS BIGINT) AS tokens FROM documents WHERE lang IN ('en', 'fr', 'de') AND text <> ''),
   s AS (SELECT CASE lang WHEN 'en' THEN 0 WHEN 'fr' THEN 1 ELSE 2 END AS place, CASE lang WHEN 'en' THEN 'pivots' WHEN 'fr' THEN 'skeletons' ELSE 'memory' END AS section, doc_id AS ident, rank, tokens,
-    sum(tokens) OVER (PARTITION BY lang ORDER BY rank, doc_id ROWS UNBOUNDED PRECEDING) AS running FROM c WHERE lang IN ('en', 'fr', 'de'))
-  SELECT place, section, ident, CAST(rank AS INTEGER) AS rank, tokens FROM s WHERE running <= CASE place WHEN 0 THEN 2800 WHEN 1 THEN 800 ELSE 400 END""")
+    sum(tokens) OVER (PARTITION BY lang ORDER BY rank, doc_id ROWS UNBOUNDED PRECEDING) AS running FROM c)
+  SELECT place, section, ident, rank, tokens FROM s WHERE running <= CASE place WHEN 0 THEN 2800 WHEN 1 THEN 800 ELSE 400 END""")
 def context_brief(spark, d):
-    docs = capped(t(spark, d, "documents"), ["lang"], 1_000_000_000, "n_chars", "doc_id").select("lang", F.col("doc_id").alias("ident"), "rank", F.col("text").alias("line"))
+    docs = t(spark, d, "documents").select("lang", F.col("doc_id").alias("ident"), F.col("n_chars").alias("rank"), F.col("text").alias("line"))
     return BR.brief({"pivots": docs.where("lang = 'en'"), "skeletons": docs.where("lang = 'fr'"), "memory": docs.where("lang = 'de'")}, 4000)
 
 
 @query("greedy_notes")
 def greedy_notes(spark, d):
+    """A fold that depends on each step, which SQL cannot express plainly; tested against a loop."""
     rows = t(spark, d, "documents").select("source", F.col("doc_id").alias("ident"), X.token_estimate(F.col("text")).alias("cost"), (F.col("n_chars") % 200).alias("note"))
     return BR.greedy_with_notes(rows, "cost", "note", 6000, "source", "ident")
 
@@ -185,28 +197,54 @@ def federated_interleave(spark, d):
 @query("head_tail", """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents),
   c AS (SELECT *, count(*) OVER (PARTITION BY doc_id) AS n FROM l) SELECT doc_id, pos, md5(line) AS line_md5, greatest(n - 8, 0) AS hidden FROM c WHERE pos <= 5 OR pos > n - 3""")
 def head_tail(spark, d):
-    lines = t(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("p", "line")).select("doc_id", (F.col("p") + 1).cast("long").alias("pos"), "line")
-    return BR.head_and_tail(lines, "doc_id", "pos", 5, 3).select("doc_id", "pos", F.md5("line").alias("line_md5"), "hidden")
+    cut = BR.head_and_tail(t(spark, d, "documents").select("doc_id", "text"), "text", 5, 3)
+    return cut.select("doc_id", "pos", F.md5("line").alias("line_md5"), "hidden")
 
 
-@query("eval_recall_mrr", _POOL_SQL + """k AS (SELECT doc_id, row_number() OVER (ORDER BY raw, doc_id) AS rank FROM r), x AS (SELECT doc_id % 10 AS tag, doc_id FROM labels WHERE quality = 1 AND doc_id < 200),
+@query("eval_recall_mrr", _POOL_SQL + """k AS (SELECT doc_id, row_number() OVER (ORDER BY raw, doc_id) AS rank FROM r), x AS (SELECT doc_id % 10 AS tag, doc_id FROM labels WHERE quality = 1),
   h AS (SELECT tag, avg(CASE WHEN rank <= 20 THEN 1.0 ELSE 0 END) AS recall, coalesce(max(1.0 / rank), 0) AS rr FROM x LEFT JOIN k USING (doc_id) GROUP BY tag) SELECT count(*) AS cases, round(avg(recall), 6) AS recall_at_k, round(avg(rr), 6) AS mrr FROM h""")
 def eval_recall_mrr(spark, d):
-    from pyspark.sql import Window
-
+    """Every good label is expected, in ten cases by its id."""
     pool = S.top_by(S.bm25(t(spark, d, "documents"), {"text": 1.0}, QUERY, ["doc_id"]), "score", "doc_id", 100)
     ranked = pool.withColumn("rank", F.row_number().over(Window.orderBy("score", "doc_id")))
-    expected = t(spark, d, "labels").where("quality = 1 and doc_id < 200").select((F.col("doc_id") % 10).alias("tag"), "doc_id")
+    expected = t(spark, d, "labels").where("quality = 1").select((F.col("doc_id") % 10).alias("tag"), "doc_id")
     return S.retrieval_quality(ranked.join(expected, "doc_id").select("tag", "doc_id", "rank"), expected, "tag", "doc_id", 20)
 
 
-@query("eval_recall_mrr_all", _POOL_SQL + """k AS (SELECT doc_id, row_number() OVER (ORDER BY raw, doc_id) AS rank FROM r), x AS (SELECT doc_id % 10 AS tag, doc_id FROM labels WHERE quality = 1),
-  h AS (SELECT tag, avg(CASE WHEN rank <= 20 THEN 1.0 ELSE 0 END) AS recall, coalesce(max(1.0 / rank), 0) AS rr FROM x LEFT JOIN k USING (doc_id) GROUP BY tag) SELECT count(*) AS cases, round(avg(recall), 6) AS recall_at_k, round(avg(rr), 6) AS mrr FROM h""")
-def eval_recall_mrr_all(spark, d):
-    """Every good label is expected, whatever its id."""
-    from pyspark.sql import Window
+@query("relevance_with_text", """WITH q AS (SELECT obs_id, session_id, created_at, kind, content, confidence, importance, is_stale FROM obs WHERE consolidated_into IS NULL AND kind <> 'context_retrieval' AND file_path IN ('src/f3.rs', 'src/f7.rs') ORDER BY created_at DESC, obs_id DESC LIMIT 50),
+  n AS (SELECT CAST(count(*) AS DOUBLE) AS big, CAST(count(*) FILTER (WHERE content LIKE 'error %') AS DOUBLE) AS d FROM obs),
+  i AS (SELECT CASE WHEN ln((big + 0.5 - d) / (d + 0.5)) <= 0 THEN 0.000001 ELSE ln((big + 0.5 - d) / (d + 0.5)) END AS idf FROM n),
+  r AS (SELECT q.*, CASE WHEN content LIKE 'error %' THEN -idf * 2.2 / 2.2 END AS raw, pow(0.5, (greatest(now - created_at, 0) / 86400.0) / CASE importance WHEN 'critical' THEN 365.0 WHEN 'high' THEN 14.0 WHEN 'medium' THEN 7.0 ELSE 3.5 END) AS recency FROM q CROSS JOIN i CROSS JOIN clock),
+  v AS (SELECT *, coalesce(CASE WHEN min(raw) OVER () < 0 THEN raw / min(raw) OVER () END, 0) AS text FROM r)
+  SELECT obs_id, round(least(greatest(0.35 * text + 0.4 * recency + 0.15 * coalesce(confidence, 0.5) - CASE WHEN is_stale THEN 0.3 ELSE 0 END, 0), 1), 6) AS relevance FROM v""")
+def relevance_with_text(spark, d):
+    """Observations of two files for a question: BM25 over all observations, as a share of the best here."""
+    o = obs(spark, d)
+    raw = S.bm25(o, {"content": 1.0}, ["error"], ["obs_id"])
+    files = spark.sql("SELECT * FROM VALUES ('src/f3.rs'), ('src/f7.rs') AS t(path)")
+    return M.scored_for_context(o, spark.sql("SELECT '' AS fqn WHERE false"), files, F.lit(now_of(spark, d)), raw).select("obs_id", F.round("relevance", 6).alias("relevance"))
 
-    pool = S.top_by(S.bm25(t(spark, d, "documents"), {"text": 1.0}, QUERY, ["doc_id"]), "score", "doc_id", 100)
-    ranked = pool.withColumn("rank", F.row_number().over(Window.orderBy("score", "doc_id")))
-    expected = t(spark, d, "labels").where("quality = 1").select((F.col("doc_id") % 10).alias("tag"), "doc_id")
-    return S.retrieval_quality(ranked.join(expected, "doc_id").select("tag", "doc_id", "rank"), expected, "tag", "doc_id", 20)
+
+@query("project_overlap", """WITH w AS (SELECT obs_id, list_distinct(list_filter(string_split(content || CASE WHEN obs_id % 2 = 0 THEN ' find' ELSE '' END, ' '), lambda x: strlen(x) >= 3)) AS words, symbol_fqn, file_path, kind, consolidated_into FROM obs)
+  SELECT obs_id, CAST(len(list_filter(words, lambda x: x IN ('purchase', 'signup', 'find'))) AS INTEGER) AS shared FROM w WHERE symbol_fqn IS NULL AND file_path IS NULL AND kind <> 'context_retrieval' AND len(list_filter(words, lambda x: x IN ('purchase', 'signup', 'find'))) >= 2""")
+def project_overlap(spark, d):
+    o = obs(spark, d).withColumn("content", F.concat("content", F.when(F.col("obs_id") % 2 == 0, F.lit(" find")).otherwise(F.lit(""))))
+    bag = F.transform(S.commonest_tokens(S.content_words(F.col("content")), S.STOP_WORDS), lambda w: w["token"])
+    return M.project_overlap(o, bag, ["purchase", "signup", "find"]).select("obs_id", "shared")
+
+
+@query("embedding_backfill", "SELECT obs_id FROM obs WHERE NOT is_stale AND kind NOT IN ('tool_call', 'file_change', 'context_retrieval') AND consolidated_into IS NULL AND obs_id NOT IN (SELECT vec_id FROM embeddings WHERE label % 2 = 0)")
+def embedding_backfill(spark, d):
+    """Observations worth a vector that have none of this model and revision."""
+    model = E.ByteHashEmbedder()
+    stored = t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.lit(model.model_id).alias("model_id"), F.when(F.col("label") % 2 == 0, model.model_rev).otherwise("0").alias("model_rev"), "embedding")
+    return E.unembedded_observations(obs(spark, d), stored, model).select("obs_id")
+
+
+@query("semantic_scores", "WITH q AS (SELECT embedding AS v FROM embeddings WHERE vec_id = 0) SELECT vec_id, round((list_cosine_similarity(CAST(embedding AS DOUBLE[]), CAST(v AS DOUBLE[])) + 1) / 2, 6) AS score FROM embeddings CROSS JOIN q WHERE vec_id IN (SELECT doc_id FROM labels)")
+def semantic_scores(spark, d):
+    """Cosines of stored vectors of some ids, as scores from 0 to 1."""
+    e = t(spark, d, "embeddings")
+    own = e.join(t(spark, d, "labels").select(F.col("doc_id").alias("vec_id")), "vec_id", "left_semi")
+    near = S.cosine_to(own.select("vec_id", "embedding"), "embedding", e.where("vec_id = 0").select(F.col("embedding").alias("q")))
+    return near.select("vec_id", F.round((F.col("similarity") + 1) / 2, 6).alias("score"))

@@ -8,7 +8,11 @@ from lodestone.functions import text as X
 from lodestone.operators import logs as L
 from lodestone.operators import memory as M
 from lodestone.operators import mining as MI
+from lodestone.operators import staleness as SA
+from lodestone.operators import structure as ST
+from lodestone.operators.prefix import percentiles
 from lodestone.operators.structure import capped, first_by
+from lodestone.plans.structures import CHANGES_SQL, part_snapshots, snapshots_sql
 from lodestone.plans.views import ORDER, PART, edges, events, now_of, obs, query, sessions, t
 
 LIVE = "consolidated_into IS NULL AND kind <> 'context_retrieval'"
@@ -57,12 +61,12 @@ def confidence_window(spark, d):
     return M.correlated_confidence(obs(spark, d), 7200).select("obs_id", F.round("confidence", 6).alias("confidence"))
 
 
-_H = "consolidated_into IS NULL AND kind <> 'context_retrieval'"
-_HEALTH = f"""h AS (SELECT count(*) FILTER (WHERE {_H}) AS total, count(*) FILTER (WHERE {_H} AND is_stale) AS stale, count(*) FILTER (WHERE {_H} AND auto_generated) AS automatic,
-  count(*) FILTER (WHERE consolidated_into IS NULL AND kind IN ('tool_call', 'file_change', 'context_retrieval')) AS noise, count(*) FILTER (WHERE {_H} AND confidence IS NULL) AS unrated, count(*) FILTER (WHERE {_H} AND confidence < 0.5) AS low_confidence,
-  count(*) FILTER (WHERE {_H} AND importance = 'critical') AS critical, count(*) FILTER (WHERE {_H} AND importance = 'high') AS high, count(*) FILTER (WHERE {_H} AND importance = 'medium') AS medium, count(*) FILTER (WHERE {_H} AND importance = 'low') AS low,
-  count(*) FILTER (WHERE {_H} AND symbol_fqn IS NULL AND file_path IS NULL) AS project_scoped, min(created_at) FILTER (WHERE {_H}) AS oldest, min(created_at) FILTER (WHERE {_H} AND NOT is_stale) AS oldest_fresh, max(created_at) FILTER (WHERE {_H}) AS newest,
-  CAST(floor((max(now) - max(created_at) FILTER (WHERE {_H})) / 86400) AS BIGINT) AS idle_days FROM obs CROSS JOIN clock)"""
+_S = "kind <> 'context_retrieval'"
+_HEALTH = f"""h AS (SELECT count(*) FILTER (WHERE {_S}) AS total, count(*) FILTER (WHERE {_S} AND is_stale) AS stale, count(*) FILTER (WHERE NOT {_S}) AS retrievals, count(*) FILTER (WHERE kind IN ('tool_call', 'file_change', 'context_retrieval')) AS noise,
+  count(*) FILTER (WHERE {_S} AND importance = 'critical') AS critical, count(*) FILTER (WHERE {_S} AND importance = 'high') AS high, count(*) FILTER (WHERE {_S} AND importance = 'medium') AS medium, count(*) FILTER (WHERE {_S} AND importance = 'low') AS low,
+  count(*) FILTER (WHERE {_S} AND symbol_fqn IS NOT NULL AND file_path IS NULL) AS symbol_only, count(*) FILTER (WHERE {_S} AND symbol_fqn IS NULL AND file_path IS NOT NULL) AS file_only, count(*) FILTER (WHERE {_S} AND symbol_fqn IS NOT NULL AND file_path IS NOT NULL) AS both_anchors, count(*) FILTER (WHERE {_S} AND symbol_fqn IS NULL AND file_path IS NULL) AS project_scoped,
+  CAST(floor((max(now) - min(created_at) FILTER (WHERE {_S})) / 86400) AS BIGINT) AS oldest_days, CAST(floor((max(now) - min(created_at) FILTER (WHERE {_S} AND NOT is_stale)) / 86400) AS BIGINT) AS oldest_fresh_days,
+  count(*) FILTER (WHERE {_S} AND created_at >= now - 7 * 86400) > 0 AS recent, count(*) FILTER (WHERE kind IN ('insight', 'decision') AND created_at >= now - 7 * 86400) AS recent_insights FROM obs CROSS JOIN clock WHERE consolidated_into IS NULL)"""
 
 
 @query("memory_health", f"WITH {_HEALTH} SELECT * FROM h")
@@ -70,9 +74,26 @@ def memory_health(spark, d):
     return M.health(obs(spark, d), F.lit(now_of(spark, d)))
 
 
-@query("recommendations", f"WITH {_HEALTH} SELECT total, stale, noise, concat_ws('; ', CASE WHEN stale / CAST(greatest(total, 1) AS DOUBLE) > 0.3 THEN 'review stale observations' END, CASE WHEN unrated / CAST(greatest(total, 1) AS DOUBLE) > 0.2 THEN 'rate observations' END, CASE WHEN noise / CAST(greatest(total, 1) AS DOUBLE) > 0.5 THEN 'too much noise' END, CASE WHEN idle_days > 7 THEN 'no recent activity' END) AS advice FROM h")
+_RULES = "ru AS (SELECT p_partkey AS rule_id, CASE p_partkey % 3 WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE -1 END AS is_active, CASE WHEN p_partkey % 2 = 0 THEN 'main' END AS branch FROM part)"
+
+
+def _rules(spark, d):
+    k = F.col("p_partkey")
+    state = F.when(k % 3 == 0, 0).when(k % 3 == 1, 1).otherwise(-1)
+    return t(spark, d, "part").select(k.alias("rule_id"), state.alias("is_active"), F.when(k % 2 == 0, "main").alias("branch"), F.lit(None).cast("string").alias("stale_reason"), F.lit(0).cast("long").alias("updated_at"))
+
+
+@query("rule_states", f"WITH {_RULES} SELECT count(*) FILTER (WHERE is_active = 1) AS rules_active, count(*) FILTER (WHERE is_active = 0) AS rules_pending, count(*) FILTER (WHERE is_active = -1) AS rules_stale FROM ru")
+def rule_states(spark, d):
+    return M.rule_states(_rules(spark, d))
+
+
+@query("recommendations", f"""WITH {_HEALTH}, {_RULES}, x AS (SELECT *, stale / CAST(total AS DOUBLE) AS s, low / CAST(total AS DOUBLE) AS l, noise / CAST(total AS DOUBLE) AS n, (SELECT count(*) FROM ru WHERE is_active = -1) AS rs FROM h)
+  SELECT total, stale, noise, concat_ws('; ', CASE WHEN s > 0.5 THEN CAST(round_even(s * 100, 0) AS INTEGER) || '% of observations are stale — consider reviewing outdated entries' END, CASE WHEN l > 0.7 THEN 'Over 70% of observations are low-importance — retention may need tuning' END,
+    CASE WHEN n > 0.6 THEN 'Over 60% of observations are compression-eligible (tool_call, file_change, context_retrieval) — compression may be overdue' END, CASE WHEN recent AND recent_insights = 0 THEN 'No insights or decisions recorded in 7 days despite recent activity' END, CASE WHEN rs > 0 THEN rs || ' stale rule(s) detected — linked symbols may have changed' END) AS advice FROM x""")
 def recommendations(spark, d):
-    return M.recommendations(memory_health(spark, d))
+    row = memory_health(spark, d).crossJoin(F.broadcast(rule_states(spark, d)))
+    return M.recommendations(row).select("total", "stale", "noise", F.array_join("advice", "; ").alias("advice"))
 
 
 @query("kind_counts", f"SELECT kind, importance, count(*) AS n FROM obs WHERE {LIVE} GROUP BY kind, importance")
@@ -106,14 +127,44 @@ def purge_sessions(spark, d):
     return M.purgeable_sessions(sessions(spark, d), marked, F.lit(now_of(spark, d)), 7200).select("session_id")
 
 
-@query("dead_ends", "SELECT session_id, content, count(*) AS n FROM obs WHERE kind = 'tool_call' AND session_id NOT IN (SELECT session_id FROM obs WHERE kind = 'decision' AND k > 90) GROUP BY session_id, content HAVING count(*) >= 2")
+#: Sessions of a user and two hours, so that some are unproductive.
+_SHORT = "so AS (SELECT *, session_id * 100000 + created_at // 7200 % 100000 AS sid, CASE WHEN kind = 'context_retrieval' THEN 'view' ELSE content END AS c FROM obs)"
+
+
+def _short_sessions(spark, d):
+    sid = F.col("session_id") * 100000 + F.expr("created_at div 7200") % 100000
+    return obs(spark, d).withColumn("session_id", sid).withColumn("content", F.when(F.col("kind") == "context_retrieval", "view").otherwise(F.col("content")))
+
+
+_DEAD = f"{_SHORT}, de AS (SELECT sid AS session_id, c AS content, count(*) AS n FROM so WHERE kind = 'context_retrieval' AND auto_generated AND sid NOT IN (SELECT sid FROM so WHERE kind IN ('insight', 'decision', 'file_change')) GROUP BY ALL HAVING count(*) >= 2)"
+
+
+@query("dead_ends", f"WITH {_DEAD} SELECT * FROM de")
 def dead_ends(spark, d):
-    o = obs(spark, d)
-    marked = o.withColumn("kind", F.when((F.col("kind") == "decision") & (F.split("content", " ")[1].cast("int") > 90), "redeeming").otherwise(F.col("kind")))
-    return M.dead_ends(marked, "tool_call", 2, ("redeeming",))
+    return M.dead_ends(_short_sessions(spark, d))
 
 
-_BUCKETS = "b AS (SELECT session_id, file_path, created_at // 86400 AS bucket, count(*) AS n FROM obs WHERE kind = 'file_change' AND file_path IS NOT NULL GROUP BY ALL HAVING count(*) >= 2)"
+@query("anti_patterns", f"""WITH {_DEAD}, th AS (SELECT sid, file_path, created_at // 300 AS b, count(*) AS n FROM so WHERE kind = 'file_change' AND auto_generated AND file_path IS NOT NULL GROUP BY ALL HAVING count(*) >= 4)
+  SELECT session_id, CAST(NULL AS VARCHAR) AS file_path, 'Dead-end exploration: same context retrieved multiple times without producing insight, decision, or file changes. Repeated: ' || string_agg(content || ' (×' || n || ')', ', ' ORDER BY content) AS content, 'medium' AS importance FROM de GROUP BY session_id
+  UNION ALL SELECT sid, file_path, 'File thrashing detected: ' || file_path || ' modified ' || max(n) || ' times in 5 minutes', 'medium' FROM th GROUP BY sid, file_path""")
+def anti_patterns(spark, d):
+    o = _short_sessions(spark, d)
+    return M.anti_patterns(o, o.select("session_id").distinct(), F.lit(now_of(spark, d))).select("session_id", "file_path", "content", "importance")
+
+
+@query("session_end", f"""WITH {_DEAD}, op AS (SELECT DISTINCT sid FROM so WHERE sid % 2 = 0), k AS (SELECT kind FROM so WHERE sid % 2 <> 0 OR kind NOT IN ('tool_call', 'file_change', 'context_retrieval') OR importance IN ('critical', 'high')
+    UNION ALL SELECT 'anti_pattern' FROM (SELECT DISTINCT session_id FROM de WHERE session_id % 2 = 0)
+    UNION ALL SELECT 'anti_pattern' FROM (SELECT DISTINCT sid, file_path FROM (SELECT sid, file_path, created_at // 300 AS b FROM so WHERE sid % 2 = 0 AND kind = 'file_change' AND auto_generated AND file_path IS NOT NULL GROUP BY ALL HAVING count(*) >= 4)))
+  SELECT kind, count(*) AS n FROM k GROUP BY kind""")
+def session_end(spark, d):
+    """Observations by kind once every second session is over: anti-patterns written, ephemeral ones gone."""
+    o = _short_sessions(spark, d)
+    every = o.groupBy("session_id").agg(F.min("created_at").alias("started_at"), F.lit(None).cast("long").alias("ended_at")).withColumn("compressed", F.lit(False))
+    kept, _ = M.session_end(o, every, every.where("session_id % 2 = 0"), F.lit(now_of(spark, d)))
+    return kept.groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+_BUCKETS = "b AS (SELECT session_id, file_path, created_at // 86400 AS bucket, count(*) AS n FROM obs WHERE kind = 'file_change' AND auto_generated AND file_path IS NOT NULL GROUP BY ALL HAVING count(*) >= 2)"
 
 
 @query("file_thrashing", f"WITH {_BUCKETS} SELECT session_id, file_path, max(n) AS n FROM b GROUP BY session_id, file_path")
@@ -131,53 +182,68 @@ def recent_files(spark, d):
     return M.recent_files(obs(spark, d))
 
 
-_LINKS = "l AS (SELECT DISTINCT a.file_path AS file_path, b.file_path AS dependent FROM obs a JOIN obs b ON a.k = b.k + 1 AND a.file_path <> b.file_path WHERE a.k % 20 < 8)"
-
-
-@query("blast_radius", f"WITH {_LINKS}, d AS (SELECT file_path, count(*) AS n, array_to_string(list_sort(list(dependent))[1:3], ',') AS shown FROM l GROUP BY file_path HAVING count(*) >= 3), r AS (SELECT session_id, file_path, row_number() OVER (PARTITION BY session_id ORDER BY max(created_at) DESC, file_path) AS rank FROM obs WHERE kind = 'file_change' AND file_path IS NOT NULL GROUP BY session_id, file_path) SELECT session_id, r.file_path, n, shown FROM r JOIN d ON d.file_path = r.file_path WHERE rank <= 5 QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY rank) = 1")
-def blast_radius(spark, d):
-    o = obs(spark, d).withColumn("k", F.split("content", " ")[1].cast("long")).where("file_path is not null").select("k", "file_path").distinct()
-    links = o.where("k % 20 < 8").join(o.select((F.col("k") + 1).alias("k"), F.col("file_path").alias("dependent")), "k").where("file_path <> dependent").select("file_path", "dependent").distinct()
-    many = links.groupBy("file_path").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.slice(F.array_sort(F.collect_list("dependent")), 1, 3), ",").alias("shown")).where("n >= 3")
-    return first_by(M.recent_files(obs(spark, d)).join(many, "file_path"), ["session_id"], "rank").select("session_id", "file_path", "n", "shown")
-
-
 #: Files of an edge's ends as ``obs`` names them: a part is a symbol of one of twenty files, an order is a file of its own.
 _DEPENDENTS = f"l AS (SELECT DISTINCT 'src/f' || ((target - {PART}) % 20) || '.rs' AS file_path, 'src/o' || (source - {ORDER}) || '.rs' AS dependent FROM edges WHERE kind = 'uses_type')"
+_RADIUS = f"""{_DEPENDENTS}, p AS (SELECT *, count(*) OVER (PARTITION BY file_path) AS n, row_number() OVER (PARTITION BY file_path ORDER BY dependent) AS place FROM l), d AS (SELECT file_path, n, string_agg(dependent, ', ' ORDER BY dependent) AS shown FROM p WHERE place <= 3 AND n >= 3 GROUP BY file_path, n),
+  r AS (SELECT session_id, file_path, row_number() OVER (PARTITION BY session_id ORDER BY max(created_at) DESC, file_path) AS rank FROM obs WHERE kind = 'file_change' AND auto_generated AND file_path IS NOT NULL GROUP BY session_id, file_path),
+  br AS (SELECT session_id, r.file_path, n, shown FROM r JOIN d ON d.file_path = r.file_path WHERE rank <= 5 QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY rank) = 1)"""
 
 
-@query("blast_radius_edges", f"WITH {_DEPENDENTS}, p AS (SELECT *, count(*) OVER (PARTITION BY file_path) AS n, row_number() OVER (PARTITION BY file_path ORDER BY dependent) AS place FROM l), d AS (SELECT file_path, n, string_agg(dependent, ',' ORDER BY dependent) AS shown FROM p WHERE place <= 3 AND n >= 3 GROUP BY file_path, n), r AS (SELECT session_id, file_path, row_number() OVER (PARTITION BY session_id ORDER BY max(created_at) DESC, file_path) AS rank FROM obs WHERE kind = 'file_change' AND file_path IS NOT NULL GROUP BY session_id, file_path) SELECT session_id, r.file_path, n, shown FROM r JOIN d ON d.file_path = r.file_path WHERE rank <= 5 QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY rank) = 1")
-def blast_radius_edges(spark, d):
-    """Blast radius over the edges table; the first three dependents are taken before any list is built."""
+@query("blast_radius", f"WITH {_RADIUS} SELECT * FROM br")
+def blast_radius(spark, d):
+    """Of a session's latest files the first that at least three others depend on, and the first three of those."""
     file = lambda name, key: F.concat(F.lit(f"src/{name}"), key.cast("string"), F.lit(".rs"))
-    links = edges(spark, d).where("kind = 'uses_type'").select(file("f", (F.col("target") - F.lit(PART)) % 20).alias("file_path"), file("o", F.col("source") - F.lit(ORDER)).alias("dependent")).distinct()
-    many = links.groupBy("file_path").agg(F.count(F.lit(1)).alias("n")).where("n >= 3")
-    shown = capped(links, ["file_path"], 3, "dependent").groupBy("file_path").agg(F.array_join(F.array_sort(F.collect_list("dependent")), ",").alias("shown"))
-    return first_by(M.recent_files(obs(spark, d)).join(many.join(shown, "file_path"), "file_path"), ["session_id"], "rank").select("session_id", "file_path", "n", "shown")
+    links = edges(spark, d).where("kind = 'uses_type'").select(file("f", (F.col("target") - F.lit(PART)) % 20).alias("file_path"), file("o", F.col("source") - F.lit(ORDER)).alias("dependent"))
+    return M.blast_radius(M.recent_files(obs(spark, d)), links)
 
 
-_COMMAND = "CASE event_id % 4 WHEN 0 THEN 'grep -rn needle' || k || ' .' WHEN 1 THEN 'rg pattern' || k WHEN 2 THEN 'rg thing src/dir' || k ELSE 'cargo build | head' END"
+#: A command for each event, in seven forms; the first two and the last search the whole tree.
+_COMMAND = "CASE event_id % 7 WHEN 0 THEN 'grep -rn needle' || k || ' .' WHEN 1 THEN 'rg some_pattern' || k WHEN 2 THEN 'rg thing' || k || ' src/dir' WHEN 3 THEN 'cargo build | grep -r x' || k WHEN 4 THEN 'rg --files thing' || k WHEN 5 THEN 'rg thing' || k || ' main.rs' ELSE 'grep needle' || k || ' src/a.rs | sort -r' END"
 
 
 def _commands(spark, d):
-    m, k = F.col("event_id") % 4, F.col("k").cast("string")
-    return events(spark, d).select("event_id", F.col("user_id").alias("session_id"), F.when(m == 0, F.concat(F.lit("grep -rn needle"), k, F.lit(" ."))).when(m == 1, F.concat(F.lit("rg pattern"), k)).when(m == 2, F.concat(F.lit("rg thing src/dir"), k)).otherwise("cargo build | head").alias("command"))
+    m, k = F.col("event_id") % 7, F.col("k").cast("string")
+    c = lambda *parts: F.concat(*[x if not isinstance(x, str) else F.lit(x) for x in parts])
+    forms = [c("grep -rn needle", k, " ."), c("rg some_pattern", k), c("rg thing", k, " src/dir"), c("cargo build | grep -r x", k), c("rg --files thing", k), c("rg thing", k, " main.rs"), c("grep needle", k, " src/a.rs | sort -r")]
+    out = F.when(m == 0, forms[0])
+    for j, form in enumerate(forms[1:], 1):
+        out = out.when(m == j, form)
+    return events(spark, d).select("event_id", F.col("user_id").alias("session_id"), out.alias("command"))
 
 
-@query("broad_search", f"WITH c AS (SELECT event_id, user_id AS session_id, {_COMMAND} AS command FROM ev), r AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY event_id DESC) AS r, (event_id % 4 = 0 AND strlen(command) >= 15) OR (event_id % 4 = 1 AND strlen(command) >= 15) AS broad FROM c) SELECT session_id, count(*) FILTER (WHERE broad) AS hits FROM r WHERE r <= 10 GROUP BY session_id HAVING count(*) FILTER (WHERE broad) >= 3")
-def broad_search(spark, d):
-    from lodestone.operators.structure import capped
+_BROAD = f"c AS (SELECT event_id, user_id AS session_id, {_COMMAND} AS command FROM ev), cr AS (SELECT *, row_number() OVER (PARTITION BY session_id ORDER BY event_id DESC) AS r, event_id % 7 IN (0, 1, 6) AS broad FROM c), bs AS (SELECT session_id, count(*) FILTER (WHERE broad) AS hits FROM cr WHERE r <= 10 GROUP BY session_id HAVING count(*) FILTER (WHERE broad) >= 3)"
+
 
+@query("broad_search", f"WITH {_BROAD} SELECT * FROM bs")
+def broad_search(spark, d):
     last = capped(_commands(spark, d), ["session_id"], 10, F.col("event_id").desc())
     return last.where(L.is_broad_search(F.col("command"))).groupBy("session_id").agg(F.count(F.lit(1)).alias("hits")).where("hits >= 3")
 
 
+@query("command_classes", f"SELECT event_id, {_COMMAND} AS command, event_id % 7 IN (0, 1, 6) AS broad FROM ev")
+def command_classes(spark, d):
+    return _commands(spark, d).select("event_id", "command", L.is_broad_search(F.col("command")).alias("broad"))
+
+
+@query("nudges", f"""WITH {_BROAD}, {_RADIUS}, {_BUCKETS}, st AS (SELECT session_id, file_path FROM b QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY bucket DESC, n DESC, file_path) = 1),
+  op AS (SELECT session_id FROM sess WHERE session_id % 5 <> 0 AND session_id NOT IN (SELECT session_id FROM obs WHERE kind IN ('insight', 'decision', 'error') AND k < 10)),
+  j AS (SELECT op.session_id, hits, br.file_path AS f, br.n AS n, shown, st.file_path AS s FROM op LEFT JOIN bs ON bs.session_id = op.session_id AND op.session_id % 2 = 0 LEFT JOIN br ON br.session_id = op.session_id AND op.session_id % 3 = 0 LEFT JOIN st ON st.session_id = op.session_id)
+  SELECT session_id, CASE WHEN hits IS NOT NULL THEN 'search' WHEN f IS NOT NULL THEN 'blast_radius' ELSE 'struggle' END AS nudge,
+    CASE WHEN hits IS NOT NULL THEN 'repo-wide search used ' || hits || ' times' WHEN f IS NOT NULL THEN '`' || f || '` has ' || n || ' downstream dependents. Verify: ' || shown ELSE 'Multiple edits to `' || s || '` in the last 5 minutes without saving an insight' END AS text
+  FROM j WHERE coalesce(CAST(hits AS VARCHAR), f, s) IS NOT NULL""")
+def nudges(spark, d):
+    """One nudge a session by priority; a fifth were nudged before, and few observations count as valuable here."""
+    every = sessions(spark, d).withColumn("nudge_sent", F.col("session_id") % 5 == 0)
+    o = obs(spark, d).withColumn("k", F.split("content", " ")[1].cast("int"))
+    return M.nudges(every, o.where("k < 10"), broad_search(spark, d).where("session_id % 2 = 0"), blast_radius(spark, d).where("session_id % 3 = 0"), M.struggle(obs(spark, d), 86400, 2).select("session_id", "file_path"))
+
+
 @query("activity_tail", "SELECT event_id, event_type FROM ev WHERE event_id > 100 AND is_error ORDER BY event_id LIMIT 50")
 def activity_tail(spark, d):
     return L.events_after(events(spark, d), 100, 50, errors_only=True).select("event_id", "event_type")
 
 
-@query("activity_last", "SELECT event_id, event_type FROM ev ORDER BY event_id DESC LIMIT 25")
+@query("activity_last", "SELECT event_id, event_type FROM (SELECT * FROM ev ORDER BY event_id DESC LIMIT 25)")
 def activity_last(spark, d):
     return L.tail(events(spark, d), 25).select("event_id", "event_type")
 
@@ -187,31 +253,48 @@ def activity_retention(spark, d):
     return L.retained(events(spark, d), F.lit(now_of(spark, d)), 86400).select("event_id")
 
 
-@query("relative_age", "SELECT event_id, CASE WHEN s < 60 THEN 'just now' WHEN s < 3600 THEN (s // 60) || ' minutes ago' WHEN s < 86400 THEN (s // 3600) || ' hours ago' ELSE (s // 86400) || ' days ago' END AS age FROM (SELECT event_id, now - created_at AS s FROM ev CROSS JOIN clock)")
+@query("relative_age", "SELECT event_id, CASE WHEN s < 60 THEN s || ' seconds ago' WHEN s < 3600 THEN (s // 60) || ' minutes ago' WHEN s < 86400 THEN (s // 3600) || ' hours ago' ELSE (s // 86400) || ' days ago' END AS age FROM (SELECT event_id, now - created_at AS s FROM ev CROSS JOIN clock)")
 def relative_age(spark, d):
     return events(spark, d).select("event_id", X.relative_age(F.lit(now_of(spark, d)) - F.col("created_at")).alias("age"))
 
 
-@query("hook_events", """SELECT event_id, user_id AS session_id, CASE event_type WHEN 'error' THEN 'file_change' ELSE 'tool_call' END AS kind, CASE event_type WHEN 'error' THEN 'src/f' || k || '.rs' ELSE 'make test-' || k END AS content FROM ev WHERE event_type IN ('error', 'click')""")
+@query("clock_texts", "SELECT event_id, strftime(to_timestamp(created_at) AT TIME ZONE 'UTC', '%Y-%m-%d %H:%M UTC') AS minute, strftime(to_timestamp(created_at) AT TIME ZONE 'UTC', '%H:%M:%S') AS clock, CASE WHEN s < 3600 THEN (s // 60) || 'm ago' WHEN s < 86400 THEN (s // 3600) || 'h ago' ELSE (s // 86400) || 'd ago' END AS label FROM (SELECT event_id, created_at, now - created_at AS s FROM ev CROSS JOIN clock)")
+def clock_texts(spark, d):
+    at = F.col("created_at")
+    return events(spark, d).select("event_id", X.utc_minute(at).alias("minute"), X.clock_time(at).alias("clock"), X.age_label(F.lit(now_of(spark, d)) - at).alias("label"))
+
+
+@query("hook_events", """SELECT event_id, user_id AS session_id, CASE event_type WHEN 'click' THEN 'tool_call' ELSE 'file_change' END AS kind, CASE WHEN event_type <> 'click' THEN 'src/f' || k || '.rs' END AS file_path,
+  CASE event_type WHEN 'error' THEN 'Edited src/f' || k || '.rs: replaced ' || strlen('old' || k) || ' chars' WHEN 'signup' THEN 'Wrote src/f' || k || '.rs: ' || strlen('né' || k) || ' bytes' ELSE 'Ran command: ' || left('make test-' || k || repeat('x', 200), 120) END AS content FROM ev WHERE event_type IN ('error', 'click', 'signup')""")
 def hook_events(spark, d):
-    e = events(spark, d)
-    tool = F.when(F.col("event_type") == "error", "Edit").when(F.col("event_type") == "click", "Bash").otherwise("Read")
-    arg = F.when(F.col("event_type") == "error", F.to_json(F.struct(F.concat(F.lit("src/f"), F.col("k").cast("string"), F.lit(".rs")).alias("file_path")))).otherwise(F.to_json(F.struct(F.concat(F.lit("make test-"), F.col("k").cast("string")).alias("command"))))
+    e, k = events(spark, d), F.col("k").cast("string")
+    tool = F.when(F.col("event_type") == "error", "Edit").when(F.col("event_type") == "click", "Bash").when(F.col("event_type") == "signup", "Write").otherwise("Read")
+    path = F.concat(F.lit("/w/src/f"), k, F.lit(".rs")).alias("file_path")
+    arg = F.when(F.col("event_type") == "error", F.to_json(F.struct(path, F.concat(F.lit("old"), k).alias("old_string")))).when(F.col("event_type") == "signup", F.to_json(F.struct(path, F.concat(F.lit("né"), k).alias("content")))).otherwise(F.to_json(F.struct(F.concat(F.lit("make test-"), k, F.repeat(F.lit("x"), 200)).alias("command"))))
     lines = e.select(F.to_json(F.struct(F.concat(F.col("event_id").cast("string"), F.lit("/"), F.col("user_id").cast("string")).alias("session_id"), F.lit("/w").alias("cwd"), tool.alias("tool_name"), arg.alias("tool_input"))).alias("value"))
     found = L.hook_observations(L.parsed_hooks(lines))
-    return found.select(F.split("session_id", "/")[0].cast("long").alias("event_id"), F.split("session_id", "/")[1].cast("long").alias("session_id"), "kind", "content")
+    return found.select(F.split("session_id", "/")[0].cast("long").alias("event_id"), F.split("session_id", "/")[1].cast("long").alias("session_id"), "kind", "file_path", "content")
+
+
+@query("tool_summaries", """SELECT event_id, CASE WHEN event_type = 'click' THEN 'get_brief(intent=look at ' || k || ', budget=' || (k + 100) || ')' WHEN event_type = 'view' THEN 'get_file_skeleton(file=' || CASE WHEN k % 2 = 0 THEN '<redacted>' ELSE 'src/f' || k || '.rs' END || ')' WHEN event_type = 'purchase' THEN 'save_observation(kind=insight)' WHEN event_type = 'signup' THEN 'index_status' ELSE 'analyze_failure(<trace>)' END || CASE WHEN event_type <> 'error' THEN ' → ' || k || ' chars' ELSE '' END AS summary FROM ev""")
+def tool_summaries(spark, d):
+    k, kind = F.col("k").cast("string"), F.col("event_type")
+    tool = F.when(kind == "click", "get_brief").when(kind == "view", "get_file_skeleton").when(kind == "purchase", "save_observation").when(kind == "signup", "index_status").otherwise("analyze_failure")
+    file = F.when(F.col("k") % 2 == 0, F.concat(F.lit("src/"), k, F.lit("/.env"))).otherwise(F.concat(F.lit("src/f"), k, F.lit(".rs")))
+    args = F.when(kind == "click", F.to_json(F.struct(F.concat(F.lit("look at "), k).alias("intent"), (F.col("k") + 100).alias("token_budget")))).when(kind == "view", F.to_json(F.struct(file.alias("file_path")))).when(kind == "purchase", F.lit('{"kind": "insight"}'))
+    return events(spark, d).select("event_id", L.tool_summary(tool, args, F.when(kind != "error", F.col("k"))).alias("summary"))
 
 
-@query("near_duplicates", """WITH c AS (SELECT doc_id, source, token, count(*) AS n FROM (SELECT doc_id, source, unnest(words) AS token FROM dt) WHERE strlen(token) >= 3 GROUP BY ALL),
+@query("near_duplicates", """WITH c AS (SELECT doc_id, source, token, count(*) AS n FROM (SELECT doc_id, source, unnest(words) AS token FROM dt) GROUP BY ALL),
   b AS (SELECT doc_id, source, token FROM c QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, token) <= 8), z AS (SELECT doc_id, count(*) AS n FROM b GROUP BY doc_id),
   p AS (SELECT x.source, x.doc_id AS a, y.doc_id AS b, count(*) AS i FROM b x JOIN b y ON x.source = y.source AND x.token = y.token AND x.doc_id < y.doc_id GROUP BY ALL)
   SELECT p.source, p.a, p.b, round(i / CAST(u.n + v.n - i AS DOUBLE), 6) AS jaccard FROM p JOIN z u ON u.doc_id = p.a JOIN z v ON v.doc_id = p.b WHERE i / CAST(u.n + v.n - i AS DOUBLE) >= 0.6""")
 def near_duplicates(spark, d):
-    bags = MI.bags(t(spark, d, "documents"), "source", "doc_id", "text", [])
+    bags = MI.bags(t(spark, d, "documents"), "source", "doc_id", "text")
     return MI.similar_pairs(bags, "source", "doc_id", "bag", 0.6).select("source", "a", "b", F.round("jaccard", 6).alias("jaccard"))
 
 
-_CLUSTERS = """WITH RECURSIVE c AS (SELECT doc_id, source, token, count(*) AS n FROM (SELECT doc_id, source, unnest(words) AS token FROM dt) WHERE strlen(token) >= 3 GROUP BY ALL),
+_CLUSTERS = """WITH RECURSIVE c AS (SELECT doc_id, source, token, count(*) AS n FROM (SELECT doc_id, source, unnest(words) AS token FROM dt) GROUP BY ALL),
   b AS (SELECT doc_id, source, token FROM c QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, token) <= 8), z AS (SELECT doc_id, count(*) AS n FROM b GROUP BY doc_id),
   p AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS i FROM b x JOIN b y ON x.source = y.source AND x.token = y.token AND x.doc_id <> y.doc_id GROUP BY ALL),
   l AS (SELECT p.a, p.b FROM p JOIN z u ON u.doc_id = p.a JOIN z v ON v.doc_id = p.b WHERE i / CAST(u.n + v.n - i AS DOUBLE) >= 0.6),
@@ -223,38 +306,23 @@ _CLUSTERS = """WITH RECURSIVE c AS (SELECT doc_id, source, token, count(*) AS n
   SELECT doc_id, survivor, n, CASE WHEN doc_id <> survivor THEN survivor END AS consolidated_into FROM s""")
 def consolidate(spark, d):
     docs = t(spark, d, "documents")
-    found = MI.clusters(MI.bags(docs, "source", "doc_id", "text", []), "source", "doc_id", "bag", 0.6)
+    found = MI.clusters(MI.bags(docs, "source", "doc_id", "text"), "source", "doc_id", "bag", 0.6)
     return MI.survivors(docs.select("doc_id", F.lit(None).cast("double").alias("confidence"), F.col("n_chars").alias("created_at")), found, "doc_id")
 
 
 @query("rule_candidates")
 def rule_candidates(spark, d):
+    """Several passes over clusters; tested against loops."""
     docs = t(spark, d, "documents").withColumn("session_id", F.col("doc_id") % 7).withColumn("confidence", F.lit(None).cast("double")).withColumn("created_at", F.col("n_chars"))
-    bags = MI.bags(docs, "lang", "doc_id", "text", []).join(docs.select("doc_id", "session_id", "confidence", "created_at"), "doc_id")
+    bags = MI.bags(docs, "lang", "doc_id", "text").join(docs.select("doc_id", "session_id", "confidence", "created_at"), "doc_id")
     found = MI.clusters(bags, "lang", "doc_id", "bag", 0.4, strict=True)
     return MI.rule_candidates(bags, found, "lang", "doc_id", "bag")
 
 
-@query("rule_merge", """WITH o0 AS (SELECT 'fp' || (p_partkey % 50) AS fingerprint, CASE WHEN p_partkey % 2 = 0 THEN 'main' ELSE '' END AS branch, CASE p_partkey % 3 WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE -1 END AS state, max(p_size) AS os, max(p_size % 6) AS osn FROM part WHERE p_partkey < 60 GROUP BY ALL), o AS (SELECT * FROM o0 QUALIFY row_number() OVER (PARTITION BY fingerprint, branch ORDER BY state) = 1),
-  c AS (SELECT 'fp' || (p_partkey % 70) AS fingerprint, CASE WHEN p_partkey % 2 = 0 THEN 'main' ELSE '' END AS branch, max(p_size) AS s, max(p_size % 7) AS sn FROM part WHERE p_partkey BETWEEN 30 AND 120 GROUP BY ALL)
-  SELECT coalesce(o.fingerprint, c.fingerprint) AS fingerprint, coalesce(o.branch, c.branch) AS branch, greatest(coalesce(s, 0), coalesce(os, 0)) AS support, greatest(coalesce(sn, 0), coalesce(osn, 0)) AS sessions,
-    CASE WHEN state IS NULL THEN 0 WHEN state = 0 AND greatest(coalesce(sn, 0), coalesce(osn, 0)) >= 4 THEN 1 ELSE state END AS is_active FROM o FULL JOIN c ON o.fingerprint = c.fingerprint AND o.branch = c.branch""")
-def rule_merge(spark, d):
-    p = t(spark, d, "part")
-    fp = lambda n: F.concat(F.lit("fp"), (F.col("p_partkey") % n).cast("string")).alias("fingerprint")
-    branch = F.when(F.col("p_partkey") % 2 == 0, "main").alias("branch")
-    state = F.when(F.col("p_partkey") % 3 == 0, 0).when(F.col("p_partkey") % 3 == 1, 1).otherwise(-1).alias("is_active")
-    old = p.where("p_partkey < 60").groupBy(fp(50), branch, state).agg(F.max("p_size").alias("support"), F.max(F.col("p_size") % 6).alias("sessions"))
-    old = first_by(old, ["fingerprint", "branch"], "is_active")
-    new = p.where("p_partkey between 30 and 120").groupBy(fp(70), branch).agg(F.max("p_size").alias("support"), F.max(F.col("p_size") % 7).alias("sessions"))
-    return MI.merged_rules(old, new)
-
-
-@query("rule_merge_all", """WITH o0 AS (SELECT 'fp' || (p_partkey // 4) AS fingerprint, CASE WHEN p_partkey % 2 = 0 THEN 'main' ELSE '' END AS branch, CASE p_partkey % 3 WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE -1 END AS state, max(p_size) AS os, max(p_size % 6) AS osn FROM part WHERE p_size <= 30 GROUP BY ALL), o AS (SELECT * FROM o0 QUALIFY row_number() OVER (PARTITION BY fingerprint, branch ORDER BY state) = 1),
+@query("rule_merge", """WITH o0 AS (SELECT 'fp' || (p_partkey // 4) AS fingerprint, CASE WHEN p_partkey % 2 = 0 THEN 'main' ELSE '' END AS branch, CASE p_partkey % 3 WHEN 0 THEN 0 WHEN 1 THEN 1 ELSE -1 END AS state, max(p_size) AS os, max(p_size % 6) AS osn FROM part WHERE p_size <= 30 GROUP BY ALL), o AS (SELECT * FROM o0 QUALIFY row_number() OVER (PARTITION BY fingerprint, branch ORDER BY state) = 1),
   c AS (SELECT 'fp' || (p_partkey // 4) AS fingerprint, CASE WHEN p_partkey % 2 = 0 THEN 'main' ELSE '' END AS branch, max(p_size) AS s, max(p_size % 7) AS sn FROM part WHERE p_size > 20 GROUP BY ALL)
-  SELECT coalesce(o.fingerprint, c.fingerprint) AS fingerprint, coalesce(o.branch, c.branch) AS branch, greatest(coalesce(s, 0), coalesce(os, 0)) AS support, greatest(coalesce(sn, 0), coalesce(osn, 0)) AS sessions,
-    CASE WHEN state IS NULL THEN 0 WHEN state = 0 AND greatest(coalesce(sn, 0), coalesce(osn, 0)) >= 4 THEN 1 ELSE state END AS is_active FROM o FULL JOIN c ON o.fingerprint = c.fingerprint AND o.branch = c.branch""")
-def rule_merge_all(spark, d):
+  SELECT coalesce(o.fingerprint, c.fingerprint) AS fingerprint, coalesce(o.branch, c.branch) AS branch, coalesce(s, os) AS support, coalesce(sn, osn) AS sessions, CASE WHEN state IS NULL THEN 0 WHEN state = 0 AND sn >= 4 THEN 1 ELSE state END AS is_active FROM o FULL JOIN c ON o.fingerprint = c.fingerprint AND o.branch = c.branch""")
+def rule_merge(spark, d):
     """Old rules and candidates from the whole part table, split by size: keys on both sides and on one only."""
     p, fingerprint = t(spark, d, "part"), F.concat(F.lit("fp"), F.expr("p_partkey div 4").cast("string")).alias("fingerprint")
     branch = F.when(F.col("p_partkey") % 2 == 0, "main").alias("branch")
@@ -265,6 +333,12 @@ def rule_merge_all(spark, d):
     return MI.merged_rules(old, new)
 
 
+@query("rule_counts", "SELECT l_partkey AS rule_id, count(DISTINCT o.obs_id) AS support, count(DISTINCT session_id) AS sessions FROM lineitem JOIN obs o ON o.obs_id = l_orderkey WHERE consolidated_into IS NULL GROUP BY l_partkey")
+def rule_counts(spark, d):
+    links = t(spark, d, "lineitem").select(F.col("l_partkey").alias("rule_id"), F.col("l_orderkey").alias("observation_id"))
+    return MI.rule_counts(links, obs(spark, d))
+
+
 @query("active_rules", """WITH r AS (SELECT p_partkey AS rule_id, p_size AS support, p_partkey % 9 AS updated_at FROM part WHERE p_partkey % 3 = 1),
   a AS (SELECT l_partkey AS rule_id, count(*) AS m FROM lineitem WHERE l_suppkey IN (1, 2, 3) GROUP BY l_partkey), b AS (SELECT l_partkey AS rule_id, count(*) AS m FROM lineitem WHERE l_returnflag = 'R' GROUP BY l_partkey)
   SELECT r.rule_id, coalesce(a.m, 0) + coalesce(b.m, 0) AS matches FROM r LEFT JOIN a USING (rule_id) LEFT JOIN b USING (rule_id) WHERE coalesce(a.m, 0) + coalesce(b.m, 0) > 0 ORDER BY matches DESC, support DESC, updated_at DESC, rule_id LIMIT 5""")
@@ -277,7 +351,7 @@ def active_rules(spark, d):
 
 @query("latency_percentiles", "SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, max(value) AS most FROM ev GROUP BY event_type")
 def latency_percentiles(spark, d):
-    return events(spark, d).groupBy("event_type").agg(F.round(F.percentile("value", 0.5), 6).alias("p50"), F.round(F.percentile("value", 0.95), 6).alias("p95"), F.max("value").alias("most"))
+    return percentiles(events(spark, d), "event_type", "value", {"p50": 0.5, "p95": 0.95}).select("event_type", F.round("p50", 6).alias("p50"), F.round("p95", 6).alias("p95"), "most")
 
 
 @query("unembedded_ids", "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings WHERE label % 2 = 0)")
@@ -286,18 +360,30 @@ def unembedded_ids(spark, d):
     return t(spark, d, "documents").select("doc_id").join(done, "doc_id", "left_anti")
 
 
-@query("staleness_propagation", """WITH reason AS (SELECT 'src/f' || (p_partkey % 20) || '.rs::s' || p_partkey AS fqn, CASE p_partkey % 3 WHEN 0 THEN 'signature changed' WHEN 1 THEN 'removed' ELSE 'renamed' END AS reason FROM part WHERE p_partkey < 60)
-  SELECT obs_id, is_stale OR reason IS NOT NULL AS is_stale, CASE WHEN NOT is_stale THEN reason END AS stale_reason FROM obs LEFT JOIN reason ON symbol_fqn = fqn""")
+_OF_FILES = snapshots_sql("'src/f' || (p_partkey % 20) || '.rs'", "'s' || p_partkey")
+_REASONS = f"""{_OF_FILES}, {CHANGES_SQL}, why AS (SELECT fqn, CASE change WHEN 'signature_changed' THEN 'Signature of symbol ' || chr(39) || split_part(fqn, '::', 2) || chr(39) || ' changed: `' || old_signature || '` → `' || new_signature || '`' WHEN 'removed' THEN 'Symbol no longer exists in index' ELSE 'Symbol renamed to ' || chr(39) || new_fqn || chr(39) END AS reason,
+    CASE change WHEN 'signature_changed' THEN 'Linked symbol signature changed' WHEN 'removed' THEN 'Linked symbol removed' ELSE 'Linked symbol renamed' END AS rule_reason FROM ch WHERE change IN ('signature_changed', 'removed', 'renamed'))"""
+
+
+def _file_changes(spark, d):
+    k = F.col("p_partkey")
+    return ST.symbol_changes(*part_snapshots(spark, d, F.concat(F.lit("src/f"), (k % 20).cast("string"), F.lit(".rs")), F.concat(F.lit("s"), k.cast("string"))))
+
+
+@query("staleness_propagation", f"""WITH {_REASONS}, n AS (SELECT obs_id, file_path || '::s' || (k + 20) AS whole, file_path || '::s' || k AS short FROM obs WHERE symbol_fqn IS NULL AND file_path IS NOT NULL AND NOT is_stale),
+  m AS (SELECT obs_id, w.fqn AS a, s.fqn AS b FROM n LEFT JOIN why w ON w.fqn = whole LEFT JOIN why s ON s.fqn = short)
+  SELECT o.obs_id, is_stale OR why.fqn IS NOT NULL OR coalesce(a, b) IS NOT NULL AS is_stale, CASE WHEN NOT is_stale THEN CASE WHEN why.fqn IS NOT NULL THEN reason WHEN coalesce(a, b) IS NOT NULL THEN 'Referenced symbol ' || chr(39) || coalesce(a, b) || chr(39) || ' structurally changed' || CASE WHEN a IS NOT NULL AND b IS NOT NULL THEN ' (and 1 others)' ELSE '' END END END AS stale_reason
+  FROM obs o LEFT JOIN why ON symbol_fqn = why.fqn LEFT JOIN m ON m.obs_id = o.obs_id""")
 def staleness_propagation(spark, d):
-    p = F.col("p_partkey")
-    reasons = t(spark, d, "part").where(p < 60).select(F.concat(F.lit("src/f"), (p % 20).cast("string"), F.lit(".rs::s"), p.cast("string")).alias("fqn"), F.when(p % 3 == 0, "signature changed").when(p % 3 == 1, "removed").otherwise("renamed").alias("reason"), (p % 3).alias("priority"))
-    return M.marked_stale(obs(spark, d), reasons).select("obs_id", "is_stale", "stale_reason")
-
-
-@query("staleness_propagation_all", """WITH reason AS (SELECT 'src/f' || (p_partkey % 20) || '.rs::s' || p_partkey AS fqn, CASE p_partkey % 3 WHEN 0 THEN 'signature changed' WHEN 1 THEN 'removed' ELSE 'renamed' END AS reason FROM part)
-  SELECT obs_id, is_stale OR reason IS NOT NULL AS is_stale, CASE WHEN NOT is_stale THEN reason END AS stale_reason FROM obs LEFT JOIN reason ON symbol_fqn = fqn""")
-def staleness_propagation_all(spark, d):
-    """Every part gives a reason."""
-    p = F.col("p_partkey")
-    reasons = t(spark, d, "part").select(F.concat(F.lit("src/f"), (p % 20).cast("string"), F.lit(".rs::s"), p.cast("string")).alias("fqn"), F.when(p % 3 == 0, "signature changed").when(p % 3 == 1, "removed").otherwise("renamed").alias("reason"), (p % 3).alias("priority"))
-    return M.marked_stale(obs(spark, d), reasons).select("obs_id", "is_stale", "stale_reason")
+    """Changes of all parts, on observations of their symbols and on texts that name them in backticks."""
+    k = F.split("content", " ")[1].cast("int")
+    text = F.concat(F.lit("see `"), F.col("file_path"), F.lit("::s"), (k + 20).cast("string"), F.lit("(a(b))` and `s"), k.cast("string"), F.lit("()` not ``s1``"))
+    return SA.propagated(obs(spark, d).withColumn("content", F.coalesce(text, "content")), _file_changes(spark, d)).select("obs_id", "is_stale", "stale_reason")
+
+
+@query("rule_invalidation", f"""WITH {_RULES}, {_REASONS}, l AS (SELECT p_partkey AS rule_id, 'src/f' || (p_partkey % 20) || '.rs::s' || p_partkey AS fqn FROM part)
+  SELECT ru.rule_id, CASE WHEN why.fqn IS NOT NULL AND is_active <> -1 AND branch IS NOT NULL THEN -1 WHEN why.fqn IS NOT NULL AND is_active <> -1 THEN -1 ELSE is_active END AS is_active, CASE WHEN why.fqn IS NOT NULL AND is_active <> -1 THEN rule_reason END AS stale_reason FROM ru JOIN l ON l.rule_id = ru.rule_id LEFT JOIN why ON why.fqn = l.fqn""")
+def rule_invalidation(spark, d):
+    k = F.col("p_partkey")
+    links = t(spark, d, "part").select(k.alias("rule_id"), F.concat(F.lit("src/f"), (k % 20).cast("string"), F.lit(".rs::s"), k.cast("string")).alias("symbol_fqn"))
+    return SA.invalidated_rules(_rules(spark, d), links, _file_changes(spark, d), F.lit(now_of(spark, d))).select("rule_id", "is_active", "stale_reason")

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.functions.text import tokens
 from lodestone.operators.memory import default_importance
+from lodestone.operators.search import STOP_WORDS
 
 REGISTRY: dict[str, tuple] = {}
 
@@ -40,7 +40,7 @@ def obs(spark, d) -> DataFrame:
     return e.select(
         F.col("event_id").alias("obs_id"), F.col("user_id").alias("session_id"), "created_at", kind.alias("kind"), F.concat("event_type", F.lit(" "), k.cast("string")).alias("content"), file.alias("file_path"),
         F.when(k % 3 != 0, F.concat(file, F.lit("::s"), k.cast("string"))).alias("symbol_fqn"), F.when(k % 4 == 1, "main").when(k % 4 == 2, "dev").alias("branch"), F.when(k % 7 != 0, F.least(F.col("value") / 100, F.lit(1.0))).alias("confidence"),
-        (F.col("value") < 1).alias("is_stale"), F.col("event_type").isin("click", "view", "error").alias("auto_generated"), F.lit(None).cast("long").alias("consolidated_into"),
+        (F.col("value") < 1).alias("is_stale"), F.col("event_type").isin("click", "view", "error").alias("auto_generated"), F.lit(None).cast("long").alias("consolidated_into"), F.lit(0).alias("consolidation_count"), F.lit(None).cast("string").alias("stale_reason"),
     ).withColumn("importance", default_importance(F.col("kind")))
 
 
@@ -75,10 +75,6 @@ def nodes(spark, d) -> DataFrame:
     return e.select(F.col("source").alias("node")).union(e.select("target")).distinct()
 
 
-def doc_tokens(spark, d) -> DataFrame:
-    return t(spark, d, "documents").select("doc_id", "source", "lang", tokens(F.col("text")).alias("words"))
-
-
 TABLES = {
     "ev": "SELECT event_id, CAST(floor(epoch(ts)) AS BIGINT) AS created_at, user_id, event_type, value, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, event_type = 'error' AS is_error FROM events",
     "obs0": """SELECT event_id AS obs_id, user_id AS session_id, created_at,
@@ -94,7 +90,7 @@ TABLES = {
       UNION SELECT l_orderkey + {ORDER}, l_partkey + {PART}, 'uses_type' FROM lineitem UNION SELECT l_partkey + {PART}, l_suppkey + {SUPPLIER}, 'implements' FROM lineitem
       UNION SELECT CAST(n_nationkey AS BIGINT) + {NATION}, CAST(n_regionkey AS BIGINT) + {REGION}, 'extends' FROM nation""",
     "nodes": "SELECT source AS node FROM edges UNION SELECT target FROM edges",
-    "dt": "SELECT doc_id, source, lang, regexp_extract_all(lower(text), '[a-z0-9]+') AS words FROM documents",
+    "dt": f"SELECT doc_id, source, lang, list_filter(list_transform(string_split_regex(lower(text), '\\s+'), lambda x: regexp_replace(x, '^[^\\p{{L}}\\p{{N}}]+|[^\\p{{L}}\\p{{N}}]+$', '', 'g')), lambda x: strlen(x) >= 3 AND x NOT IN ({', '.join(repr(w) for w in STOP_WORDS)})) AS words FROM documents",
 }
 _NEEDS = {"obs0": ["ev"], "obs": ["ev", "obs0"], "sess": ["ev"], "clock": ["ev"], "nodes": ["edges"]}
 

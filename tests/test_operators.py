@@ -3,10 +3,13 @@ import sqlite3
 import pytest
 from pyspark.sql import functions as F
 
+from lodestone.operators import brief as BR
+from lodestone.operators import embed as E
 from lodestone.operators import graph as G
 from lodestone.operators import memory as M
 from lodestone.operators import mining as MI
 from lodestone.operators import search as S
+from lodestone.operators import staleness as SA
 from lodestone.operators import structure as ST
 
 
@@ -74,13 +77,17 @@ def test_score_clamps_the_future(spark):
 def test_bursts_and_dead_ends(spark):
     obs = observations(spark, [ob(i, 300 + i, "file_change", file="f") for i in range(4)] + [ob(9, 599, "file_change", file="g"), ob(10, 600, "file_change", file="g"), ob(11, 1, content="c"), ob(12, 2, content="c", s="z"), ob(13, 3, content="c", s="z")])
     assert [(r.file_path, r.n) for r in M.file_bursts(obs).collect()] == [("f", 4)]
-    assert [(r.session_id, r.n) for r in M.dead_ends(obs, "tool_call").collect()] == [("z", 2)]
+    looked = observations(spark, [ob(1, 1, "context_retrieval", content="c"), ob(2, 2, "context_retrieval", content="c"), ob(3, 1, "context_retrieval", content="c", s="z"), ob(4, 2, "context_retrieval", content="c", s="z"), ob(5, 3, "insight"), ob(6, 1, "context_retrieval", False, content="m", s="y"), ob(7, 2, "context_retrieval", False, content="m", s="y")])
+    assert [(r.session_id, r.n) for r in M.dead_ends(looked).collect()] == [("z", 2)]
+    assert M.file_bursts(observations(spark, [ob(i, 300 + i, "file_change", False, file="f") for i in range(4)])).count() == 0
 
 
 def test_rules_merge(spark):
     old = spark.createDataFrame([("p", None, 0, 3, 3), ("q", None, 0, 3, 4), ("r", None, -1, 9, 9)], "fingerprint string, branch string, is_active int, support int, sessions int")
     new = spark.createDataFrame([("p", None, 4, 3), ("r", None, 9, 9), ("s", "m", 5, 5)], "fingerprint string, branch string, support int, sessions int")
-    assert {r.fingerprint: r.is_active for r in MI.merged_rules(old, new).collect()} == {"p": 0, "q": 1, "r": -1, "s": 0}
+    assert {r.fingerprint: r.is_active for r in MI.merged_rules(old, new).collect()} == {"p": 0, "q": 0, "r": -1, "s": 0}
+    again = new.unionByName(spark.createDataFrame([("q", None, 4, 4)], new.schema))
+    assert {r.fingerprint: r.is_active for r in MI.merged_rules(old, again).collect()}["q"] == 1
 
 
 def test_similar_pairs_equal_brute_force(spark):
@@ -99,3 +106,163 @@ def test_upsert_keeps_ids(spark):
     new = spark.createDataFrame([("b", "z"), ("a", "x"), ("d", "w"), ("c", "w")], "k string, v string")
     got = {r.k: (r.id, r.action) for r in ST.upserted(old, new, "k", "id", ["v"]).collect()}
     assert got == {"a": (1, "unchanged"), "b": (2, "updated"), "c": (3, "inserted"), "d": (4, "inserted")}
+
+
+def test_session_end_runs_once(spark):
+    obs = observations(spark, [ob(1, 1, "context_retrieval", content="c"), ob(2, 2, "context_retrieval", content="c"), ob(3, 1, "tool_call", s="z", importance="high"), ob(4, 1, "tool_call", s="z"), *[ob(10 + i, 300 + i, "file_change", s="z", file="f") for i in range(4)]])
+    sessions = spark.createDataFrame([("a", 0, None, False), ("z", 0, 7, False), ("k", 0, None, True)], "session_id string, started_at long, ended_at long, compressed boolean")
+    ended = spark.createDataFrame([("a",), ("z",), ("k",)], "session_id string")
+    kept, closed = M.session_end(obs, sessions, ended, F.lit(1000))
+    rows = sorted((r.obs_id, r.kind, r.session_id, r.file_path) for r in kept.collect())
+    assert rows == [(3, "tool_call", "z", None), (14, "anti_pattern", "a", None), (15, "anti_pattern", "z", "f")]
+    assert sorted((r.session_id, r.ended_at, r.compressed) for r in closed.collect()) == [("a", 1000, True), ("k", None, True), ("z", 7, True)]
+    again, _ = M.session_end(kept, closed, ended, F.lit(2000))
+    assert sorted(r.obs_id for r in again.collect()) == [3, 14, 15]
+
+
+def test_sessions_and_flags(spark):
+    sessions = spark.createDataFrame([("a", 0, None, False, False), ("b", 0, 5, True, False)], "session_id string, started_at long, ended_at long, compressed boolean, nudge_sent boolean")
+    started = spark.createDataFrame([("a", 9), ("c", 9), ("c", 9)], "session_id string, started_at long")
+    assert sorted((r.session_id, r.started_at, r.compressed) for r in M.upserted_sessions(sessions, started).collect()) == [("a", 0, False), ("b", 0, True), ("c", 9, False)]
+    ended = spark.createDataFrame([("a", 7), ("b", 9)], "session_id string, at long")
+    assert {r.session_id: r.ended_at for r in M.ended_sessions(sessions, ended).collect()} == {"a": 7, "b": 5}
+    flags = M.nudge_flags(sessions, ended.limit(0), spark.createDataFrame([("a", "tool_call"), ("b", "error")], "session_id string, kind string"))
+    assert {r.session_id: r.nudge_sent for r in flags.collect()} == {"a": False, "b": True}
+    obs = observations(spark, [ob(1, 1), ob(2, 2, file="x/.env"), ob(3, 3, fqn="a.pem::f")])
+    assert [r.obs_id for r in M.for_session(obs, sessions, "a").collect()] == [1] and M.for_session(obs, sessions, "none") is None and M.for_session(obs, sessions, "b").count() == 0
+
+
+def test_recommendations_at_their_thresholds(spark):
+    columns = "total long, stale long, low long, noise long, recent boolean, recent_insights long, rules_stale long"
+    rows = [(10, 5, 7, 6, False, 0, 0), (10, 6, 8, 7, True, 0, 2), (0, 0, 0, 9, True, 0, 0), (10, 0, 0, 0, True, 1, 0)]
+    advice = [r.advice for r in M.recommendations(spark.createDataFrame(rows, columns)).collect()]
+    assert advice[0] == advice[2] == advice[3] == [] and len(advice[1]) == 5 and advice[1][0].startswith("60% of observations are stale") and advice[1][4].startswith("2 stale rule(s)")
+    assert M.recommendations(spark.createDataFrame(rows[1:2], columns), "main").first().advice[3].endswith("on main")
+
+
+def test_changes_renames_and_sentence(spark):
+    schema = "fqn string, kind string, signature string, source_hash string"
+    old = spark.createDataFrame([("a.rs::keep", "function", "fn keep()", "1"), ("a.rs::sig", "function", "fn sig(a)", "1"), ("a.rs::gone", "function", "fn gone()", "1"), ("a.rs::was", "function", "fn x()", "1"), ("a.rs::body", "function", None, "1"), ("a.rs::T::m", "method", "fn m()", "1")], schema)
+    new = spark.createDataFrame([("a.rs::keep", "function", "fn keep()", "1"), ("a.rs::sig", "function", "fn sig(b)", "2"), ("a.rs::now", "function", "fn x()", "9"), ("a.rs::body", "function", "fn body()", "2"), ("a.rs::U::m", "method", "fn m()", "1"), ("a.rs::new", "function", None, "1")], schema)
+    changes = ST.symbol_changes(old, new)
+    assert sorted((r.fqn, r.change, r.new_fqn) for r in changes.collect()) == [("a.rs::T::m", "renamed", "a.rs::U::m"), ("a.rs::body", "body_only", None), ("a.rs::gone", "removed", None), ("a.rs::new", "added", None), ("a.rs::sig", "signature_changed", None), ("a.rs::was", "renamed", "a.rs::now")]
+    assert {(r.old_fqn, r.moved) for r in ST.renames(changes).collect()} == {("a.rs::T::m", True), ("a.rs::was", False)}
+    assert ST.diff_sentence(changes).first().sentence == "Modified `a.rs`: added `new`, signature of `sig` changed from `fn sig(a)` to `fn sig(b)`, removed `gone`, moved `a.rs::T::m` → `a.rs::U::m`, renamed `was` → `now`"
+    assert ST.diff_sentence(changes, 2).first().sentence.endswith("to `fn sig(b)`, and 3 more") and ST.diff_sentence(changes.where("change = 'body_only'")).count() == 0
+
+
+def test_staleness_by_names_in_backticks(spark):
+    changes = spark.createDataFrame([("a.rs::f", "removed", None, "x", None), ("a.rs::T::g", "signature_changed", None, "old", "new"), ("a.rs::h", "added", None, None, "x")], "fqn string, change string, new_fqn string, old_signature string, new_signature string")
+    texts = ["see `f(a(b))` and `a.rs::T::g`", "see `h` or ``f``", "`nothing` `f", "`g`\n", "other file `f`"]
+    obs = observations(spark, [ob(k, 1, content=c, file="b.rs" if k == 4 else "a.rs") for k, c in enumerate(texts)] + [ob(9, 1, fqn="a.rs::f"), ob(10, 1, fqn="a.rs::f", stale=True)]).withColumn("stale_reason", F.lit(None).cast("string"))
+    got = {r.obs_id: (r.is_stale, r.stale_reason) for r in SA.propagated(obs, changes).collect()}
+    assert got[0] == (True, "Referenced symbol 'a.rs::T::g' structurally changed (and 1 others)") and got[3] == (True, "Referenced symbol 'a.rs::T::g' structurally changed")
+    assert got[1] == got[2] == got[4] == (False, None) and got[9] == (True, "Symbol no longer exists in index") and got[10] == (True, None)
+
+
+def test_running_sums_over_ranges(spark):
+    import random
+
+    from lodestone.operators.prefix import numbered, percentiles, running
+
+    r = random.Random(0)
+    rows = [(i, r.choice("ab") if i % 3 else None, r.randint(0, 9), float(r.randint(0, 5))) for i in range(400)]
+    df = spark.createDataFrame(rows, "i long, k string, v long, x double").repartition(5)
+    want = {}
+    for i, k, v, _ in sorted(rows):
+        want[i] = want.get(k, 0) + v
+        want[k] = want[i]
+    assert all(x.running == want[x.i] for x in running(df, "v", ["i"], ["k"]).collect())
+    assert sorted((x.n, x.i) for x in numbered(df, ["i"], "n").collect()) == [(i + 1, i) for i in range(400)]
+    import numpy as np
+
+    for x in percentiles(df, "k", "x", {"p10": 0.1, "p50": 0.5, "p95": 0.95}).collect():
+        own = [c for _, k, _, c in rows if k == x.k]
+        assert np.allclose([x.p10, x.p50, x.p95, x.most], [*np.percentile(own, [10, 50, 95]), max(own)])
+
+
+def test_greedy_notes_equal_a_loop(spark):
+    import random
+
+    r = random.Random(1)
+    rows = [(r.choice("abc"), i, r.choice([0, 1, 5, 30]), r.randint(0, 8)) for i in range(120)] + [("z", 999, 500, 1)]
+    got = {x.k: (x.used, x.taken, x.noted) for x in BR.greedy_with_notes(spark.createDataFrame(rows, "k string, i long, c long, n long"), "c", "n", 60, "k", "i").collect()}
+    for key in "abcz":
+        used = taken = noted = 0
+        for _, _, cost, note in sorted(x for x in rows if x[0] == key):
+            if used + cost > 60:
+                break
+            used, taken = used + cost, taken + 1
+            if used + note <= 60:
+                used, noted = used + note, noted + 1
+        assert got[key] == (used, taken, noted), key
+
+
+def test_clusters_and_rules_equal_loops(spark):
+    import random
+
+    r = random.Random(5)
+    rows = [(i, "s" + str(i % 2), sorted(r.sample("abcdefgh", r.randint(2, 4))), "u" + str(i % 4), r.choice([None, 0.2, 0.9]), r.randint(0, 50), r.choice([None, None, "m"])) for i in range(70)]
+    df = spark.createDataFrame(rows, "i long, s string, bag array<string>, session_id string, confidence double, created_at long, branch string")
+    jac = lambda a, b: len(set(a) & set(b)) / len(set(a) | set(b))
+    root = {x[0]: x[0] for x in rows}
+    for a in rows:
+        for b in rows:
+            if a[0] < b[0] and a[1] == b[1] and jac(a[2], b[2]) > 0.6:
+                old, new = sorted((root[a[0]], root[b[0]]))[::-1]
+                root = {k: new if v == old else v for k, v in root.items()}
+    groups = {}
+    for x in rows:
+        groups.setdefault(root[x[0]], []).append(x)
+    found = MI.clusters(df, "s", "i", "bag", 0.6, strict=True)
+    assert {(x.i, x.root) for x in found.collect()} == {(x[0], k) for k, g in groups.items() if len(g) > 1 for x in g}
+    want = set()
+    for g in groups.values():
+        counts = {}
+        for x in g:
+            for token in x[2]:
+                counts[token] = counts.get(token, 0) + 1
+        centroid = [token for token, _ in sorted(counts.items(), key=lambda c: (-c[1], c[0]))[:8]]
+        near = [x for x in g if jac(x[2], centroid) > 0.3]
+        if len(g) > 1 and len(near) >= 3 and len({x[3] for x in near}) >= 3 and len({x[6] for x in near}) == 1:
+            best = max(near, key=lambda x: (x[4] or 0.0, x[5], x[0]))
+            want.add((near[0][1], len(near), len({x[3] for x in near}), best[0], near[0][6]))
+    got = {(x.s, x.support, x.sessions, x.representative, x.branch) for x in MI.rule_candidates(df, found, "s", "i", "bag").collect()}
+    assert got == want
+
+
+def test_shortest_paths_equal_brute_force(spark):
+    import random
+
+    r = random.Random(2)
+    for trial in range(3):
+        links = {(r.randrange(14), r.randrange(14)) for _ in range(34)}
+        edges = spark.createDataFrame([(a, b, "calls") for a, b in links], "source long, target long, kind string")
+        paths = [[0]]
+        for _ in range(15):
+            grown = [[*p, b] for p in paths for a, b in sorted(links) if a == p[-1] and b not in p]
+            done = sorted(p for p in grown if p[-1] == 13)
+            if done or not grown:
+                break
+            paths = grown
+        assert [x.path for x in G.shortest_paths(edges, 0, 13, ["calls"], most_paths=3).collect()] == done[:3]
+    capped = spark.createDataFrame([(0, k, "calls") for k in range(1, 5)] + [(4, 9, "calls")], "source long, target long, kind string")
+    assert G.shortest_paths(capped, 0, 9, ["calls"], cap=3).count() == 0 and G.shortest_paths(capped, 0, 4, ["calls"], cap=4).first().capped is False and G.shortest_paths(capped, 0, 1, ["calls"], cap=3).first().capped is True
+
+
+def test_embedding_tables(spark):
+    model = E.ByteHashEmbedder(8)
+    obs = observations(spark, [ob(1, 1, "insight", content="alpha", file="a.rs"), ob(2, 1), ob(3, 1, "decision", content="beta"), ob(4, 1, "insight", stale=True)])
+    new = E.embedded(obs.where("obs_id in (1, 3)"), "obs_id", E.observation_text(), model, F.lit(5)).cache()
+    assert {r.id: len(r.embedding) for r in new.collect()} == {1: 8, 3: 8}
+    assert [r.obs_id for r in E.unembedded_observations(obs, new.where("id = 3"), model).collect()] == [1]
+    assert E.unembedded_observations(obs, new, E.ByteHashEmbedder(8, model_rev="2")).count() == 2
+    near = {r.obs_id: round(r.similarity, 6) for r in E.similarities(new, obs.select("obs_id"), "insight alpha a.rs", model, "obs_id").collect()}
+    assert near[1] == 1.0 and abs(near[3]) < 1 and E.replaced(new, new.where("id = 1")).count() == 2 and E.cleared(new).count() == 0
+
+
+def test_a_branch_has_its_own_merges(spark):
+    content = "the cache must be cleared before every deploy of workers"
+    obs = observations(spark, [ob(1, 100, "insight", content=content, file="f", branch="m"), ob(2, 200, "insight", content=content, file="f", branch="m"), ob(3, 300, "insight", content=content, file="f"), ob(4, 400, "insight", content=content, branch="m"), ob(5, 100, "insight", False, content=content, file="f", branch="m")]).withColumn("consolidation_count", F.lit(0))
+    got = {r.obs_id: (r.consolidated_into, r.consolidation_count) for r in MI.consolidated(obs, F.lit(1000), "m").collect()}
+    assert got == {1: (2, 0), 2: (None, 1), 3: (None, 0), 4: (None, 0), 5: (None, 0)}
