@@ -86,7 +86,7 @@ def scored(obs: DataFrame, now: Column, bm25: Column | None = None, semantic: Co
     total = sum(shares.values(), F.lit(0.0)) - F.when(F.col("is_stale"), STALE_PENALTY).otherwise(0.0)
     top = F.greatest(*shares.values())
     signal = F.coalesce(*[F.when(v == top, F.lit(k)) for k, v in reversed(shares.items())])
-    return obs.withColumn("recency", recency).withColumn("relevance", F.least(F.greatest(total, F.lit(0.0)), F.lit(1.0))).withColumn("signal", F.when(F.col("is_stale"), F.lit("stale")).otherwise(signal)).withColumn("breakdown", F.struct(*[v.alias(k) for k, v in shares.items()], F.when(F.col("is_stale"), -STALE_PENALTY).otherwise(0.0).alias("stale")))
+    return obs.withColumn("recency", recency).withColumn("relevance", F.least(F.greatest(total, F.lit(0.0)), F.lit(1.0))).withColumn("signal", F.when(F.col("is_stale"), F.lit("stale")).otherwise(signal)).withColumn("breakdown", F.struct(*[v.alias(k) for k, v in {"semantic": F.lit(0.0), **shares}.items()], F.when(F.col("is_stale"), -STALE_PENALTY).otherwise(0.0).alias("stale")))
 
 
 def scored_for_context(obs: DataFrame, symbols: DataFrame, files: DataFrame, now: Column, raw: DataFrame | None = None, similarity: DataFrame | None = None, limit: int = 50) -> DataFrame:

@@ -129,7 +129,8 @@ def _members(sink: _Sink, text: str, clean: str, start: int, end: int, parent: s
         a = body + 1 + m.start(1)
         b = _close(clean, body + 1 + m.end()) if "(" in m[0] else clean.find("\n", a)
         b = min(b if b >= 0 else end, end)
-        sink.symbol(m[1], kind, _line(clean, a), _line(clean, b), parent, _signature(text, text.rfind("\n", 0, a) + 1, b))
+        begin = max(body, *[clean.rfind(c, 0, a) for c in "\n;}"]) + 1
+        sink.symbol(m[1], kind, _line(clean, a), _line(clean, b), parent, _signature(text, begin, b) or text[a : b + 1].strip())
 
 
 def _typescript(sink: _Sink, text: str) -> None:
