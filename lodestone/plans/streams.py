@@ -37,9 +37,15 @@ def stream_dedup(spark, d):
 @query("stream_nudge", """WITH o AS (SELECT user_id, event_id, ts, event_type, sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END) OVER w AS p, sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) OVER w AS n FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING))
   SELECT user_id, CAST(n AS BIGINT) AS n, event_id FROM o WHERE event_type = 'error' AND n = 2 AND p = 0""")
 def stream_nudge(spark, d):
-    out = _drained(A.once_per_session(_events(spark, d), 2), "nudge")
-    e = spark.read.parquet(f"{d}/events.parquet").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("at"))
-    return out.join(e, ["user_id", "at"]).select("user_id", "n", "event_id")
+    return _drained(A.once_per_session(_events(spark, d), 2), "nudge").select("user_id", "n", "event_id")
+
+
+@query("stream_sessions", """WITH g AS (SELECT user_id, ts, event_type, CASE WHEN ts > lag(ts) OVER w + INTERVAL 30 MINUTES OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)),
+  s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
+  SELECT user_id, CAST(floor(epoch(min(ts))) AS BIGINT) AS start_at, bool_or(event_type = 'purchase') AS explicit FROM s GROUP BY user_id, k HAVING max(ts) + INTERVAL 30 MINUTES <= (SELECT max(ts) - INTERVAL 10 MINUTES FROM events)""")
+def stream_sessions(spark, d):
+    out = _drained(A.ended_sessions(_events(spark, d), "user_id", "purchase"), "sessions")
+    return out.select("user_id", F.unix_timestamp("start").alias("start_at"), "explicit")
 
 
 @query("stream_correlated", "SELECT a.event_id AS a, b.event_id AS b, a.user_id FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_type = 'error' AND b.event_type = 'click' AND b.ts <= a.ts AND b.ts >= a.ts - INTERVAL 7200 SECONDS")

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import fnmatch
 import hashlib
 import os
 import re
 import shutil
 import time
 import tomllib
+import warnings
 from pathlib import Path
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,28 +19,74 @@ from lodestone.functions.text import is_sensitive
 from lodestone.sources.parse import language_of
 
 
-def ignore_patterns(root: str) -> list[str]:
-    """Regular expressions of the root's ignore file; later lines with ``!`` are not supported."""
-    file = Path(root.removeprefix("file://")) / ".gitignore"
-    out = []
-    for line in file.read_text().splitlines() if file.exists() else []:
-        line = line.strip()
-        if line and line[0] not in "#!":
-            body = fnmatch.translate(line.strip("/")).removeprefix("(?s:").removesuffix(r")\Z").removesuffix(r")\z").replace(".*", "[^/]*")
-            out.append(("^" if line.startswith("/") else "(^|.*/)") + body + "(/.*)?$")
+def _rule(line: str, folder: str) -> tuple[bool, str] | None:
+    """(whether it ignores, pattern of relative paths) of a line of an ignore file in ``folder`` ("" or "a/b/")."""
+    line = line.rstrip("\n").rstrip()
+    if not line or line.startswith("#"):
+        return None
+    keep, line = line.startswith("!"), line.removeprefix("!")
+    bound, only_folders = "/" in line.rstrip("/"), line.endswith("/")
+    out, body, k = "", line.strip("/"), 0
+    while k < len(body):
+        if body.startswith("**/", k):
+            out, k = out + "(?:.*/)?", k + 3
+        elif body.startswith("/**", k) and k + 3 == len(body):
+            out, k = out + "/.*", k + 3
+        elif body[k] == "[" and "]" in body[k + 2 :]:
+            end = body.index("]", k + 2)
+            out, k = out + "[" + ("^" if body[k + 1] in "!^" else "") + body[k + 1 : end].lstrip("!^").replace("\\", "\\\\") + "]", end + 1
+        else:
+            out, k = out + {"*": "[^/]*", "?": "[^/]"}.get(body[k], re.escape(body[k])), k + 1
+    start = "^" + re.escape(folder) + ("" if bound else "(?:.*/)?")
+    return not keep, start + out + ("/.*$" if only_folders else "(?:/.*)?$")
+
+
+def ignore_rules(files: list[tuple[str, str]]) -> list[tuple[bool, str]]:
+    """Rules of ignore files (folder, text), those of outer folders first: the last that matches a path counts."""
+    found = []
+    for folder, text in sorted(files, key=lambda f: f[0].count("/")):
+        found += [r for line in text.split("\n") if (r := _rule(line, folder))]
+    return found
+
+
+def ignored(path, rules: list[tuple[bool, str]]):
+    """Column: whether the last rule that matches a path ignores it."""
+    out = F.lit(False)
+    for ignores, pattern in rules:
+        out = F.when(path.rlike(pattern), F.lit(ignores)).otherwise(out)
     return out
 
 
-def scan(spark: SparkSession, root: str, ignored: list[str] | None = None) -> DataFrame:
-    """Files of a tree that have a known language and are neither ignored nor sensitive: path, language, content_hash, text."""
+def ignore_files(spark: SparkSession, root: str) -> list[tuple[str, str]]:
+    """Ignore files of a tree on any file system: (folder, text), level by level. Spark's own listing passes over hidden files."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    base = jvm.org.apache.hadoop.fs.Path(root)
+    fs = base.getFileSystem(conf)
+    top, found, level = str(fs.makeQualified(base)), [], ""
+    while True:
+        for status in fs.globStatus(jvm.org.apache.hadoop.fs.Path(f"{root}{level}/.gitignore")) or []:
+            stream = fs.open(status.getPath())
+            folder = str(status.getPath().getParent())[len(top) :].strip("/")
+            found.append((folder + "/" if folder else "", jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")))
+            stream.close()
+        level += "/*"
+        if not len(fs.globStatus(jvm.org.apache.hadoop.fs.Path(root + level)) or []):
+            return found
+
+
+def scan(spark: SparkSession, root: str, rules: list[tuple[bool, str]] | None = None) -> DataFrame:
+    """Files of a tree that have a known language and are neither ignored nor sensitive: path, language, content_hash, text.
+
+    Ignore files of all folders hold, with ``!`` lines. Every condition is on the path alone and stands before
+    the content is used.
+    """
     base = root.rstrip("/")
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(base)
     path = F.regexp_replace("path", "^(file:)?/*" + re.escape(base.removeprefix("file://").lstrip("/")) + "/", "")
-    rows = rows.select(path.alias("path"), "content").where(~F.col("path").rlike(r"(^|/)(target|\.git|\.lodestone)/"))
-    for pattern in ignore_patterns(root) if ignored is None else ignored:
-        rows = rows.where(~F.col("path").rlike(pattern))
-    rows = rows.where(~is_sensitive(F.col("path"))).withColumn("language", language_of(F.col("path"))).where("language is not null")
-    return rows.select("path", "language", F.sha2("content", 256).alias("content_hash"), F.col("content").cast("string").alias("text"))
+    rules = ignore_rules(ignore_files(spark, base)) if rules is None else rules
+    pruned = path.rlike(r"(^|/)(target|\.git|\.lodestone)/")
+    kept = rows.where(~pruned & ~is_sensitive(path) & language_of(path).isNotNull() & ~ignored(path, rules))
+    return kept.select(path.alias("path"), language_of(path).alias("language"), F.sha2("content", 256).alias("content_hash"), F.col("content").cast("string").alias("text"))
 
 
 def slice_lines(text, start, n):
@@ -48,12 +95,21 @@ def slice_lines(text, start, n):
 
 
 def load_policy(path: str) -> dict:
-    """Deny and redact rules of a TOML file; a missing or malformed file gives none."""
+    """Deny and redact rules of a TOML file; a missing file gives none, a malformed one none and a warning, as do rules that name nothing."""
     try:
         found = tomllib.loads(Path(path).read_text())
-    except (OSError, tomllib.TOMLDecodeError):
+    except FileNotFoundError:
+        return {"deny": [], "redact": []}
+    except (OSError, tomllib.TOMLDecodeError) as error:
+        warnings.warn(f"no policy, {path}: {error}", stacklevel=2)
         return {"deny": [], "redact": []}
-    keep = lambda rules: [r for r in rules if isinstance(r, dict) and (r.get("path") or r.get("fqn_prefix"))]
+
+    def keep(rules) -> list[dict]:
+        sound = [r for r in rules if isinstance(r, dict) and (r.get("path") or r.get("fqn_prefix"))]
+        if len(sound) < len(rules):
+            warnings.warn(f"{path}: rules without path and fqn_prefix are skipped", stacklevel=3)
+        return sound
+
     return {"deny": keep(found.get("deny", [])), "redact": keep(found.get("redact", []))}
 
 
@@ -72,14 +128,24 @@ def load_workspace(path: str) -> list[dict]:
     return out
 
 
-def member_tables(spark: SparkSession, members: list[dict], table: str) -> DataFrame | None:
-    """One table of all members that can be read, with ``member_index`` from 1 on."""
+def member_tables(spark: SparkSession, members: list[dict], table: str, needs: list[str] | None = None) -> DataFrame | None:
+    """One table of all members that can be read, with ``member_index`` from 1 on.
+
+    A member without the table, or whose table lacks a column of ``needs``, is left out with a warning; nothing
+    of a member is changed.
+    """
     out = None
     for k, member in enumerate(members, 1):
-        if not os.path.isdir(f"{member['path']}/{table}"):
+        try:
+            own = spark.read.parquet(f"{member['path']}/{table}")
+        except AnalysisException:
+            warnings.warn(f"{member['label']}: no table {table}", stacklevel=2)
+            continue
+        if lacking := [c for c in needs or [] if c not in own.columns]:
+            warnings.warn(f"{member['label']}: {table} lacks {', '.join(lacking)}", stacklevel=2)
             continue
-        own = spark.read.parquet(f"{member['path']}/{table}").withColumn("member_index", F.lit(k))
-        out = own if out is None else out.unionByName(own)
+        own = own.withColumn("member_index", F.lit(k))
+        out = own if out is None else out.unionByName(own, allowMissingColumns=True)
     return out
 
 
@@ -140,6 +206,12 @@ def snapshots(spark: SparkSession, store: str, relative: str) -> DataFrame:
     return rows.where(F.col("id").rlike(r"^\d+-\d+-\d+$")).select("id", parts[0].cast("long").alias("millis"), parts[1].cast("int").alias("pid"), parts[2].cast("int").alias("seq"), "size").orderBy(F.col("millis").desc(), F.col("seq").desc(), F.col("id").desc())
 
 
+def snapshot_at(spark: SparkSession, store: str, relative: str, millis: int) -> str | None:
+    """The snapshot of a file for a millisecond: that of the highest number."""
+    row = snapshots(spark, store, relative).where(F.col("millis") == millis).agg(F.max_by("id", F.struct("seq", "id")).alias("id")).first()
+    return row.id
+
+
 def restore(store: str, root: str, relative: str, ident: str) -> None:
     """Put a snapshot back, with its permissions; names that leave the folder are refused."""
     if not re.fullmatch(r"\d+-\d+-\d+", ident):

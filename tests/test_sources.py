@@ -1,3 +1,5 @@
+import pytest
+
 from lodestone.sources import parse as P
 from lodestone.sources import tree as T
 
@@ -42,6 +44,29 @@ def test_scan_and_parse(spark, tmp_path):
     assert P.symbols_of(parsed).where("path = 'a.py'").count() == 6 and P.edges_of(parsed).where("kind = 'imports'").count() == 0
 
 
+def test_ignore_files_of_all_folders(spark, tmp_path):
+    kept = ["a.py", "lib/keep.py", "lib/sub/x.py", "docs/b.py", "other/build/c.py", "lib/q.py"]
+    for name in [*kept, "lib/gen.py", "lib/sub/gen.py", "build/c.py", "docs/api/d.py", "lib/z1.py"]:
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("x = 1\n")
+    (tmp_path / ".gitignore").write_text("# no\n/build/\ndocs/**/d.py\nlib/*.py\n!lib/keep.py\n!lib/[a-q].py\n")
+    (tmp_path / "lib/.gitignore").write_text("gen.py\n!q.py\n")
+    (tmp_path / "id_rsa.py").write_text("secret = 1\n")
+    assert sorted(r.path for r in T.scan(spark, str(tmp_path)).collect()) == sorted(kept)
+
+
+def test_members_that_can_be_read(spark, tmp_path):
+    import warnings
+
+    spark.range(3).write.parquet(str(tmp_path / "m1/symbols"))
+    spark.range(2).withColumnRenamed("id", "other").write.parquet(str(tmp_path / "m3/symbols"))
+    members = [{"path": str(tmp_path / f"m{k}"), "label": f"m{k}"} for k in (1, 2, 3)]
+    with warnings.catch_warnings(record=True) as said:
+        warnings.simplefilter("always")
+        found = T.member_tables(spark, members, "symbols", ["id"])
+    assert sorted(map(tuple, found.collect())) == [(0, 1), (1, 1), (2, 1)] and len(said) == 2
+
+
 def test_snapshots(spark, tmp_path):
     root, store = tmp_path / "w", str(tmp_path / "s")
     root.mkdir()
@@ -49,6 +74,9 @@ def test_snapshots(spark, tmp_path):
     first = T.snapshot(store, str(root), "f.txt", 900)
     (root / "f.txt").write_text("two")
     T.snapshot(store, str(root), "./f.txt", 1000)
+    second = T.snapshot(store, str(root), "f.txt", 1000)
+    assert T.snapshot_at(spark, store, "f.txt", 1000) == second and T.snapshot_at(spark, store, "f.txt", 5) is None
+    (tmp_path / "s" / "restores").joinpath(next((tmp_path / "s" / "restores").iterdir()).name, f"{second}.snap").unlink()
     assert [r.millis for r in T.snapshots(spark, store, "f.txt").collect()] == [1000, 900]
     T.restore(store, str(root), "f.txt", first)
     assert (root / "f.txt").read_text() == "one" and T.snapshot(store, str(root), "none.txt") is None
@@ -65,7 +93,8 @@ def test_config(tmp_path):
     (tmp_path / "p.toml").write_text('[[deny]]\npath = "a*"\n[[redact]]\nreason = "none"\n')
     assert T.load_policy(str(tmp_path / "p.toml")) == {"deny": [{"path": "a*"}], "redact": []}
     (tmp_path / "bad.toml").write_text("[")
-    assert T.load_policy(str(tmp_path / "bad.toml")) == {"deny": [], "redact": []}
+    with pytest.warns(UserWarning):
+        assert T.load_policy(str(tmp_path / "bad.toml")) == {"deny": [], "redact": []}
     (tmp_path / ".git").mkdir()
     (tmp_path / ".git/HEAD").write_text("ref: refs/heads/feature/x\n")
     assert T.git_branch(str(tmp_path)) == "feature/x"
