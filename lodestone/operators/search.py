@@ -129,8 +129,9 @@ def commonest_tokens(words: Column, stop: list[str], most: int = 8, least_bytes:
 
 
 def content_words(text: Column) -> Column:
-    """Whitespace words in lower case, without what is neither letter nor digit at their edges."""
-    return F.transform(F.split(F.lower(F.coalesce(text, F.lit(""))), r"\s+"), lambda w: F.regexp_replace(w, r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", ""))
+    """Whitespace words in lower case, without what is neither letter nor digit at their edges, by one pass over the text."""
+    edges = r"(?<!\S)[^\p{L}\p{N}\s]+|[^\p{L}\p{N}\s]+(?!\S)"
+    return F.split(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), edges, ""), r"\s+")
 
 
 def content_tokens(rows: DataFrame, ident: str, text: str, stop: list[str] | None = None, most: int = 8, least_bytes: int = 3, words: Column | None = None) -> DataFrame:
