@@ -130,7 +130,7 @@ def commonest_tokens(words: Column, stop: list[str], most: int = 8, least_bytes:
 
 def content_words(text: Column) -> Column:
     """Whitespace words in lower case, without what is neither letter nor digit at their edges, by one pass over the text."""
-    edges = r"(?<!\S)[^\p{L}\p{N}\s]+|[^\p{L}\p{N}\s]+(?!\S)"
+    edges = r"(?<!\S)[^\p{L}\p{N}\s]++|(?<![^\p{L}\p{N}\s])[^\p{L}\p{N}\s]++(?!\S)"
     return F.split(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), edges, ""), r"\s+")
 
 
