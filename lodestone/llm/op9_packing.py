@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import table
+from lodestone.llm.common import table, text_batches
 from lodestone.llm.tokens import default_path, encoder, slices
 from lodestone.scratch import Scratch
 
@@ -53,6 +53,7 @@ def _cutter(path: str, longest: int, end_id: int):
                         seen[b] += 1
                         start += length
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+        known.forget()
 
     return cut
 
@@ -61,6 +62,7 @@ def decompose(docs: DataFrame, vocabulary: str | None = None, longest: int = LON
     """Pieces of documents (doc_id, text): doc_id, start, length, doc_tokens, task, rank, ids (little-endian u32)."""
     if longest & (longest - 1) or longest < 1:
         raise ValueError("the longest length must be a power of two")
+    text_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
         _cutter(vocabulary or default_path(), longest, end_id), "doc_id long, start long, length long, doc_tokens long, task long, rank long, ids binary"
     )

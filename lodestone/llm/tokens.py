@@ -46,7 +46,7 @@ def default_path() -> str:
     return public_tokenizers.path(DEFAULT_VOCABULARY)
 
 
-def slices(texts: pa.Array, most_bytes: int = 8 << 20):
+def slices(texts: pa.Array, most_bytes: int = 4 << 20):
     """Parts of an array of about ``most_bytes`` each (a longer text alone), so that memory is bounded."""
     sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
     at = 0
@@ -69,10 +69,10 @@ class PieceEncoder:
 
     Texts are cut before each space and line feed, the distinct chunks of a slice by the pattern. The memo of
     pieces has two generations of about ``generation`` each: what is used moves to the young one, and when
-    that is full the old one goes.
+    that is full the old one goes. A piece takes about 400 bytes, so a worker's memo stays under 200 MB.
     """
 
-    def __init__(self, path: str, generation: int = 450_000):
+    def __init__(self, path: str, generation: int = 225_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -87,6 +87,11 @@ class PieceEncoder:
         self.always = {"": b"", "\n": struct.pack("<I", self.line_feed_id)}
         self.memo: list[dict[str, bytes]] = [dict(self.always), {}]
 
+    def forget(self) -> None:
+        """Let the memo go at a task's end: the worker lives on, and so would its memory in later stages."""
+        self.memo = [dict(self.always), {}]
+        pa.default_memory_pool().release_unused()
+
     def _remembered(self, names: list[str]) -> list[bytes]:
         found = list(map(self.memo[0].get, names))
         if missing := [k for k, x in enumerate(found) if x is None]:

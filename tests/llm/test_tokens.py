@@ -98,3 +98,31 @@ def test_buckets_hold_ids(odd, spark):
     K.write_buckets(K.decompose(odd), scratch.at("b"))
     read = spark.read.parquet(scratch.at("b"))
     assert read.where(F.octet_length("ids") != 4 * F.col("length")).count() == 0 and read.count() == K.decompose(odd).count()
+
+
+def test_the_memo_is_bounded_and_goes_with_its_task(spark):
+    from lodestone.llm.tokens import PieceEncoder
+
+    known = PieceEncoder(default_path())
+    for k in range(10):
+        known.encode(pa.array([" ".join(f"w{chr(97 + n % 26)}{'abcdefghij'[k]}{'xyzq'[n // 26 % 4]}{''.join('klmnopqrst'[int(c)] for c in str(n))}" for n in range(60_000))]))
+    assert sum(map(len, known.memo)) <= 450_000 + 60_000
+    docs = spark.createDataFrame([(k, f"word{k} other") for k in range(40)], "doc_id long, text string").coalesce(1)
+
+    def left(batches):
+        for _ in batches:
+            pass
+        yield pa.RecordBatch.from_arrays([pa.array([len(encoder(default_path()).memo[0])])], ["n"])
+
+    K.decompose(docs).count()
+    assert all(r.n <= 2 for r in docs.mapInArrow(left, "n long").collect())
+
+
+def test_texts_pass_in_small_batches(spark):
+    from lodestone.llm.common import BATCH_ROWS, mapped_texts
+
+    docs = spark.range(3 * BATCH_ROWS + 1, numPartitions=1).selectExpr("id as doc_id", "'a' as text")
+    from pyspark.sql import types as T
+
+    rows = mapped_texts(docs, ["doc_id"], [T.StructField("n", T.LongType())], lambda texts: [pa.array([len(texts)] * len(texts))])
+    assert {r.n for r in rows.collect()} == {BATCH_ROWS, 1}
