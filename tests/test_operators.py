@@ -90,6 +90,20 @@ def test_rules_merge(spark):
     assert {r.fingerprint: r.is_active for r in MI.merged_rules(old, again).collect()}["q"] == 1
 
 
+def test_page_rank_in_parts_by_links(spark, monkeypatch):
+    monkeypatch.setattr(G, "LINKS_PART", 3)
+    links = [(a, b) for a in range(12) for b in range(12) if (a * b + b) % 5 == 1 and a % 4] + [(1, 6)]
+    nodes = spark.createDataFrame([(k,) for k in range(12)], "node long")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    got = {r.node: r["rank"] for r in G.page_rank(nodes, spark.createDataFrame(links, "source long, target long"), 13, write_every=4).collect()}
+    assert spark.conf.get("spark.sql.shuffle.partitions") == before
+    out, rank = {a: sum(x[0] == a for x in links) for a in range(12)}, {k: 1 / 12 for k in range(12)}
+    for _ in range(13):
+        loose = sum(rank[k] for k in rank if not out[k])
+        rank = {k: 0.15 / 12 + 0.85 * (sum(rank[a] / out[a] for a, b in links if b == k) + loose / 12) for k in rank}
+    assert all(abs(got[k] - rank[k]) < 1e-12 for k in rank)
+
+
 def test_similar_pairs_equal_brute_force(spark):
     import random
 
