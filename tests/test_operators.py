@@ -115,6 +115,27 @@ def test_similar_pairs_equal_brute_force(spark):
         assert {(x.a, x.b) for x in MI.similar_pairs(df, "s", "i", "bag", least, strict).collect()} == want
 
 
+def test_similar_links_have_the_components_of_pairs(spark):
+    import random
+
+    r = random.Random(9)
+    bags = [(i, "xy"[i % 2] if i % 9 else None, r.sample("abcdefghijklmn", r.randint(1, 8))) for i in range(90)]
+    df = spark.createDataFrame(bags, "i long, s string, bag array<string>")
+
+    def components(links):
+        root = {x[0]: x[0] for x in bags}
+        for a, b in links:
+            old, new = max(root[a], root[b]), min(root[a], root[b])
+            root = {k: new if v == old else v for k, v in root.items()}
+        return root
+
+    for least, strict in ((0.4, True), (0.6, False)):
+        pairs = [(x.a, x.b) for x in MI.similar_pairs(df, "s", "i", "bag", least, strict).collect()]
+        assert components([(x.a, x.b) for x in MI.similar_links(df, "s", "i", "bag", least, strict).collect()]) == components(pairs)
+    alike = spark.createDataFrame([(i, "x", [*"abcdefg", f"z{i}"]) for i in range(200)], "i long, s string, bag array<string>")
+    assert MI.similar_links(alike, "s", "i", "bag", 0.6).count() == 199
+
+
 def test_upsert_keeps_ids(spark):
     old = spark.createDataFrame([("a", 1, "x"), ("b", 2, "y")], "k string, id long, v string")
     new = spark.createDataFrame([("b", "z"), ("a", "x"), ("d", "w"), ("c", "w")], "k string, v string")
