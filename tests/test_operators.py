@@ -136,6 +136,15 @@ def test_similar_links_have_the_components_of_pairs(spark):
     assert MI.similar_links(alike, "s", "i", "bag", 0.6).count() == 199
 
 
+def test_parts_of_edges_follow_the_tables(spark, monkeypatch):
+    from lodestone.plans import structures, views
+
+    monkeypatch.setattr(views, "EDGES_PART", 4096)
+    few = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for frame in (views.edges(spark, "/root/testdata/sf0.001"), structures.dependency_cap10(spark, "/root/testdata/sf0.001")):
+        assert frame.rdd.getNumPartitions() > few
+
+
 def test_upsert_keeps_ids(spark):
     old = spark.createDataFrame([("a", 1, "x"), ("b", 2, "y")], "k string, id long, v string")
     new = spark.createDataFrame([("b", "z"), ("a", "x"), ("d", "w"), ("c", "w")], "k string, v string")
